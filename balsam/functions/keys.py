@@ -125,40 +125,38 @@ def label_with_offsets(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "offsets"])
 
 
-def without_promotion(c: Column | str) -> Column:
-    """NFKC text without promotion words and promotional bracket blocks at its start."""
-    lead = rf"(?iU)^\s*(?:{_LEADING_WORDS})(?=\s|[/_\-·])(?:\s|[/_\-·])*"
-    text = strip(F.regexp_replace(nfkc(c), lead, ""))
-    block = F.regexp_extract(text, r"(?U)^\s*((?:\[[^\[\]]*\]\s*)+)", 1)
-    marks = F.transform(
-        F.regexp_extract_all(block, F.lit(r"\[[^\[\]]*\]"), F.lit(0)),
-        lambda x: F.lower(F.regexp_replace(x, _LABEL_CLASS, "")),
-    )
-    promotional = F.exists(
-        marks,
-        lambda m: F.exists(F.array(*[F.lit(w) for w in PROMOTION_MARKERS]), lambda w: m.contains(w)),
-    )
-    text = F.when(
-        promotional, F.regexp_replace(text, r"(?U)^\s*(?:\[[^\[\]]*\]\s*)+", "")
-    ).otherwise(text)
-    return strip(F.regexp_replace(text, lead, ""))
+def _spaced(word: str) -> str:
+    """The word's letters with any meaningless punctuation between them."""
+    return f"{_LABEL_CLASS[:-1]}*".join(word)
 
 
-def _without_package(c: Column) -> Column:
-    tail = (
-        rf"(?iU)(?:\s|[/_\-·])+(?:\((?:{_PACKAGE_WORDS})(?:\s*\+\s*(?:{_PACKAGE_WORDS}))*\)"
-        rf"|(?:{_PACKAGE_WORDS}|기획)(?:\s*\+\s*(?:{_PACKAGE_WORDS}))*)\s*$"
-    )
-    return F.regexp_replace(c, tail, "")
+_LEAD = rf"(?iU)^\s*(?:{_LEADING_WORDS})(?=\s|[/_\-·])(?:\s|[/_\-·])*"
+# A run of leading bracket blocks, one of which holds a promotion marker.
+_PROMOTION_BLOCKS = (
+    r"(?iU)^\s*(?:\[[^\[\]]*\]\s*)*\[[^\[\]]*(?:"
+    + "|".join(_spaced(w) for w in PROMOTION_MARKERS)
+    + r")[^\[\]]*\]\s*(?:\[[^\[\]]*\]\s*)*"
+)
+_PACKAGE_TAIL = (
+    rf"(?iU)(?:\s|[/_\-·])+(?:\((?:{_PACKAGE_WORDS})(?:\s*\+\s*(?:{_PACKAGE_WORDS}))*\)"
+    rf"|(?:{_PACKAGE_WORDS}|기획)(?:\s*\+\s*(?:{_PACKAGE_WORDS}))*)\s*$"
+)
+_SHADE_UNIT = r"(?U)(?<=\d)\s*호"
 
 
-def _without_shade_unit(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(?<=\d)\s*호", "")
+def _without_marketing(text: Column) -> Column:
+    """Drop promotion words and blocks, package words and the shade unit; one pass each."""
+    text = strip(F.regexp_replace(text, _LEAD, ""))
+    text = F.regexp_replace(text, _PROMOTION_BLOCKS, "")
+    text = strip(F.regexp_replace(text, _LEAD, ""))
+    return F.regexp_replace(F.regexp_replace(text, _PACKAGE_TAIL, ""), _SHADE_UNIT, "")
 
 
 def option_mapping_key(c: Column | str) -> Column:
-    """Label key of what is left of an option name once its marketing text is removed."""
-    return option_label_key(_without_shade_unit(_without_package(without_promotion(c))))
+    """Label key of what is left of an option name once its marketing text is removed.
+
+    The patterns ignore case, so folding first gives the same key with a single fold."""
+    return F.regexp_replace(_without_marketing(fold(c)), _LABEL_CLASS, "")
 
 
 def full_label_key(c: Column | str) -> Column:
@@ -168,9 +166,9 @@ def full_label_key(c: Column | str) -> Column:
 
 def option_display_name(c: Column | str) -> Column:
     """Readable option name: marketing text removed, separators as blanks."""
-    bare = _without_shade_unit(_without_package(without_promotion(c)))
     return F.coalesce(
-        blank_to_null(collapse(F.regexp_replace(bare, r"[/_·-]+", " "))), collapse(c)
+        blank_to_null(collapse(F.regexp_replace(_without_marketing(nfkc(c)), r"[/_·-]+", " "))),
+        collapse(c),
     )
 
 

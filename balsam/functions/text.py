@@ -195,7 +195,7 @@ def split_ingredients(c: Column | str) -> Column:
         lambda acc: F.concat(acc["done"], F.array(acc["open"])),
     )
     pieces = F.when(text.rlike(r"[(\[]"), nested).otherwise(flat)
-    return F.filter(F.transform(pieces, strip), lambda x: x != "")
+    return F.filter(F.transform(pieces, lambda x: strip(x)), lambda x: x != "")
 
 
 # Punctuation trimmed from the edges of an ingredient section.

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import queries_matching  # noqa: F401
+from . import queries_keys, queries_matching, queries_registry, queries_retrieval  # noqa: F401

@@ -112,3 +112,75 @@ FROM {{part}}
 
 # Requested products.
 view("requests", "SELECT o_orderkey AS product_id, o_orderpriority AS category FROM {orders}")
+
+# --- retrieval -------------------------------------------------------------------------------
+_DOC = """
+SELECT vec_id AS row,
+       CASE WHEN vec_id % 5 = 4 THEN '' ELSE 'Name-' || CAST(vec_id AS STRING) END
+         AS ingredient_kor_name,
+       'label ' || CAST(label AS STRING) AS ingredient_eng_name,
+       CAS AS cas_no, CASE WHEN vec_id % 3 = 0 THEN 'Name (' || CAST(vec_id + 1 AS STRING) || ')'
+       END AS synonym, CAST(NULL AS STRING) AS origin_description,
+       'content of ' || CAST(vec_id AS STRING) AS content, 'corpus' AS source,
+       embedding AS vector
+FROM {embeddings}
+""".replace("CAS AS", cas("vec_id") + " AS")
+view("docs", _DOC)
+
+# Every second query names a document; the others can only be found by vector.
+view("search_queries", f"""
+SELECT vec_id AS query_id,
+       CASE WHEN vec_id % 6 = 0 THEN 'NAME ' || CAST(vec_id AS STRING)
+            WHEN vec_id % 6 = 2 THEN {cas('vec_id')}
+            WHEN vec_id % 6 = 4 THEN 'Label ' || CAST(label AS STRING)
+            ELSE 'free text ' || CAST(vec_id AS STRING) END AS query,
+       embedding AS vector
+FROM {{embeddings}}
+""")
+
+# Requests of up to five queries each: ingredients (one hit each) or one free text (eight hits).
+view("document_requests", """
+SELECT query_id - query_id % 5 AS request_id, query_id % 5 AS position, query, vector,
+       CASE WHEN query LIKE 'free%' THEN 8 ELSE 1 END AS search_k
+FROM {search_queries}
+""")
+
+# --- registry builds ---------------------------------------------------------------------------
+
+
+def _rows(width: int, opening: str, closing: str) -> str:
+    number, chem = cas("p_partkey"), "p_brand || ' ' || CAST(p_size AS STRING)"
+    full = ("p_name", number, chem) if width == 3 else ("p_name", "p_type", "p_brand", number, chem)
+
+    def arr(*cells: str) -> str:
+        return opening + ", ".join(cells) + closing
+
+    return f"""
+SELECT CAST(p_size % 4 + 1 AS INT) AS source_table, p_partkey + 1 AS source_row,
+       CASE WHEN p_partkey % 7 IN (2, 3) THEN {arr(number, chem)}
+            WHEN p_partkey % 7 = 5 THEN {arr("' ' || p_name || '  only '")}
+            WHEN p_partkey % 7 = 6 THEN {arr(full[0], *full[1:-2], "'-'", "''")}
+            ELSE {arr(*full)} END AS cells
+FROM {{part}}"""
+
+
+for _w, _n in ((3, "prohibited_rows"), (5, "restricted_rows")):
+    view(_n, _rows(_w, "array(", ")"), _rows(_w, "[", "]"))
+
+_PAGE_ROW = (
+    "CAST(p_partkey % 50 + 1 AS STRING) || ' ' || p_name || CASE WHEN p_size > 25 THEN ' ' || p_type "
+    f"ELSE '' END || ' CAS No ' || {cas('p_partkey')}"
+)
+view("numbered_pages", f"""
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page_id,
+       'intro 연번 성분명 CAS 등록번호 ' || listagg({_PAGE_ROW}, ' ') WITHIN GROUP (ORDER BY p_partkey)
+         AS text
+FROM {{part}} GROUP BY 1
+""", f"""
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS page_id,
+       'intro 연번 성분명 CAS 등록번호 ' || string_agg({_PAGE_ROW}, ' ' ORDER BY p_partkey) AS text
+FROM {{part}} GROUP BY 1
+""")
+view("metadata", "SELECT 'SRC-' || CAST(max(r_regionkey) AS STRING) AS source_id, "
+     "'registry of ' || max(r_name) AS document_title, CAST(count(*) AS STRING) AS dataset_version, "
+     "'' AS notice_number FROM {region}")
