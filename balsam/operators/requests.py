@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..functions.text import collapse, contains_any, is_blank, split_simple
+from ..functions.text import collapse, contains_any, split_simple
 
 # Words that send a question to the safety route.
 DANGER_WORDS = (
@@ -75,7 +75,3 @@ def merge_warnings(df: DataFrame, current: str, new: str, out: str) -> DataFrame
     return df.withColumn(out, ordered_union(current, new))
 
 
-__all__ = [
-    "DANGER_WORDS", "ROUTINE_WORDS", "context_flags", "ingredient_names", "is_blank",
-    "merge_warnings", "resolve_ingredients", "route_questions",
-]

@@ -184,3 +184,99 @@ FROM {{part}} GROUP BY 1
 view("metadata", "SELECT 'SRC-' || CAST(max(r_regionkey) AS STRING) AS source_id, "
      "'registry of ' || max(r_name) AS document_title, CAST(count(*) AS STRING) AS dataset_version, "
      "'' AS notice_number FROM {region}")
+
+# --- product store -----------------------------------------------------------------------------
+AS_OF = "1999-06-01 00:00:00"
+OPTION = "CASE WHEN o_orderstatus = 'F' THEN '' ELSE l_returnflag || l_linestatus END"
+
+view("products", """
+SELECT o_orderkey AS product_id, 'shop' || CAST(o_custkey % 2 AS STRING) AS source,
+       CAST(o_orderkey AS STRING) AS external_id,
+       'Item ' || o_orderpriority || ' ' || CAST(o_custkey % 100 AS STRING) AS product_name,
+       lower('Item ' || o_orderpriority || ' ' || CAST(o_custkey % 100 AS STRING)) AS name_key,
+       'Brand ' || CAST(o_custkey % 37 AS STRING) AS brand_name,
+       o_orderpriority AS category, 'all > ' || o_orderstatus || ' > ' || o_orderpriority AS category_path,
+       'http://shop/' || CAST(o_orderkey AS STRING) AS product_url, CAST(NULL AS STRING) AS image_url,
+       o_orderdate AS updated_at
+FROM {orders}
+""")
+view("records", f"""
+SELECT l_orderkey AS product_id, {OPTION} AS option_id, 'Option ' || max(l_returnflag) AS option_name,
+       max(l_shipdate) + INTERVAL '400' DAY AS expires_at,
+       CASE WHEN max(o_orderstatus) = 'P' THEN
+         CASE WHEN min(l_linenumber) = 6 THEN 'unmapped' WHEN min(l_linenumber) < 7 THEN 'ready' END END
+         AS cache_status,
+       CASE WHEN max(o_orderstatus) = 'P' THEN 'v4' END AS cache_version
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY 1, 2
+""")
+view("record_items", f"""
+SELECT l_orderkey AS product_id, {OPTION} AS option_id,
+       CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey AS position, p_name AS ingredient_name,
+       replace(p_name, ' ', '') AS normalized_name
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
+WHERE l_quantity > 5
+""")
+view("states", f"""
+SELECT o_orderkey AS product_id,
+       CASE WHEN o_orderstatus = 'F' THEN 'not_applicable' WHEN o_custkey % 11 = 0 THEN 'mapping_failed'
+            ELSE 'ready' END AS status,
+       CASE WHEN o_orderstatus = 'F' THEN 0 ELSE CAST(n AS INT) END AS option_count,
+       CASE WHEN o_custkey % 13 = 0 THEN 'v3' ELSE 'v4' END AS parser_version,
+       CASE WHEN o_custkey % 7 = 0 THEN 'not json'
+            ELSE '[' || chr(123) || '"internal_option_key":"AF","availability":"sold_out","sort_order":'
+                 || CAST(o_custkey % 9 AS STRING) || ',"raw_option_name":"[new] Shade ' || o_orderstatus
+                 || '"' || chr(125) || ']' END AS options_json,
+       o_orderdate + INTERVAL '500' DAY AS expires_at,
+       CASE WHEN o_orderstatus = 'P' THEN 'partial' END AS cache_collection_status,
+       CASE WHEN o_orderstatus = 'P' THEN CAST(n AS INT) END AS cache_option_count,
+       CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 > 0 THEN 'v4' END AS cache_version
+FROM {{orders}} JOIN (SELECT product_id, count(*) AS n FROM {{records}} GROUP BY 1) c
+  ON c.product_id = o_orderkey
+WHERE o_custkey % 17 > 0
+""")
+
+_QUERY = """CASE WHEN c_custkey % 5 = 0 THEN 'Brand ' || CAST(c_custkey % 40 AS STRING)
+            WHEN c_custkey % 5 = 1 THEN upper('urgent ' || CAST(c_custkey % 100 AS STRING))
+            WHEN c_custkey % 5 = 2 THEN c_mktsegment
+            WHEN c_custkey % 5 = 3 THEN CAST(c_custkey % 100 AS STRING)
+            ELSE 'Item 5-LOW ' || CAST(c_custkey % 100 AS STRING) END"""
+view("queries", f"""
+SELECT c_custkey AS query_id, CASE WHEN c_custkey % 5 = 4 THEN '[ad] ' ELSE '' END || {_QUERY} AS query,
+       lower({_QUERY}) AS query_key, CAST(c_custkey % 15 - 1 AS INT) AS result_limit
+FROM {{customer}}
+""")
+view("searches", f"""
+SELECT query_key, TIMESTAMP '1999-05-01 00:00:00' AS searched_at,
+       TIMESTAMP '{AS_OF}' + CASE WHEN max(query_id) % 2 = 0 THEN INTERVAL '1' DAY
+                                  ELSE INTERVAL '0' DAY END AS expires_at
+FROM {{queries}} WHERE length(query_key) % 2 = 0 GROUP BY 1
+""", f"""
+SELECT query_key, TIMESTAMP '1999-05-01 00:00:00' AS searched_at,
+       TIMESTAMP '{AS_OF}' + CASE WHEN max(query_id) % 2 = 0 THEN INTERVAL '1' DAY
+                                  ELSE INTERVAL '0' DAY END AS expires_at
+FROM {{queries}} WHERE length(query_key) % 2 = 0 GROUP BY 1
+""")
+view("search_results", """
+SELECT DISTINCT query_key, o_orderkey AS product_id, CAST(o_orderkey AS INT) AS rank
+FROM {queries} JOIN {orders} ON o_custkey = query_id WHERE length(query_key) % 2 = 0 AND query_id % 4 <> 2
+""")
+
+# Three seed ingredients per request, out of fifty different sets.
+view("related_requests", "SELECT product_id AS request_id, product_id, category, category_path FROM {products}")
+view("seeds", """
+SELECT o_orderkey AS request_id, p_partkey AS seed_pos, replace(p_name, ' ', '') AS name
+FROM {orders} JOIN {part} ON p_partkey >= o_custkey % 50 AND p_partkey < o_custkey % 50 + 3
+""".replace("p_partkey >= o_custkey % 50 AND p_partkey < o_custkey % 50 + 3",
+            "p_partkey IN (o_custkey % 50, o_custkey % 50 + 1, o_custkey % 50 + 2)"))
+
+# Queue: the events of a user are the history of one product; its last event is the queue row.
+view("queue", """
+SELECT user_id AS product_id, CASE WHEN max_by(event_type, event_id) = 'view' THEN 'pending'
+         WHEN max_by(event_type, event_id) = 'click' THEN 'collecting'
+         WHEN max_by(event_type, event_id) = 'error' THEN 'failed' ELSE 'complete' END AS status,
+       CAST(count(*) % 40 AS INT) AS attempt_count,
+       CASE WHEN user_id % 6 > 0 THEN max(ts) END AS last_attempt_at,
+       CASE WHEN user_id % 3 > 0 THEN max(ts) + INTERVAL '1' HOUR END AS next_retry_at,
+       max(ts) AS updated_at
+FROM {events} GROUP BY user_id
+""")
