@@ -104,25 +104,38 @@ def option_label_key(c: Column | str) -> Column:
     )
 
 
-@F.pandas_udf(T.StructType([
+_INDEXED = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("offsets", T.ArrayType(T.IntegerType())),
-]))
-def label_with_offsets(s: pd.Series) -> pd.DataFrame:
-    """Label key of a long text plus, per key character, its offset in the text."""
+])
+
+
+def _indexed(drop_shade_unit: bool):
+    """Arrow function: label key of a long text plus, per key character, its offset in the text."""
     drop = set(LABEL_PUNCTUATION)
-    out = []
-    for value in s:
+
+    def index(value: str | None) -> tuple[str, list[int]]:
         chars, offsets = [], []
         for i, ch in enumerate(value or ""):
             if ch.isspace() or ch in drop:
                 continue
             for f in unicodedata.normalize("NFKC", ch).casefold():
-                if not f.isspace() and f not in drop:
+                unit = drop_shade_unit and f == "호" and chars and chars[-1].isdigit()
+                if not (unit or f.isspace() or f in drop):
                     chars.append(f)
                     offsets.append(i)
-        out.append(("".join(chars), offsets))
-    return pd.DataFrame(out, columns=["text", "offsets"])
+        return "".join(chars), offsets
+
+    @F.pandas_udf(_INDEXED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([index(v) for v in s], columns=["text", "offsets"])
+
+    return run
+
+
+label_with_offsets = _indexed(False)
+# The same, without the shade unit after a digit.
+mapping_label_with_offsets = _indexed(True)
 
 
 def _spaced(word: str) -> str:

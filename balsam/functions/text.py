@@ -162,8 +162,8 @@ def _depth_after(text: Column, depth: Column) -> Column:
     return F.when((opens > 0) & (closes > 0), scan).otherwise(simple)
 
 
-def split_ingredients(c: Column | str) -> Column:
-    """Split on commas outside brackets and not between two digits.
+def raw_chunks(c: Column | str) -> Column:
+    """Pieces between the commas that stand outside brackets and not between two digits.
 
     Text without brackets is split by one regular expression; text with brackets folds over
     its comma pieces, carrying (finished pieces, open piece, depth)."""
@@ -194,8 +194,12 @@ def split_ingredients(c: Column | str) -> Column:
         F.split(text, ","), zero, step,
         lambda acc: F.concat(acc["done"], F.array(acc["open"])),
     )
-    pieces = F.when(text.rlike(r"[(\[]"), nested).otherwise(flat)
-    return F.filter(F.transform(pieces, lambda x: strip(x)), lambda x: x != "")
+    return F.when(text.rlike(r"[(\[]"), nested).otherwise(flat)
+
+
+def split_ingredients(c: Column | str) -> Column:
+    """Trimmed, non-empty chunks."""
+    return F.filter(F.transform(raw_chunks(c), lambda x: strip(x)), lambda x: x != "")
 
 
 # Punctuation trimmed from the edges of an ingredient section.

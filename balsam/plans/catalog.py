@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import queries_keys, queries_matching, queries_registry, queries_retrieval, queries_store  # noqa: F401
+from . import queries_keys, queries_matching, queries_registry, queries_retrieval, queries_segmentation, queries_store  # noqa: F401
