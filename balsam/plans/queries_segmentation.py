@@ -15,7 +15,7 @@ _KEY = ("replace(CASE WHEN p_size % 6 = 0 THEN '0' || CAST(p_size AS STRING) ||
 _LONG = "p_name || ', ' || p_brand || ' (a, b), ' || p_type || ', 1,2-diol'"
 view("label_rows", f"""
 SELECT p_partkey, CAST(floor(p_partkey / 8) AS BIGINT) AS doc_id, CAST(p_partkey % 8 AS INT) AS n,
-       p_size, p_name, {_KEY} AS label_key, {_LABEL} AS label,
+       p_size, p_name, p_brand, {_KEY} AS label_key, {_LABEL} AS label,
        CASE WHEN p_size % 4 = 2 THEN '★ ' || {_LABEL} || ' :' WHEN p_size % 4 = 3 THEN '[' || {_LABEL} || ')'
             ELSE '[' || {_LABEL} || ']' END AS header,
        CASE WHEN p_size % 4 = 2 THEN 'star_colon' WHEN p_size % 4 = 3 THEN 'malformed_bracket'

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,26 +61,32 @@ def _items_from_variant(v: Column) -> Column:
     return F.coalesce(*[pick(f"{r}.items.item", f"{r}.items") for r in roots])
 
 
-def parse_json_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """(page_no, item_no, item variant) of JSON pages up to the first page without items."""
-    parsed = pages.withColumn("__v", F.try_parse_json(payload))
-    items = parsed.select("page_no", _items_from_variant(F.col("__v")).alias("__items"))
-    return _before_first_empty(items, lambda x: F.struct(*[
-        F.coalesce(collapse(F.try_variant_get(x, f"$.{f}", "string")), F.lit("")).alias(name)
-        for f, name in API_FIELDS.items()]))
+def _named(get) -> Column:
+    return F.struct(*[F.coalesce(collapse(get(f)), F.lit("")).alias(name) for f, name in API_FIELDS.items()])
+
+
+def _json_items(pages: DataFrame, payload: str) -> DataFrame:
+    items = _items_from_variant(F.col("__v"))
+    return pages.withColumn("__v", F.try_parse_json(payload)).select("page_no", F.transform(
+        items, lambda x: _named(lambda f: F.try_variant_get(x, f"$.{f}", "string"))).alias("__items"))
 
 
-def _before_first_empty(items: DataFrame, row) -> DataFrame:
-    """Explode item arrays of the pages before the first empty one.
+def _before_first_empty(items: DataFrame) -> DataFrame:
+    """Explode the item arrays of the pages before the first empty one.
 
     The first empty page is one minimum over the pages, so no page waits for another."""
     empty = F.coalesce(F.size("__items"), F.lit(0)) <= 0
     stop = items.filter(empty).agg(F.min("page_no").alias("n")).scalar()
     kept = items.filter(stop.isNull() | (F.col("page_no") < stop))
-    return kept.select("page_no", F.posexplode(F.transform("__items", row)).alias("item_no", "__i")).select(
+    return kept.select("page_no", F.posexplode("__items").alias("item_no", "__i")).select(
         "page_no", "item_no", "__i.*")
 
 
+def parse_json_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """(page_no, item_no, ingredient fields) of JSON pages up to the first page without items."""
+    return _before_first_empty(_json_items(pages, payload))
+
+
 _XML = T.StructType([
     T.StructField("header", T.StructType([
         T.StructField("resultCode", T.StringType()), T.StructField("resultMsg", T.StringType())])),
@@ -87,13 +95,15 @@ _XML = T.StructType([
 ])
 
 
+def _xml_items(pages: DataFrame, payload: str) -> DataFrame:
+    code = F.coalesce(F.col("__x.header.resultCode"), F.lit(OK_CODE))
+    return pages.withColumn("__x", F.from_xml(payload, _XML)).filter(code.isin(OK_CODE, "")).select(
+        "page_no", F.transform("__x.body.items.item", lambda x: _named(lambda f: x[f])).alias("__items"))
+
+
 def parse_xml_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """The same from XML pages; pages that report an error code give no rows (see `xml_errors`)."""
-    parsed = pages.withColumn("__x", F.from_xml(payload, _XML))
-    code = F.coalesce(F.col("__x.header.resultCode"), F.lit(OK_CODE))
-    items = parsed.filter(code.isin(OK_CODE, "")).select("page_no", F.col("__x.body.items.item").alias("__items"))
-    return _before_first_empty(items, lambda x: F.struct(*[
-        F.coalesce(collapse(x[f]), F.lit("")).alias(name) for f, name in API_FIELDS.items()]))
+    return _before_first_empty(_xml_items(pages, payload))
 
 
 def xml_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
@@ -106,8 +116,8 @@ def xml_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
 def parse_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Pages of either kind: text that starts with '<', or is no JSON, is XML."""
     is_xml = F.coalesce(strip(payload).startswith("<"), F.lit(False)) | F.try_parse_json(payload).isNull()
-    return parse_json_pages(pages.filter(~is_xml), payload).unionByName(
-        parse_xml_pages(pages.filter(is_xml), payload))
+    return _before_first_empty(_json_items(pages.filter(~is_xml), payload).unionByName(
+        _xml_items(pages.filter(is_xml), payload)))
 
 
 # --- manifests -----------------------------------------------------------------------------------
@@ -214,10 +224,6 @@ def _option_scanner(required: Sequence[str], owners: Sequence[str], flag: str):
     """Arrow function: objects inside a script text that hold the required keys, with the nearest
     owner above them, in order of appearance.  Objects that hold only the combination flag are
     kept as flag rows."""
-    import json
-
-    import pandas as pd
-
     def text(v) -> str | None:
         if v is None:
             return None
