@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.settle import settle
 from ..functions.text import strip
 from .store import RECORD_KEY, moment, restore_options, valid_records
 
@@ -250,6 +251,7 @@ def plan_prefetch(
         .otherwise("failed")).drop("__cached", "success")
     if continue_on_error:
         return done
+    done = settle(done)
     stop = done.filter("status = 'failed'").agg(F.min("entry_no").alias("n")).scalar()
     return done.filter(stop.isNull() | (F.col("entry_no") <= stop))
 

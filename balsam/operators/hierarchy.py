@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.settle import settle
 from ..functions.text import (
     EDGE_CHARS, SPACE, SPACES, first_occurrences, fold, is_blank, raw_chunks, strip,
 )
@@ -201,19 +202,20 @@ def formula_boundaries(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     chunks = sections.filter("raw_header <> ''").select(
         "doc_id", "section_no", F.posexplode(raw_chunks(F.col("body"))).alias("chunk_index", "chunk")
     ).withColumns({"words": words, "keys": F.filter(F.split(fold("chunk"), SPACES), lambda x: x != "")})
-    chunks = chunks.filter(F.size("words") >= 2)
+    # Words are read again for the left, right and middle parts and for the result.
+    chunks = settle(chunks.filter(F.size("words") >= 2))
     by = ["doc_id", "section_no", "chunk_index"]
     n = F.size("words")
     # A code such as (ci 77019) may follow the name: room for it beyond the longest key.
     reach = F.least(n - 1, longest + 16)
     lefts = chunks.select(*by, "keys", F.explode(F.sequence(F.lit(1), reach)).alias("left_end")).select(
         *by, "left_end", F.array_join(F.slice("keys", F.lit(1), F.col("left_end")), "").alias("key"))
-    known_left = _known(lefts, dictionary).select(*by, "left_end").distinct()
+    known_left = settle(_known(lefts, dictionary).select(*by, "left_end").distinct())
     rights = chunks.select(*by, "keys", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("right_start"))
     rights = rights.withColumn("len", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(MAX_RIGHT_WORDS), F.col("n") - F.col("right_start"))))).select(
         *by, "right_start", F.array_join(F.slice("keys", F.col("right_start") + 1, F.col("len")), "").alias("key"))
-    known_right = _known(rights, dictionary).select(*by, "right_start").distinct()
+    known_right = settle(_known(rights, dictionary).select(*by, "right_start").distinct())
     # The words between a known left and a known right; of one chunk only.
     pairs = known_left.join(known_right, by).filter("left_end < right_start").join(
         chunks.select(*by, "keys"), by).select(
@@ -274,7 +276,7 @@ def evaluate_formulas(sections: DataFrame, boundaries: DataFrame, dictionary: Da
         p["n"].alias("n"), p["label"].alias("label"), p["start"].alias("start"), p["end"].alias("end"),
         F.when(p["end"] > p["start"], F.substr(body, p["start"] + 1, p["end"] - p["start"])).otherwise("")
         .alias("text")))).alias("p")).select(*by, "p.*").filter(~is_blank("text"))
-    listed = subs.withColumn("ingredients", chunk_ingredients(F.col("text")))
+    listed = settle(subs.withColumn("ingredients", chunk_ingredients(F.col("text"))).drop("text"))
     known = count_known(listed.select(*by, "n", F.explode("ingredients").alias("name")), dictionary, [*by, "n"])
     judged = listed.join(known, [*by, "n"], "left").groupBy(*by).agg(
         F.count("*").alias("n_bodies"),
@@ -413,7 +415,8 @@ def orphan_sections(sections: DataFrame, canonical: DataFrame) -> DataFrame:
 def document_structure(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, document_format, structure_reason): formulas first, then numbered formulas, then
     restarting header numbers, else flat."""
-    formulas = evaluate_formulas(sections, formula_boundaries(sections, dictionary), dictionary)
+    bounds = settle(formula_boundaries(sections, dictionary))
+    formulas = evaluate_formulas(sections, bounds, dictionary)
     by_formula = formulas.groupBy("doc_id").agg(
         F.bool_or(F.col("outcome") == "needs_review").alias("review"),
         F.bool_or(F.col("outcome") == "hierarchical").alias("formulas"))
@@ -436,10 +439,11 @@ def document_structure(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def parse_sections_exact(docs: DataFrame, options: DataFrame, dictionary: DataFrame) -> dict[str, DataFrame]:
     """The whole second parser: sections, formats and option mappings."""
-    sections = build_sections(comma_chunks(docs.filter(~is_blank("text"))))
-    formats = document_structure(sections, dictionary)
-    kinds = classify_section_kind(split_trailing_annotation(sections), dictionary)
-    canonical = canonicalize_options(options)
+    sections = settle(build_sections(comma_chunks(docs.filter(~is_blank("text")))))
+    known = settle(dictionary.select("key").distinct())
+    formats = settle(document_structure(sections, known))
+    kinds = settle(classify_section_kind(split_trailing_annotation(sections), known))
+    canonical = settle(canonicalize_options(options))
     return {
         "sections": kinds, "formats": formats, "canonical": canonical,
         "mappings": map_sections_exact(kinds, canonical, formats),

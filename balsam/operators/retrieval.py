@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.settle import settle
 from .windows import keep_first, top_k
 
 # Score of an exact hit by the first field that equals the query, in this order.
@@ -147,7 +148,7 @@ def hybrid_retrieve(
     queries: DataFrame, docs: DataFrame, k: int = 8, threshold: float = RELEVANCE_THRESHOLD,
 ) -> DataFrame:
     """Exact hits of a query if it has any, else its vector hits."""
-    exact = exact_retrieve(queries, docs, k)
+    exact = settle(exact_retrieve(queries, docs, k))
     missed = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     return exact.unionByName(
         vector_retrieve(missed.filter("vector IS NOT NULL"), docs, k, threshold)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
+from ..functions.settle import settle
 from ..functions.text import SPACE, is_blank, section_ingredients, strip
 
 # Header grammars of the first parser, (name, pattern), most explicit first.
@@ -202,9 +203,10 @@ def map_options(sections: DataFrame, canonical: DataFrame) -> tuple[DataFrame, D
 
     Ambiguity is two-sided: a header that fits several options makes them all ambiguous, an
     option that several headers fit is ambiguous with those headers."""
-    aliases = option_aliases(canonical)
+    sections = settle(sections)
+    aliases = settle(option_aliases(canonical))
     good = sections.filter(~F.col("malformed"))
-    pairs = header_option_candidates(good, aliases)
+    pairs = settle(header_option_candidates(good, aliases))
     per_header = pairs.groupBy("doc_id", "start").agg(F.count("*").alias("n_options"))
     sided = pairs.join(per_header, ["doc_id", "start"])
     per_option = sided.groupBy("doc_id", "option_pos").agg(
@@ -309,6 +311,7 @@ def detect_repeated_labels(docs: DataFrame, canonical: DataFrame, title: str = R
         "ingredients": section_ingredients("body"),
         "malformed": F.lit(False),
     }).withColumn("shade_number", F.substr("label_key", F.lit(1), F.lit(2)).cast("int"))
+    rows = settle(rows)
     hits = header_option_candidates(rows, option_aliases(canonical)).groupBy("doc_id", "start").agg(
         F.count("*").alias("n_options"))
     rows = rows.join(hits, ["doc_id", "start"], "left")
@@ -454,7 +457,7 @@ def locate_option_headers(docs: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def located_sections(docs: DataFrame, canonical: DataFrame) -> DataFrame:
     """Option mappings of documents whose option names stand unmarked in the text."""
-    located = locate_option_headers(docs, canonical)
+    located = settle(locate_option_headers(docs, canonical))
     usable = located.filter("span_status <> 'ambiguous'")
     spans = usable.select("doc_id", "start", "end").distinct().groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -497,8 +500,8 @@ def classify_structure(docs: DataFrame, canonical: DataFrame) -> DataFrame:
     Top headers fit exactly one option; headers between two tops that fit no option and open a
     list of two or more ingredients are nested.  Two tops with two nested headers each make a
     hierarchy; one nested label under two tops is left for review."""
-    aliases = option_aliases(canonical)
-    explicit = extract_headers(docs).filter(~F.col("malformed"))
+    aliases = settle(option_aliases(canonical))
+    explicit = settle(extract_headers(docs).filter(~F.col("malformed")))
     fits = header_option_candidates(explicit, aliases)
     per_header = fits.groupBy("doc_id", "start").agg(
         F.count("*").alias("n_options"), F.min("option_pos").alias("option_pos"))
@@ -512,7 +515,7 @@ def classify_structure(docs: DataFrame, canonical: DataFrame) -> DataFrame:
         F.min(F.when(F.col("occurrence") == 0, F.col("end"))).alias("end"),
         F.max("confidence").alias("confidence"),
     ).filter("n = 1 AND confidence >= 0.9").select("doc_id", "option_pos", "start", "end")
-    tops = linked.unionByName(alone)
+    tops = settle(linked.unionByName(alone))
     unique = tops.groupBy("doc_id", "option_pos").agg(
         F.count("*").alias("n"), F.min("start").alias("start"), F.min("end").alias("end")
     ).filter("n = 1").groupBy("doc_id").agg(
@@ -569,8 +572,8 @@ def parse_option_sections(docs: DataFrame, options: DataFrame) -> dict[str, Data
     """The whole first parser: canonical options, formats, headers and option mappings.
 
     Documents that are not flat map none of their options; blank documents likewise."""
-    canonical = canonicalize_options(options)
-    formats = classify_structure(docs, canonical)
+    canonical = settle(canonicalize_options(options))
+    formats = settle(classify_structure(docs, canonical))
     blank = docs.filter(is_blank("text")).select("doc_id").withColumn("__blank", F.lit(True))
     explicit = cut_sections(docs)
     repeated = detect_repeated_labels(docs, canonical)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
+from ..functions.settle import settle
 from ..functions.text import strip
 from .windows import keep_first, top_k
 
@@ -324,7 +325,7 @@ def resolve_searches(
     first = cached.select("query_id", "product_id", "rank", F.lit("search_cache").alias("provider"),
                           F.lit(True).alias("cache_hit"))
     missed = asked.join(cached.select("query_id").distinct(), "query_id", "left_anti")
-    stored = search_products(missed, products, searches, results, states, as_of)
+    stored = settle(search_products(missed, products, searches, results, states, as_of))
     second = stored.select("query_id", "product_id", "rank", F.lit("product_cache").alias("provider"),
                            F.lit(True).alias("cache_hit"))
     still = missed.join(stored.select("query_id").distinct(), "query_id", "left_anti")

@@ -1,27 +1,11 @@
-"""Session defaults and the shared folder for checkpoints."""
+"""Session settings the operators rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the operators rely on; nothing that the cluster has already chosen is replaced
-    except the time zone, which the timestamp rules fix to UTC."""
+    """Fix the time zone to UTC, as the timestamp rules need; all else stays as the cluster has it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named (tests)."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder

@@ -263,11 +263,9 @@ FROM {queries} JOIN {orders} ON o_custkey = query_id WHERE length(query_key) % 2
 
 # Three seed ingredients per request, out of fifty different sets.
 view("related_requests", "SELECT product_id AS request_id, product_id, category, category_path FROM {products}")
-view("seeds", """
-SELECT o_orderkey AS request_id, p_partkey AS seed_pos, replace(p_name, ' ', '') AS name
-FROM {orders} JOIN {part} ON p_partkey >= o_custkey % 50 AND p_partkey < o_custkey % 50 + 3
-""".replace("p_partkey >= o_custkey % 50 AND p_partkey < o_custkey % 50 + 3",
-            "p_partkey IN (o_custkey % 50, o_custkey % 50 + 1, o_custkey % 50 + 2)"))
+_SEED = "SELECT o_orderkey AS request_id, p_partkey AS seed_pos, replace(p_name, ' ', '') AS name " \
+        "FROM {orders} JOIN {part} ON p_partkey = o_custkey % 50 + "
+view("seeds", " UNION ALL ".join(_SEED + str(i) for i in range(3)))
 
 # Queue: the events of a user are the history of one product; its last event is the queue row.
 view("queue", """
