@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import (
-    SPACE, SPACE_CHARS, SPACES, blank_to_null, col, collapse, fold, fold_each, nfkc, squeeze, strip,
+    SPACE, SPACE_CHARS, SPACES, col, collapse, fold, fold_each, let, nfkc, squeeze, strip,
 )
 
 # Punctuation that carries no meaning in an option label.
@@ -57,18 +57,22 @@ def item_key(c: Column | str) -> Column:
     return squeeze(F.lower(strip(c)))
 
 
+def _or_else(value: Column, other) -> Column:
+    return F.when(value == "", other).otherwise(value)
+
+
 def product_name_key(c: Column | str) -> Column:
     """Folded name without its leading [..] blocks; the whole name when nothing else is left."""
-    whole = collapse(fold(c))
-    bare = F.regexp_replace(whole, rf"^(?:{SPACE}*\[[^\[\]]*\])+{SPACE}*", "")
-    return F.coalesce(blank_to_null(collapse(bare)), whole)
+    blocks = rf"^(?:{SPACE}*\[[^\[\]]*\])+{SPACE}*"
+    return let(collapse(fold(c)), lambda whole: let(
+        collapse(F.regexp_replace(whole, blocks, "")), lambda bare: _or_else(bare, whole)))
 
 
 _PARENTHESISED = r"\([^)]*\)"
 
 
 def rule_key(c: Column | str) -> Column:
-    bare = F.regexp_replace(strip(fold(F.coalesce(col(c), F.lit("")))), _PARENTHESISED, "")
+    bare = F.regexp_replace(strip(F.coalesce(fold(c), F.lit(""))), _PARENTHESISED, "")
     return F.regexp_replace(bare, f"[{SPACE_CHARS}_\\-./]+", "")
 
 
@@ -81,7 +85,7 @@ def rule_match_keys(c: Column | str) -> Column:
     )
     # Only full-width brackets make "drop brackets, then fold" differ from "fold, then drop".
     wide = F.when(text.rlike("[（）]"), F.regexp_replace(text, _PARENTHESISED, ""))
-    keys = F.array_distinct(F.concat(F.array(rule_key(text)), codes, F.array(rule_key(wide))))
+    keys = F.array_distinct(F.concat(F.array(rule_key(c)), codes, F.array(rule_key(wide))))
     return F.filter(keys, lambda x: x != "")
 
 
@@ -179,10 +183,9 @@ def full_label_key(c: Column | str) -> Column:
 
 def option_display_name(c: Column | str) -> Column:
     """Readable option name: marketing text removed, separators as blanks."""
-    return F.coalesce(
-        blank_to_null(collapse(F.regexp_replace(_without_marketing(nfkc(c)), r"[/_·-]+", " "))),
-        collapse(c),
-    )
+    return let(
+        collapse(F.regexp_replace(_without_marketing(nfkc(c)), r"[/_·-]+", " ")),
+        lambda shown: _or_else(shown, collapse(c)))
 
 
 _SHADE = r"(?U)^(?i:([a-z]+)(\d+)|(\d+(?:\.\d+)?)([a-z]+)?)$"
@@ -190,18 +193,15 @@ _SHADE = r"(?U)^(?i:([a-z]+)(\d+)|(\d+(?:\.\d+)?)([a-z]+)?)$"
 
 def shade_code_of_key(key: Column | str) -> Column:
     """Shade code of an option mapping key: leading zeros dropped; other keys unchanged."""
-    key = col(key)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(key, _SHADE, i)
+    def code(k: Column) -> Column:
+        number = F.concat(F.regexp_extract(k, _SHADE, 2), F.regexp_extract(k, _SHADE, 3))
+        # Zeros go at the front of a whole number and at the end of a decimal one.
+        number = F.when(number.contains("."), F.regexp_replace(number, r"\.?0+$", "")).otherwise(
+            F.regexp_replace(number, "^0+(?=.)", ""))
+        return F.when(k.rlike(_SHADE), F.concat(
+            F.lower(F.regexp_extract(k, _SHADE, 1)), number, F.lower(F.regexp_extract(k, _SHADE, 4)))).otherwise(k)
 
-    plain = F.concat(part(2), part(3))
-    number = F.when(
-        plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")
-    ).otherwise(F.regexp_replace(plain, "^0+(?=.)", ""))
-    return F.when(
-        key.rlike(_SHADE), F.concat(F.lower(part(1)), number, F.lower(part(4)))
-    ).otherwise(key)
+    return let(col(key), code)
 
 
 def shade_code_key(c: Column | str) -> Column:
@@ -230,13 +230,16 @@ INTENT_SUFFIXES = (
 
 def search_intent_query(c: Column | str) -> Column:
     """Product text of a question: quotes and trailing request phrases removed."""
-    text = F.regexp_replace(
-        F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), "[“”\"']", ""), SPACES, " "
-    )
-    bare = text
-    for pattern in INTENT_SUFFIXES:
-        bare = F.regexp_replace(bare, pattern, "")
-    return F.coalesce(blank_to_null(strip(bare)), text)
+    asked = F.regexp_replace(
+        F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), "[“”\"']", ""), SPACES, " ")
+
+    def bare(text: Column) -> Column:
+        out = text
+        for pattern in INTENT_SUFFIXES:
+            out = F.regexp_replace(out, pattern, "")
+        return let(strip(out), lambda x: _or_else(x, text))
+
+    return let(asked, bare)
 
 
 def parse_price(c: Column | str) -> Column:

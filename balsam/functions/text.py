@@ -26,6 +26,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate a value once and use it several times in `body`.
+
+    A repeated expression is otherwise copied into the plan once per use; nested copies grow
+    exponentially and end code generation."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str, chars: str = SPACE_CHARS) -> Column:
     """Trim a character class from both ends."""
     return F.regexp_replace(col(c), f"^[{chars}]+|[{chars}]+$", "")
@@ -78,26 +86,30 @@ def _casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
+def _folded(c: Column | str, udf, ascii_form) -> Column:
+    """A named column skips Python for its ASCII values; an expression goes through the function
+    whole, as testing it first would copy it."""
+    if isinstance(c, str):
+        return F.coalesce(udf(_non_ascii(F.col(c))), ascii_form(F.col(c)))
+    return udf(c)
+
+
 def nfkc(c: Column | str) -> Column:
-    c = col(c)
-    return F.coalesce(_nfkc(_non_ascii(c)), c)
+    return _folded(c, _nfkc, lambda x: x)
 
 
 def fold(c: Column | str) -> Column:
     """NFKC + case fold of the whole string."""
-    c = col(c)
-    return F.coalesce(_nfkc_casefold(_non_ascii(c)), F.lower(c))
+    return _folded(c, _nfkc_casefold, F.lower)
 
 
 def fold_each(c: Column | str) -> Column:
     """NFKC + case fold of each character on its own."""
-    c = col(c)
-    return F.coalesce(_nfkc_casefold_each(_non_ascii(c)), F.lower(c))
+    return _folded(c, _nfkc_casefold_each, F.lower)
 
 
 def casefold(c: Column | str) -> Column:
-    c = col(c)
-    return F.coalesce(_casefold(_non_ascii(c)), F.lower(c))
+    return _folded(c, _casefold, F.lower)
 
 
 def contains_any(c: Column | str, words) -> Column:
@@ -128,12 +140,8 @@ def first_occurrences(arr: Column, key=None) -> Column:
     """Order-preserving distinct of an array by a key expression (not null)."""
     if key is None:
         return F.array_distinct(arr)
-    keys = F.transform(arr, key)
-    zipped = F.arrays_zip(arr.alias("v"), keys.alias("k"))
-    return F.transform(
-        F.filter(zipped, lambda x, i: F.array_position(keys, x["k"]) == i + 1),
-        lambda x: x["v"],
-    )
+    return let(arr, lambda a: let(F.transform(a, key), lambda keys: F.filter(
+        a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 # --- splitting ---------------------------------------------------------------------------
@@ -147,19 +155,14 @@ def split_simple(c: Column | str) -> Column:
 def _depth_after(text: Column, depth: Column) -> Column:
     """Bracket depth at the end of a comma-free piece; depth never goes below zero.
 
-    Matched pairs cancel, so a piece reduces to `)))(((`: first close, then open."""
-    opens = F.length(F.regexp_replace(text, r"[^(\[]", ""))
-    closes = F.length(F.regexp_replace(text, r"[^)\]]", ""))
-    simple = F.greatest(depth + opens - closes, F.lit(0))
-    # A piece with both kinds, a closing one first, can clamp in the middle: scan its brackets.
-    scan = F.aggregate(
+    Only the brackets of the piece are walked."""
+    return F.aggregate(
         F.split(F.regexp_replace(text, r"[^()\[\]]", ""), ""),
         depth,
         lambda acc, ch: F.greatest(
             acc + F.when(ch.isin("(", "["), 1).when(ch.isin(")", "]"), -1).otherwise(0), F.lit(0)
         ),
     )
-    return F.when((opens > 0) & (closes > 0), scan).otherwise(simple)
 
 
 def raw_chunks(c: Column | str) -> Column:
@@ -167,9 +170,7 @@ def raw_chunks(c: Column | str) -> Column:
 
     Text without brackets is split by one regular expression; text with brackets folds over
     its comma pieces, carrying (finished pieces, open piece, depth)."""
-    text = F.coalesce(col(c), F.lit(""))
     no_digit_commas = r"(?U)(?<!\d),|,(?!\d)"
-    flat = F.split(text, no_digit_commas)
     zero = F.struct(
         F.array().cast("array<string>").alias("done"),
         F.lit(None).cast("string").alias("open"),
@@ -190,11 +191,12 @@ def raw_chunks(c: Column | str) -> Column:
             _depth_after(piece, acc["depth"]).alias("depth"),
         )
 
-    nested = F.aggregate(
-        F.split(text, ","), zero, step,
-        lambda acc: F.concat(acc["done"], F.array(acc["open"])),
-    )
-    return F.when(text.rlike(r"[(\[]"), nested).otherwise(flat)
+    def chunks(text: Column) -> Column:
+        nested = F.aggregate(
+            F.split(text, ","), zero, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+        return F.when(text.rlike(r"[(\[]"), nested).otherwise(F.split(text, no_digit_commas))
+
+    return let(F.coalesce(col(c), F.lit("")), chunks)
 
 
 def split_ingredients(c: Column | str) -> Column:

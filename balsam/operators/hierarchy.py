@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.settle import settle
 from ..functions.text import (
-    EDGE_CHARS, SPACE, SPACES, first_occurrences, fold, is_blank, raw_chunks, strip,
+    EDGE_CHARS, SPACE, SPACES, first_occurrences, fold, is_blank, let, raw_chunks, strip,
 )
 from .segmentation import canonicalize_options
 

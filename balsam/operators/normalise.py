@@ -12,7 +12,7 @@ from ..functions.keys import POLICIES
 
 def add_keys(df: DataFrame, spec: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add one key column per entry of {output column: (source column, policy name)}."""
-    return df.withColumns({out: POLICIES[p](F.col(src)) for out, (src, p) in spec.items()})
+    return df.withColumns({out: POLICIES[p](src) for out, (src, p) in spec.items()})
 
 
 def key_collisions(df: DataFrame, column: str, policy: str) -> DataFrame:
@@ -20,6 +20,6 @@ def key_collisions(df: DataFrame, column: str, policy: str) -> DataFrame:
 
     Rows are reduced to distinct spellings before anything is grouped by key."""
     spellings = df.groupBy(F.col(column).alias("spelling")).agg(F.count("*").alias("n_rows"))
-    keyed = spellings.withColumn("key", POLICIES[policy](F.col("spelling"))).filter("key <> ''")
+    keyed = spellings.withColumn("key", POLICIES[policy]("spelling")).filter("key <> ''")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n_spellings")).filter("n_spellings > 1")
     return keyed.join(shared, "key").select("key", "spelling", "n_rows", "n_spellings")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import keys
 from ..functions.settle import settle
-from ..functions.text import SPACE, is_blank, section_ingredients, strip
+from ..functions.text import SPACE, is_blank, let, section_ingredients, strip
 
 # Header grammars of the first parser, (name, pattern), most explicit first.
 HEADER_GRAMMARS = (
@@ -163,16 +163,18 @@ _CODE = r"(?iU)^\s*((?:[a-z]+\s*)?\d+(?:\.\d+)?(?:\s*[a-z]+)?)(?:\s*호)?(?=\s|$
 
 def option_aliases(canonical: DataFrame) -> DataFrame:
     """Alias keys of each option: full key, shade code, colour name, and the unshortened label."""
-    shown = canonical.withColumn("__name", keys.option_display_name("raw_option_name"))
     coded = F.col("__name").rlike(_CODE)
-    rest = F.regexp_replace("__name", _CODE, "")
-    full = keys.option_mapping_key("__name")
+    # The name and its parts are plain columns before keys are made of them.
+    shown = settle(canonical.withColumn("__name", keys.option_display_name("raw_option_name")).withColumns({
+        "__code": F.when(coded, F.regexp_extract("__name", _CODE, 1)),
+        "__rest": F.when(coded, F.regexp_replace("__name", _CODE, "")).otherwise(F.col("__name")),
+    }))
     return shown.withColumns({
-        "full_key": full,
-        "shade_code": F.when(coded, keys.shade_code_key(F.regexp_extract("__name", _CODE, 1))),
-        "color_key": F.nullif(F.when(coded, keys.option_mapping_key(rest)).otherwise(full), F.lit("")),
+        "full_key": keys.option_mapping_key("__name"),
+        "shade_code": F.nullif(keys.shade_code_key("__code"), F.lit("")),
+        "color_key": F.nullif(keys.option_mapping_key("__rest"), F.lit("")),
         "label_full_key": keys.full_label_key("__name"),
-    }).drop("__name")
+    }).drop("__name", "__code", "__rest")
 
 
 def header_option_candidates(headers: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -350,15 +352,18 @@ def option_needles(canonical: DataFrame) -> DataFrame:
     A key equal to an earlier one of the option is dropped."""
     bare = strip(F.regexp_replace(
         F.regexp_replace("raw_option_name", r"\[[^\[\]]*\]", " "), f"{SPACE}+", " "))
-    staged = canonical.withColumn("__bare", bare).withColumn(
-        "__at", F.length(F.get(F.split("__bare", _OPTION_CODE, 2), F.lit(0)))
-    ).withColumn("__has", F.col("__bare").rlike(_OPTION_CODE))
-    staged = staged.withColumns({
-        "k1": F.col("mapping_key"),
-        "k2": keys.option_label_key("raw_option_name"),
-        "__label": keys.option_mapping_key(F.substr("__bare", F.col("__at") + 1, F.length("__bare"))),
-        "__code": keys.option_mapping_key(F.regexp_extract("__bare", _OPTION_CODE, 0)),
+    staged = canonical.withColumn("__bare", bare).withColumns({
+        "__has": F.col("__bare").rlike(_OPTION_CODE),
+        "__tail": F.substr("__bare", F.length(F.get(F.split("__bare", _OPTION_CODE, 2), F.lit(0))) + 1,
+                           F.length("__bare")),
+        "__first": F.regexp_extract("__bare", _OPTION_CODE, 0),
     })
+    staged = settle(staged.withColumns({
+        "k1": F.col("mapping_key"),
+        "k2": keys.option_label_key(F.col("raw_option_name")),
+        "__label": keys.option_mapping_key(F.col("__tail")),
+        "__code": keys.option_mapping_key(F.col("__first")),
+    }))
     k3 = F.when(F.col("__has") & _mixed(F.col("__label")), F.col("__label"))
     k4 = F.when(F.col("__has") & _mixed(F.col("__code")), F.col("__code"))
     options = F.array(
@@ -370,9 +375,9 @@ def option_needles(canonical: DataFrame) -> DataFrame:
         F.struct(F.lit(3).alias("level"), k4.alias("needle"), F.lit(True).alias("in_mapping_text")),
     )
     found = F.filter(options, lambda x: x["needle"].isNotNull())
-    names = F.transform(found, lambda x: x["needle"])
-    return staged.select("doc_id", "option_pos", F.explode(F.filter(
-        found, lambda x, i: F.array_position(names, x["needle"]) == i + 1)).alias("n")).select(
+    unique = let(found, lambda f: let(F.transform(f, lambda x: x["needle"]), lambda names: F.filter(
+        f, lambda x, i: F.array_position(names, x["needle"]) == i + 1)))
+    return staged.select("doc_id", "option_pos", F.explode(unique).alias("n")).select(
         "doc_id", "option_pos", "n.*")
 
 
@@ -544,12 +549,12 @@ def classify_structure(docs: DataFrame, canonical: DataFrame) -> DataFrame:
             lambda acc, h: F.when(
                 (F.size(acc) > 0) & (h["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))),
                 acc).otherwise(F.concat(acc, F.array(h))))
-        return F.transform(F.filter(
-            F.transform(kept, lambda h, j: F.struct(
+        return let(kept, lambda k: F.transform(F.filter(
+            F.transform(k, lambda h, j: F.struct(
                 h["label_key"].alias("label"),
                 F.size(section_ingredients(_body(
-                    text, h["end"], F.coalesce(F.get(kept, j + 1)["start"], stop)))).alias("n"))),
-            lambda x: x["n"] >= MIN_SECTION_INGREDIENTS), lambda x: x["label"])
+                    text, h["end"], F.coalesce(F.get(k, j + 1)["start"], stop)))).alias("n"))),
+            lambda x: x["n"] >= MIN_SECTION_INGREDIENTS), lambda x: x["label"]))
 
     rows = rows.withColumn("nested", F.when(F.size("tops") >= 2, F.transform("tops", nested)).otherwise(
         F.array().cast("array<array<string>>"))).select("doc_id", "tops", "nested")
