@@ -152,51 +152,40 @@ def split_simple(c: Column | str) -> Column:
     return F.filter(F.transform(parts, collapse), lambda x: x != "")
 
 
-def _depth_after(text: Column, depth: Column) -> Column:
-    """Bracket depth at the end of a comma-free piece; depth never goes below zero.
+# A noncharacter, which no text may hold: stands for a separating comma while chunks are glued.
+_CUT = "\uffff"
+
 
-    Only the brackets of the piece are walked."""
-    return F.aggregate(
-        F.split(F.regexp_replace(text, r"[^()\[\]]", ""), ""),
-        depth,
+def _depth_after(text: Column, depth: Column) -> Column:
+    """Bracket depth at the end of a comma-free piece; depth never goes below zero."""
+    walked = F.aggregate(
+        F.split(F.regexp_replace(text, r"[^()\[\]]", ""), ""), depth,
         lambda acc, ch: F.greatest(
-            acc + F.when(ch.isin("(", "["), 1).when(ch.isin(")", "]"), -1).otherwise(0), F.lit(0)
-        ),
-    )
+            acc + F.when(ch.isin("(", "["), 1).when(ch.isin(")", "]"), -1).otherwise(0), F.lit(0)))
+    return F.when(text.rlike(r"[()\[\]]"), walked).otherwise(depth)
 
 
 def raw_chunks(c: Column | str) -> Column:
     """Pieces between the commas that stand outside brackets and not between two digits.
 
-    Text without brackets is split by one regular expression; text with brackets folds over
-    its comma pieces, carrying (finished pieces, open piece, depth)."""
-    no_digit_commas = r"(?U)(?<!\d),|,(?!\d)"
-    zero = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-        F.lit(0).alias("depth"),
-    )
-
-    def step(acc, piece):
-        glued = (acc["depth"] > 0) | (
-            acc["open"].rlike(r"(?U)\d$") & piece.rlike(r"(?U)^\d")
-        )
-        first = acc["open"].isNull()
-        merged = F.concat(acc["open"], F.lit(","), piece)
-        return F.struct(
-            F.when(first | glued, acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(acc["open"])))
-            .alias("done"),
-            F.when(first, piece).when(glued, merged).otherwise(piece).alias("open"),
-            _depth_after(piece, acc["depth"]).alias("depth"),
-        )
-
-    def chunks(text: Column) -> Column:
-        nested = F.aggregate(
-            F.split(text, ","), zero, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-        return F.when(text.rlike(r"[(\[]"), nested).otherwise(F.split(text, no_digit_commas))
-
-    return let(F.coalesce(col(c), F.lit("")), chunks)
+    Text without brackets is split by one regular expression.  Otherwise one pass over the comma
+    pieces marks those that begin inside brackets, and the pieces are joined again by a comma or
+    by the cut mark; both passes are linear, so a long text stays cheap."""
+
+    def glued(pieces: Column) -> Column:
+        inside = F.aggregate(
+            pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("marks")),
+            lambda acc, p: F.struct(
+                _depth_after(p, acc["depth"]).alias("depth"),
+                F.concat(acc["marks"], F.when(acc["depth"] > 0, "1").otherwise("0")).alias("marks")),
+            lambda acc: acc["marks"])
+        return let(inside, lambda marks: F.split(F.array_join(F.transform(pieces, lambda p, i: F.concat(
+            F.when(i == 0, "").when(
+                (F.substr(marks, i + 1, F.lit(1)) == "1")
+                | (F.get(pieces, i - 1).rlike(r"(?U)\d$") & p.rlike(r"(?U)^\d")), ",").otherwise(_CUT), p)), ""), _CUT))
+
+    return let(F.coalesce(col(c), F.lit("")), lambda text: F.when(
+        text.rlike(r"[(\[]"), let(F.split(text, ","), glued)).otherwise(F.split(text, r"(?U)(?<!\d),|,(?!\d)")))
 
 
 def split_ingredients(c: Column | str) -> Column:

@@ -226,7 +226,7 @@ def _grams(c: Column, n: Column | int) -> Column:
 def contains_join(
     texts: DataFrame, text: str, needles: DataFrame, needle: str
 ) -> DataFrame:
-    """Pairs where texts.text contains needles.needle, without comparing all pairs.
+    """Distinct (text, needle) where the text contains the needle, without comparing all pairs.
 
     A text that contains a needle holds every short substring of it.  Each needle is looked up by
     its rarest substring of (up to) three characters, and the hits are then verified."""
@@ -234,39 +234,50 @@ def contains_join(
         F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>"))
         for n in range(1, _GRAM + 1)
     ])
-    index = texts.select("*", F.explode(sized).alias("__gram"))
+    distinct = needles.select(F.col(needle).alias("__needle")).filter("__needle <> ''").distinct()
+    probes = distinct.withColumn("__gram", F.explode(_grams(
+        F.col("__needle"), F.least(F.length("__needle"), F.lit(_GRAM)))))
+    # Equal texts are looked at once, and only by substrings that some needle asks for.
+    index = texts.select(text).distinct().select(text, F.explode(sized).alias("__gram")).join(
+        probes.select("__gram").distinct(), "__gram", "left_semi")
     frequency = index.groupBy("__gram").agg(F.count("*").alias("__n"))
-    wanted = needles.filter(F.col(needle) != "")
-    distinct = wanted.select(F.col(needle).alias("__needle")).distinct().withColumn(
-        "__gram", F.explode(_grams(
-            F.col("__needle"), F.least(F.length("__needle"), F.lit(_GRAM)))))
     rarest = keep_first(
-        distinct.join(frequency, "__gram"), "__needle", ["__n", "__gram"]
+        probes.join(frequency, "__gram"), "__needle", ["__n", "__gram"]
     ).select("__needle", "__gram")
-    found = index.join(rarest, "__gram").filter(F.col(text).contains(F.col("__needle"))).drop("__gram")
-    return found.join(wanted, F.col("__needle") == wanted[needle]).drop("__needle")
+    found = index.join(rarest, "__gram").filter(F.col(text).contains(F.col("__needle")))
+    return found.select(text, F.col("__needle").alias(needle))
 
 
-def _text_hits(queries: DataFrame, products: DataFrame, brand_needle: Column) -> DataFrame:
-    """(query_id, product_id): the name key or the brand contains the query (ASCII case ignored)."""
+def _newest_hits(
+    queries: DataFrame, products: DataFrame, brand_needle: Column, limit: int
+) -> DataFrame:
+    """(query_id, product_id, rank): newest products whose name key or brand contains the query
+    (ASCII case ignored).
+
+    Queries with the same needles share one result, so it is found and cut once."""
     asked = queries.select(
         "query_id", keys.product_name_key("query").alias("name_needle"),
         F.lower(brand_needle).alias("brand_needle"),
     ).filter("name_needle <> ''")
-    by_name = contains_join(
-        products.select("product_id", "name_key"), "name_key",
-        asked.select("query_id", "name_needle"), "name_needle")
-    by_brand = contains_join(
-        products.select("product_id", F.lower("brand_name").alias("brand")), "brand",
-        asked.select("query_id", "brand_needle"), "brand_needle")
-    return by_name.select("query_id", "product_id").unionByName(
-        by_brand.select("query_id", "product_id")).distinct()
+    wanted = asked.select("name_needle", "brand_needle").distinct()
+    rows = products.select("product_id", "name_key", F.lower("brand_name").alias("brand"), "updated_at")
+    order = [F.desc("updated_at"), "product_id"]
+
+    def found(text: str, needle: str) -> DataFrame:
+        # Only the newest `limit` products of one text can be among the newest of a needle.
+        newest = top_k(rows, text, order, limit)
+        return contains_join(rows, text, wanted, needle).join(wanted, needle).join(newest, text)
+
+    by_name, by_brand = found("name_key", "name_needle"), found("brand", "brand_needle")
+    columns = ["name_needle", "brand_needle", "product_id", "updated_at"]
 
+    def best(df: DataFrame) -> DataFrame:
+        return top_k(df.select(*columns), ["name_needle", "brand_needle"], order, limit)
 
-def _newest(hits: DataFrame, products: DataFrame, limit: int) -> DataFrame:
-    dated = hits.join(products.select("product_id", "updated_at"), "product_id")
-    return top_k(dated, "query_id", [F.desc("updated_at"), "product_id"], limit, rank_col="rank").select(
-        "query_id", "product_id", "rank")
+    # Each way is cut on its own first; a product found by both ways counts once.
+    both = best(by_name).unionByName(best(by_brand)).distinct()
+    ranked = top_k(both, ["name_needle", "brand_needle"], order, limit, rank_col="rank")
+    return asked.join(ranked, ["name_needle", "brand_needle"]).select("query_id", "product_id", "rank")
 
 
 def search_complete(
@@ -278,8 +289,7 @@ def search_complete(
     Completeness is checked before the limit."""
     complete = complete_products(states, records, items, as_of).select("product_id")
     usable = products.join(complete, "product_id", "left_semi")
-    hits = _text_hits(queries, usable, keys.product_name_key("query"))
-    return _newest(hits, usable, limit)
+    return _newest_hits(queries, usable, keys.product_name_key("query"), limit)
 
 
 def search_products(
@@ -293,7 +303,7 @@ def search_products(
     finished = states.filter((F.col("expires_at") > now) & F.col("status").isin(*FINISHED))
     valid = listed.select("product_id").unionByName(finished.select("product_id")).distinct()
     usable = products.join(valid, "product_id", "left_semi")
-    return _newest(_text_hits(queries, usable, strip("query")), usable, limit)
+    return _newest_hits(queries, usable, strip("query"), limit)
 
 
 def cached_search(queries: DataFrame, searches: DataFrame, results: DataFrame, as_of) -> DataFrame:
