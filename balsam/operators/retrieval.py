@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.settle import settle
+from ..functions.text import let
 from .windows import keep_first, top_k
 
 # Score of an exact hit by the first field that equals the query, in this order.
@@ -34,8 +35,8 @@ def exact_index(docs: DataFrame, k: int) -> DataFrame:
         F.struct(keys.retrieval_key(c).alias("key"), F.lit(s).alias("match_score"))
         for c, s in FIELD_SCORES
     ])
-    names = F.transform("__f", lambda f: f["key"])
-    first = F.filter("__f", lambda f, i: (f["key"] != "") & (F.array_position(names, f["key"]) == i + 1))
+    first = let(F.transform("__f", lambda f: f["key"]), lambda names: F.filter(
+        "__f", lambda f, i: (f["key"] != "") & (F.array_position(names, f["key"]) == i + 1)))
     entries = (
         docs.select("row", fields.alias("__f")).select("row", F.explode(first).alias("__e"))
         .select("row", "__e.*")
@@ -55,16 +56,21 @@ def exact_retrieve(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame
 # --- vectors ---------------------------------------------------------------------------------
 
 def _unit(c: Column) -> Column:
-    v = F.transform(c, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return let(F.transform(c, lambda x: x.cast("double")), lambda v: let(
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)),
+        lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
+
+
+# Signed axes that serve as cell centres: twice this many cells.
+AXES = 8
 
 
 def _cells(unit: Column) -> Column:
-    """Candidate cells of a unit vector: every signed axis with the cosine to it."""
+    """Candidate cells of a unit vector: the first signed axes with the cosine to each."""
+    head = F.slice(unit, 1, AXES)
     return F.concat(
-        F.transform(unit, lambda x, i: F.struct((i * 2).alias("cell"), x.alias("cos"))),
-        F.transform(unit, lambda x, i: F.struct((i * 2 + 1).alias("cell"), (-x).alias("cos"))),
+        F.transform(head, lambda x, i: F.struct((i * 2).alias("cell"), x.alias("cos"))),
+        F.transform(head, lambda x, i: F.struct((i * 2 + 1).alias("cell"), (-x).alias("cos"))),
     )
 
 
@@ -102,11 +108,11 @@ def vector_retrieve(
     query visits just those cells, and nothing is approximate.  Cells are cut into blocks of
     about `block_rows` documents, and the queries of a block likewise, so a crowded cell becomes
     many small tasks.  A block scores with one matrix product and emits at most k rows a query."""
-    d = docs.select("row", _unit(F.col("vector")).alias("unit")).withColumn(
+    d = docs.select("row", _unit(F.col("vector")).alias("unit")).filter("unit IS NOT NULL").withColumn(
         "__near", F.array_max(F.transform(_cells(F.col("unit")), lambda c: F.struct(
             c["cos"].alias("cos"), c["cell"].alias("cell"))))
     ).select("row", "unit", F.col("__near.cell").alias("cell"), F.col("__near.cos").alias("cos"))
-    # At most two rows per vector dimension, whatever the number of documents.
+    # At most two rows per axis, whatever the number of documents.
     cells = d.groupBy("cell").agg(
         F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("radius"), F.count("*").alias("n_docs")
     ).withColumn("doc_blocks", F.ceil(F.col("n_docs") / block_rows).cast("int"))

@@ -280,6 +280,11 @@ def _newest_hits(
     return asked.join(ranked, ["name_needle", "brand_needle"]).select("query_id", "product_id", "rank")
 
 
+def _searchable(products: DataFrame) -> DataFrame:
+    """The columns a text search reads, written once: both needles read them several times."""
+    return settle(products.select("product_id", "name_key", "brand_name", "updated_at"))
+
+
 def search_complete(
     queries: DataFrame, products: DataFrame, states: DataFrame, records: DataFrame,
     items: DataFrame, as_of, limit: int = 5,
@@ -288,7 +293,7 @@ def search_complete(
 
     Completeness is checked before the limit."""
     complete = complete_products(states, records, items, as_of).select("product_id")
-    usable = products.join(complete, "product_id", "left_semi")
+    usable = _searchable(products.join(complete, "product_id", "left_semi"))
     return _newest_hits(queries, usable, keys.product_name_key("query"), limit)
 
 
@@ -302,7 +307,7 @@ def search_products(
     listed = results.join(searches.filter(F.col("expires_at") > now), "query_key", "left_semi")
     finished = states.filter((F.col("expires_at") > now) & F.col("status").isin(*FINISHED))
     valid = listed.select("product_id").unionByName(finished.select("product_id")).distinct()
-    usable = products.join(valid, "product_id", "left_semi")
+    usable = _searchable(products.join(valid, "product_id", "left_semi"))
     return _newest_hits(queries, usable, strip("query"), limit)
 
 
