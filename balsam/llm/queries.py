@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from balsam.llm import bpe, line_dedup, sharding
+from balsam.llm import bpe, line_dedup, minhash, sharding
 from balsam.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.deduplicate_lines(documents(spark, sf_dir)))
 
 
+@_query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link_documents(documents(spark, sf_dir))
+
+
 @_query("op10_sharding", sharding.ORACLE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), sharding.SHARD_BYTES)
