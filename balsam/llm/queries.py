@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from balsam.llm import bpe, line_dedup, minhash, quality_rules, sharding, suffix_dedup
+from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, quality_rules, sharding, suffix_dedup
 from balsam.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.deduplicate_lines(documents(spark, sf_dir)))
 
 
+@_query("op4_embedding_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 @_query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
