@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, quality_rules, rule_ensemble, sharding, suffix_dedup
+from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_rules, rule_ensemble, sharding, suffix_dedup
 from balsam.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+@_query("op6_mixing", mixing.ORACLE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "epoch", *mixing.LEVELS, "n_tokens")
+
+
 @_query("op7_rule_ensemble")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
