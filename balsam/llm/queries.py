@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_rules, rule_ensemble, sharding, suffix_dedup
+from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup
 from balsam.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+@_query("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(documents(spark, sf_dir))
+
+
 @_query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link_documents(documents(spark, sf_dir))
