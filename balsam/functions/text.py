@@ -140,8 +140,11 @@ def first_occurrences(arr: Column, key=None) -> Column:
     """Order-preserving distinct of an array by a key expression (not null)."""
     if key is None:
         return F.array_distinct(arr)
-    return let(arr, lambda a: let(F.transform(a, key), lambda keys: F.filter(
-        a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    keyed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    # Equal keys stand side by side once sorted; the first of each run goes back to its place.
+    return let(F.array_sort(keyed), lambda s: F.transform(F.array_sort(F.transform(
+        F.filter(s, lambda e, n: (n == 0) | (F.get(s, n - 1)["k"] != e["k"])),
+        lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"]))
 
 
 # --- splitting ---------------------------------------------------------------------------
@@ -179,9 +182,9 @@ def raw_chunks(c: Column | str) -> Column:
                 _depth_after(p, acc["depth"]).alias("depth"),
                 F.concat(acc["marks"], F.when(acc["depth"] > 0, "1").otherwise("0")).alias("marks")),
             lambda acc: acc["marks"])
-        return let(inside, lambda marks: F.split(F.array_join(F.transform(pieces, lambda p, i: F.concat(
+        return let(F.split(inside, ""), lambda marks: F.split(F.array_join(F.transform(pieces, lambda p, i: F.concat(
             F.when(i == 0, "").when(
-                (F.substr(marks, i + 1, F.lit(1)) == "1")
+                (F.get(marks, i) == "1")
                 | (F.get(pieces, i - 1).rlike(r"(?U)\d$") & p.rlike(r"(?U)^\d")), ",").otherwise(_CUT), p)), ""), _CUT))
 
     return let(F.coalesce(col(c), F.lit("")), lambda text: F.when(
@@ -207,14 +210,24 @@ def clean_section(c: Column | str) -> Column:
     return strip(F.regexp_replace(text, f"{SPACE}*\n{SPACE}*", " "))
 
 
-def section_ingredients(c: Column | str) -> Column:
-    """Ingredient array of one section; case-insensitive duplicates keep the first spelling.
+# Letters whose case fold is more than their small letter.
+_FOLDS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ΐ": "ΐ", "ΰ": "ΰ"}
+
+
+def casefolded(x: Column) -> Column:
+    """A key that two texts share if their case folds are equal: small letters, one sigma, one long s,
+    sharp s and ligatures spelled out."""
+    out = F.translate(F.lower(x), "ςſẞ", "σsß")
+    for letter, spelled in _FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelled))
+    return out
 
-    Duplicates are compared by `lower`; the full case fold differs from it only in letters
-    such as sharp s, for which both spellings are mapped alike here."""
+
+def section_ingredients(c: Column | str) -> Column:
+    """Ingredient array of one section; duplicates by case fold keep the first spelling."""
     parts = F.transform(
         split_ingredients(clean_section(c)),
         lambda x: strip(F.regexp_replace(x, SPACES, " "), EDGE_CHARS),
     )
     parts = F.filter(parts, lambda x: x != "")
-    return first_occurrences(parts, lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
+    return first_occurrences(parts, casefolded)

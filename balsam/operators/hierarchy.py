@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.settle import settle
 from ..functions.text import (
-    EDGE_CHARS, SPACE, SPACES, first_occurrences, fold, is_blank, let, raw_chunks, strip,
+    EDGE_CHARS, SPACE, SPACES, casefolded, first_occurrences, fold, is_blank, let, raw_chunks, strip,
 )
 from .segmentation import canonicalize_options
 
@@ -42,32 +42,20 @@ def _clean_item(c: Column) -> Column:
     return strip(F.regexp_replace(c, SPACES, " "), EDGE_CHARS)
 
 
-def _casefolded(x: Column) -> Column:
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
-
-
 def chunk_ingredients(text: Column) -> Column:
     """Cleaned comma chunks of a text, case-insensitive repeats dropped."""
     parts = F.filter(F.transform(raw_chunks(text), _clean_item), lambda x: x != "")
-    return first_occurrences(parts, _casefolded)
+    return first_occurrences(parts, casefolded)
 
 
 def comma_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_index, chunk, start, end: the pieces between separating commas, untrimmed.
 
-    Offsets are running lengths, added up inside the document row."""
-    placed = F.aggregate(
-        raw_chunks(F.col("text")),
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<chunk:string,start:int,end:int>>").alias("out")),
-        lambda acc, c: F.struct(
-            (acc["at"] + F.length(c) + 1).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                c.alias("chunk"), acc["at"].alias("start"), (acc["at"] + F.length(c)).alias("end"))))
-            .alias("out")),
-        lambda acc: acc["out"])
-    return docs.select("doc_id", F.posexplode(placed).alias("chunk_index", "c")).select(
-        "doc_id", "chunk_index", "c.*")
+    Offsets are running lengths over the document's chunks, which are linear in its text."""
+    pieces = docs.select("doc_id", F.posexplode(raw_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    before = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("chunk") + 1).over(before), F.lit(0)).cast("int")
+    return pieces.withColumn("start", start).withColumn("end", F.col("start") + F.length("chunk"))
 
 
 def classify_chunks(chunks: DataFrame) -> DataFrame:
@@ -206,8 +194,10 @@ def formula_boundaries(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     chunks = settle(chunks.filter(F.size("words") >= 2))
     by = ["doc_id", "section_no", "chunk_index"]
     n = F.size("words")
-    # A code such as (ci 77019) may follow the name: room for it beyond the longest key.
-    reach = F.least(n - 1, longest + 16)
+    # A code such as (ci 77019) may follow the name: room for the longest one in the chunk.
+    codes = F.regexp_extract_all(F.array_join("keys", ""), F.lit(_CODE_SUFFIX.rstrip("$")), F.lit(0))
+    room = F.coalesce(F.array_max(F.transform(codes, F.length)), F.lit(0))
+    reach = F.least(n - 1, longest + room)
     lefts = chunks.select(*by, "keys", F.explode(F.sequence(F.lit(1), reach)).alias("left_end")).select(
         *by, "left_end", F.array_join(F.slice("keys", F.lit(1), F.col("left_end")), "").alias("key"))
     known_left = settle(_known(lefts, dictionary).select(*by, "left_end").distinct())
@@ -221,7 +211,8 @@ def formula_boundaries(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
         chunks.select(*by, "keys"), by).select(
         *by, "left_end", "right_start", F.array_join(F.slice(
             "keys", F.col("left_end") + 1, F.col("right_start") - F.col("left_end")), "").alias("key"))
-    known_middle = _known(pairs.filter(F.length("key") <= longest + 16), dictionary)
+    bare = F.length("key") - F.length(F.regexp_extract("key", _CODE_SUFFIX, 0))
+    known_middle = _known(pairs.filter(bare <= longest), dictionary)
     with_left = pairs.filter("chunk_index > 0").join(
         known_middle.select(*by, "left_end", "right_start").distinct(), [*by, "left_end", "right_start"],
         "left_anti").select(*by, "left_end", "right_start")

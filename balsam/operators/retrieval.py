@@ -141,7 +141,7 @@ def vector_retrieve(
     hits = (
         left.select(*by, "query_id", "unit").groupBy(*by)
         .cogroup(right.select(*by, "row", "unit").groupBy(*by))
-        .applyInPandas(_best_of_block(k, threshold), "query_id long, row long, score double")
+        .applyInPandas(_best_of_block(k, threshold), f"query_id {queries.schema['query_id'].dataType.simpleString()}, row long, score double")
     )
     best = top_k(hits, "query_id", [F.desc("score"), "row"], k, rank_col="rank")
     return best.select(
@@ -196,12 +196,13 @@ def retrieve_for_ingredients(
     Requests are rows (request_id, position, query, vector, search_k): one row per ingredient
     with search_k 1, or one free-text row with search_k 8.  Equal queries are searched once, as
     many requests name the same ingredients."""
-    distinct = requests.groupBy("query").agg(F.min("vector").alias("vector"))
-    found = hybrid_retrieve(
-        distinct.withColumn("query_id", F.xxhash64("query")), docs, CANDIDATE_K, threshold
-    ).withColumnRenamed("rank", "hit_rank")
+    # A digest of query and vector names a search: rows that differ in either are searched apart.
+    named = requests.withColumn("query_id", F.sha2(F.to_json(F.struct("query", "vector")), 256))
+    distinct = named.groupBy("query_id").agg(F.first("query").alias("query"), F.first("vector").alias("vector"))
+    most = requests.agg(F.max("search_k")).first()[0] or CANDIDATE_K
+    found = hybrid_retrieve(distinct, docs, max(most, CANDIDATE_K), threshold).withColumnRenamed("rank", "hit_rank")
     hits = (
-        requests.withColumn("query_id", F.xxhash64("query")).drop("vector")
+        named.drop("vector")
         .join(found, "query_id").filter("hit_rank <= search_k").drop("query_id")
         .join(docs.drop("vector"), "row")
         .withColumnRenamed("query", "query_ingredient")

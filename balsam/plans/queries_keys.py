@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import normalise, windows
 from . import views  # noqa: F401
-from .duck import clean, dictionary_key, fold, item_key, registry_key, retrieval_key, rule_key, squeeze
+from .duck import clean, comma_chunks, dictionary_key, fold, item_key, registry_key, retrieval_key, rule_key, squeeze
 from .registry import query, view
 
 # Names in the shapes the policies care about, from the whole part table.
@@ -178,24 +178,16 @@ def _(t):
         "doc_id", (F.col("p") + 1).alias("pos"), "name")
 
 
-# Bracketed and digit-joined commas are written as a marker on the SQL side and put back later.
-_DIOL = "replace(text, 'the', '1,2-diol, the')"
-_MARKED = f"regexp_replace({_DIOL}, '([a-z]), ([a-z]+)', '\\1 (x@ [y@ z]@ \\2) ', 'g')"
-
-
 @query("split_ingredients", f"""
-SELECT doc_id, pos, replace(name, '@', ',') AS name FROM (
-  SELECT doc_id, unnest(parts) AS name, generate_subscripts(parts, 1) AS pos FROM (
-    SELECT doc_id, list_filter(list_transform(string_split(
-             regexp_replace({_MARKED}, '([0-9]),([0-9])', '\\1@\\2', 'g'), ','),
-             lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts
-    FROM {{documents}} WHERE text NOT LIKE '%@%' AND text NOT LIKE '%(%' AND text NOT LIKE '%)%'))""")
+WITH source AS (SELECT doc_id, regexp_replace(replace(text, 'the', '1,2-diol, the'), '([a-z]), ([a-z]+)',
+                  '\\1 (x, [y, z], \\2) ', 'g') AS text FROM {{documents}}),{comma_chunks('source')}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS pos, name FROM (
+  SELECT doc_id, chunk_index, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS name FROM c) WHERE name <> ''""")
 def _(t):
-    clear = t.documents.filter("text NOT LIKE '%@%' AND text NOT LIKE '%(%' AND text NOT LIKE '%)%'")
     source = F.regexp_replace(
         F.replace("text", F.lit("the"), F.lit("1,2-diol, the")),
         "([a-z]), ([a-z]+)", "$1 (x, [y, z], $2) ")
-    return clear.select(
+    return t.documents.select(
         "doc_id", F.posexplode(text.split_ingredients(source)).alias("p", "name")
     ).select("doc_id", (F.col("p") + 1).alias("pos"), "name")
 

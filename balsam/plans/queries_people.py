@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import classify, context, evaluate, quality, requests, skin
 from . import views  # noqa: F401
 from .queries_matching import _ITEMS, _REG_INDEX
+from .queries_retrieval import _EXACT
 from .registry import query, view
 
 # --- skin rules ---------------------------------------------------------------------------------
@@ -294,8 +295,15 @@ def _(t):
 # --- evaluation ----------------------------------------------------------------------------------------
 # Gold is put beside the outputs so that each metric fails for a known part of the rows.
 
-@query("evaluate_retrieval", """
-SELECT query_id AS case_id, query_id % 6 = 0 AND query_id % 5 <> 4 AS name_found FROM {search_queries} WHERE query_id % 6 = 0""")
+@query("evaluate_retrieval", f"""
+WITH {_EXACT.replace('THRESHOLD', '0')}, named AS (
+  SELECT e.query_id, count(*) AS n, bool_or(d.ingredient_kor_name = 'Name-' || e.query_id) AS found,
+         bool_or(d.ingredient_kor_name = 'Name-7') AS forbidden
+  FROM exact e JOIN {{docs}} d ON d.row = e.row GROUP BY 1)
+SELECT q.query_id AS case_id, n IS NOT NULL AS type_correct, coalesce(found, false) AS name_found,
+       NOT coalesce(forbidden, false) AS forbidden_absent,
+       n IS NOT NULL AND coalesce(found, false) AND NOT coalesce(forbidden, false) AS case_correct
+FROM {{search_queries}} q LEFT JOIN named USING (query_id)""")
 def _(t):
     from ..operators.retrieval import exact_retrieve
 
@@ -303,11 +311,11 @@ def _(t):
     outputs = hits.groupBy(F.col("query_id").alias("case_id")).agg(
         F.collect_list("retrieval_type").alias("retrieval_types"),
         F.collect_list("ingredient_kor_name").alias("document_names"))
-    gold = t.search_queries.filter("query_id % 6 = 0").select(
+    gold = t.search_queries.select(
         F.col("query_id").alias("case_id"), F.lit("exact_match").alias("expected_retrieval_type"),
         F.concat(F.lit("Name-"), F.col("query_id").cast("string")).alias("expected_name"),
-        F.array(F.lit("none")).alias("forbidden_names"))
-    return evaluate.evaluate(outputs, gold, evaluate.retrieval_metrics()).select("case_id", "name_found")
+        F.array(F.lit("Name-7")).alias("forbidden_names"))
+    return evaluate.evaluate(outputs, gold, evaluate.retrieval_metrics())
 
 
 @query("evaluate_routing", f"""

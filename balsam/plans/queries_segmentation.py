@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy, segmentation
 from . import views  # noqa: F401
-from .duck import clean
+from .duck import clean, comma_chunks
 from .registry import query, view
 
 _LABEL = ("CASE WHEN p_size % 6 = 0 THEN '0' || CAST(p_size AS STRING) || '호 ' || p_name "
@@ -256,23 +256,17 @@ def _(t):
 
 
 # --- second parser ---------------------------------------------------------------------------------------
-view("comma_docs", "SELECT doc_id, translate(text, '()[]#★' || chr(123) || chr(125), '') AS text FROM {documents}")
-_SPLIT = """
-c AS (SELECT doc_id, replace(unnest(p), '@', ',') AS chunk, generate_subscripts(p, 1) - 1 AS chunk_index
-      FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(replace(text, '@', '~'),
-              '([0-9]),([0-9])', '\\1@\\2', 'g'), '([0-9]),([0-9])', '\\1@\\2', 'g'), ',') AS p
-            FROM {comma_docs}))"""
+_SPLIT = comma_chunks("{documents}")
 
 
 @query("comma_chunks", f"""
 WITH {_SPLIT}
-SELECT doc_id, chunk_index, replace(chunk, '~', '@') AS chunk, CAST(start AS INT) AS start,
+SELECT doc_id, chunk_index, chunk, CAST(start AS INT) AS start,
        CAST(start + length(chunk) AS INT) AS "end"
 FROM (SELECT *, coalesce(sum(length(chunk) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c)""")
 def _(t):
-    docs = t.comma_docs.withColumn("text", F.replace("text", F.lit("~"), F.lit("@")))
-    return hierarchy.comma_chunks(docs)
+    return hierarchy.comma_chunks(t.documents)
 
 
 @query("classify_chunks", f"""
@@ -282,7 +276,7 @@ SELECT doc_id, chunk_index, CASE WHEN regexp_full_match(x, '[0-9]+(\\.[0-9]+)?')
     THEN 'alphanumeric' ELSE 'text' END AS kind
 FROM (SELECT *, {clean('chunk')} AS x FROM c)""")
 def _(t):
-    return hierarchy.classify_chunks(hierarchy.comma_chunks(t.comma_docs)).select(
+    return hierarchy.classify_chunks(hierarchy.comma_chunks(t.documents)).select(
         "doc_id", "chunk_index", "kind")
 
 

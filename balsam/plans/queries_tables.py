@@ -15,9 +15,9 @@ _UNTIL = "1999-12-31 00:00:00"
 _END = f"TIMESTAMP '{_UNTIL}'"
 
 # --- API pages ------------------------------------------------------------------------------------
-# Fifty parts make a page; page 30 is empty where there are that many, so later pages are not read.
+# Fifty parts make a page; the page before the last is empty, so the last one is not read.
 _FIELDS = "p_name AS INGR_KOR_NAME, ' ' || p_brand || '  x' AS INGR_ENG_NAME, CAST(p_partkey AS STRING) AS CAS_NO"
-_LAST = 30
+_LAST_SQL = "(SELECT CAST(floor(max(p_partkey) / 50) AS INT) - 1 FROM {part})"
 
 
 def _pages(t, kind: str):
@@ -25,9 +25,10 @@ def _pages(t, kind: str):
         F.floor(F.col("p_partkey") / 50).cast("int").alias("page_no"), "p_partkey",
         F.struct(F.col("p_name").alias("INGR_KOR_NAME"), F.concat(F.lit(" "), "p_brand", F.lit("  x")).alias("INGR_ENG_NAME"),
                  F.col("p_partkey").cast("string").alias("CAS_NO")).alias("item"))
+    last = t.part.agg(F.floor(F.max("p_partkey") / 50).cast("int") - 1).first()[0]
     grouped = rows.groupBy("page_no").agg(
         F.array_sort(F.collect_list(F.struct("p_partkey", "item"))).alias("l")).select(
-        "page_no", F.when(F.col("page_no") == _LAST, F.slice("l", 1, 0)).otherwise(F.col("l")).alias("l")).select(
+        "page_no", F.when(F.col("page_no") == last, F.slice("l", 1, 0)).otherwise(F.col("l")).alias("l")).select(
         "page_no", F.transform("l", lambda x: x["item"]).alias("items"))
     if kind == "json":
         items = F.to_json("items")
@@ -42,7 +43,7 @@ def _pages(t, kind: str):
         body = F.array_join(F.transform("items", lambda i: F.concat(
             F.lit("<item><INGR_KOR_NAME>"), i["INGR_KOR_NAME"], F.lit("</INGR_KOR_NAME><INGR_ENG_NAME>"), i["INGR_ENG_NAME"],
             F.lit("</INGR_ENG_NAME><CAS_NO>"), i["CAS_NO"], F.lit("</CAS_NO></item>"))), "")
-        code = F.when(F.col("page_no") % 7 == 3, "99").otherwise("00")
+        code = F.when((F.col("page_no") % 7 == 3) & (F.col("page_no") != last), "99").otherwise("00")
         payload = F.concat(F.lit("<response><header><resultCode>"), code, F.lit("</resultCode><resultMsg>m</resultMsg></header><body><items>"),
                            body, F.lit("</items></body></response>"))
     return grouped.select("page_no", payload.alias("payload"))
@@ -53,7 +54,7 @@ def _page_sql(keep: str, single: str) -> str:
 SELECT page_no, item_no, ingredient_kor_name, ingredient_eng_name, cas_no FROM (
   SELECT CAST(floor(p_partkey / 50) AS INT) AS page_no, CAST(p_partkey % 50 AS INT) AS item_no, p_name AS ingredient_kor_name,
          p_brand || ' x' AS ingredient_eng_name, CAST(p_partkey AS STRING) AS cas_no FROM {{part}})
-WHERE page_no < {_LAST} AND {keep} AND ({single})"""
+WHERE page_no < {_LAST_SQL} AND {keep} AND ({single})"""
 
 
 _ITEM = ["page_no", "item_no", "ingredient_kor_name", "ingredient_eng_name", "cas_no"]
@@ -66,12 +67,12 @@ def _(t):
 
 @query("parse_xml_pages", _page_sql("page_no % 7 <> 3", "true"))
 def _(t):
-    return readers.parse_xml_pages(_pages(t, "xml")).select(*_ITEM)
+    return readers.parse_xml_pages(_pages(t, "xml"), on_error="skip").select(*_ITEM)
 
 
 @query("xml_errors", """
 SELECT DISTINCT CAST(floor(p_partkey / 50) AS INT) AS page_no, '99' AS result_code, 'm' AS result_msg FROM {part}
-WHERE CAST(floor(p_partkey / 50) AS INT) % 7 = 3""")
+WHERE CAST(floor(p_partkey / 50) AS INT) % 7 = 3 AND CAST(floor(p_partkey / 50) AS INT) <> """ + _LAST_SQL)
 def _(t):
     return readers.xml_errors(_pages(t, "xml"))
 
@@ -79,7 +80,7 @@ def _(t):
 @query("parse_pages", _page_sql("(page_no % 2 = 0 OR page_no % 7 <> 3)", "true"))
 def _(t):
     mixed = _pages(t, "json").filter("page_no % 2 = 0").unionByName(_pages(t, "xml").filter("page_no % 2 = 1"))
-    return readers.parse_pages(mixed).select(*_ITEM)
+    return readers.parse_pages(mixed, on_error="skip").select(*_ITEM)
 
 
 # --- manifests and pages -----------------------------------------------------------------------------------

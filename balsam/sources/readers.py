@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Mapping, Sequence
 
@@ -95,15 +96,21 @@ _XML = T.StructType([
 ])
 
 
-def _xml_items(pages: DataFrame, payload: str) -> DataFrame:
+def _xml_items(pages: DataFrame, payload: str, on_error: str) -> DataFrame:
     code = F.coalesce(F.col("__x.header.resultCode"), F.lit(OK_CODE))
-    return pages.withColumn("__x", F.from_xml(payload, _XML)).filter(code.isin(OK_CODE, "")).select(
+    good = code.isin(OK_CODE, "")
+    if on_error == "raise":
+        said = F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(" reports "), code, F.lit(": "),
+                        F.coalesce(F.col("__x.header.resultMsg"), F.lit("")))
+        good = F.when(good, True).otherwise(F.raise_error(said).cast("boolean"))
+    return pages.withColumn("__x", F.from_xml(payload, _XML)).filter(good).select(
         "page_no", F.transform("__x.body.items.item", lambda x: _named(lambda f: x[f])).alias("__items"))
 
 
-def parse_xml_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """The same from XML pages; pages that report an error code give no rows (see `xml_errors`)."""
-    return _before_first_empty(_xml_items(pages, payload))
+def parse_xml_pages(pages: DataFrame, payload: str = "payload", on_error: str = "raise") -> DataFrame:
+    """The same from XML pages.  A page that reports an error code stops the job; with on_error="skip"
+    it gives no rows, and `xml_errors` lists it."""
+    return _before_first_empty(_xml_items(pages, payload, on_error))
 
 
 def xml_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
@@ -113,11 +120,11 @@ def xml_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
         "page_no", F.col("x.header.resultCode").alias("result_code"), F.col("x.header.resultMsg").alias("result_msg"))
 
 
-def parse_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """Pages of either kind: text that starts with '<', or is no JSON, is XML."""
+def parse_pages(pages: DataFrame, payload: str = "payload", on_error: str = "raise") -> DataFrame:
+    """Pages of either kind: text that starts with '<', or is no JSON, is XML; error pages as in `parse_xml_pages`."""
     is_xml = F.coalesce(strip(payload).startswith("<"), F.lit(False)) | F.try_parse_json(payload).isNull()
     return _before_first_empty(_json_items(pages.filter(~is_xml), payload).unionByName(
-        _xml_items(pages.filter(is_xml), payload)))
+        _xml_items(pages.filter(is_xml), payload, on_error)))
 
 
 # --- manifests -----------------------------------------------------------------------------------
@@ -159,12 +166,16 @@ def read_manifest(spark: SparkSession, path: str, **rules) -> tuple[DataFrame, D
 # --- product pages ---------------------------------------------------------------------------------
 
 def html_text(c: Column | str) -> Column:
-    """Text of an HTML fragment: tags out, the common entities decoded, white space collapsed."""
+    """Text of an HTML fragment: tags out, all entities decoded, white space collapsed.
+
+    Only texts that hold an entity go to Python."""
     out = F.regexp_replace(c, "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(out)
+    return collapse(F.when(out.contains("&"), _unescape(F.when(out.contains("&"), out))).otherwise(out))
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: html.unescape(x).replace("\xa0", " "), na_action="ignore")
 
 
 def attribute(c: str, name: str, tag: str) -> Column:

@@ -81,8 +81,17 @@ def _stored(accepted: DataFrame, as_of, expires_at) -> DataFrame:
         moment(expires_at).alias("expires_at"))
 
 
-def replace_records(records: DataFrame, accepted: DataFrame, as_of, expires_at) -> DataFrame:
-    """Records after accepted ones replace those with their (product, option)."""
+def last_records(accepted: DataFrame, order: str | None) -> DataFrame:
+    """Of accepted records with the same (product, option) the one that is last by `order`."""
+    return accepted if order is None else keep_first(accepted, RECORD_KEY, F.desc(order))
+
+
+def replace_records(records: DataFrame, accepted: DataFrame, as_of, expires_at, order: str | None = None) -> DataFrame:
+    """Records after accepted ones replace those with their (product, option).
+
+    `order` names the column that tells repeated records of one batch apart: the last one stays.
+    Without it the batch must hold each (product, option) once."""
+    accepted = last_records(accepted, order)
     kept = records.join(accepted.select(*RECORD_KEY), RECORD_KEY, "left_anti")
     return kept.unionByName(_stored(accepted, as_of, expires_at), allowMissingColumns=True)
 
@@ -96,8 +105,9 @@ def exploded_items(accepted: DataFrame) -> DataFrame:
         keys.item_key("ingredient_name").alias("normalized_name"))
 
 
-def replace_items(items: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Items after accepted records replace all items of their records."""
+def replace_items(items: DataFrame, accepted: DataFrame, order: str | None = None) -> DataFrame:
+    """Items after accepted records replace all items of their records; `order` as in `replace_records`."""
+    accepted = last_records(accepted, order)
     return items.join(accepted.select(*RECORD_KEY), RECORD_KEY, "left_anti").unionByName(exploded_items(accepted))
 
 
