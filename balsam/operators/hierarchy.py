@@ -160,7 +160,7 @@ def build_sections(chunks: DataFrame) -> DataFrame:
         "doc_id", "section_no", F.coalesce("raw_header", nothing).alias("raw_header"),
         F.coalesce("open_start", "first_end").alias("header_start"), start.alias("header_end"),
         start.alias("body_start"), F.coalesce("body_end", start).alias("body_end"), body.alias("body"),
-        first_occurrences(items, _casefolded).alias("ingredients"))
+        first_occurrences(items, casefolded).alias("ingredients"))
 
 
 def leading_number(header: Column | str) -> Column:
