@@ -123,8 +123,12 @@ def mix_sources(docs: DataFrame, budget_share: float = BUDGET_SHARE, weights: di
     leaves = settle(narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t")))
     total = leaves.agg(F.sum("t")).first()[0] or 0
     plan = plan_leaves(leaves, total * budget_share, weights, max_epochs)
-    ordinal = lambda doc, mark: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), doc, mark)), 1, 15), 16, 10).cast("bigint")
-    ordered = narrow.join(plan, list(LEVELS)).where("rest > 0").withColumn("ord", ordinal(F.col("id"), F.col("mark")))
+
+    def ordinal(epoch: str, doc: Column, mark: Column) -> Column:
+        key = F.concat_ws("|", F.lit(str(seed)), F.col(epoch).cast("string"), doc, mark)
+        return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+    ordered = narrow.join(plan, list(LEVELS)).where("rest > 0").withColumn("ord", ordinal("epochs", F.col("id"), F.col("mark")))
     ordered = ordered.withColumn("bucket", F.shiftright("ord", 60 - BUCKET_BITS))
     by_bucket = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = ordered.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("in_bucket"), F.max("rest").alias("rest"))
@@ -136,10 +140,11 @@ def mix_sources(docs: DataFrame, budget_share: float = BUDGET_SHARE, weights: di
     running = Window.partitionBy(*LEVELS, "bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     cut = inside.withColumn("so_far", F.col("before") + F.coalesce(F.sum("n").over(running), F.lit(0))).where("so_far < rest").groupBy(
         *LEVELS).agg(F.max("ord").alias("cut"))
-    goal = settle(plan.join(cut, list(LEVELS), "left").select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "epochs", F.coalesce("cut", F.lit(-1)).alias("cut")))
+    goal = settle(plan.join(cut, list(LEVELS), "left").select(
+        *[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("epochs").alias("__epochs"), F.coalesce("cut", F.lit(-1)).alias("__cut")))
     discard(narrow, leaves)
     same = [F.col(c) == F.col(f"__{c}") for c in LEVELS]
-    more = (ordinal(F.coalesce(F.col(id_column).cast("string"), F.lit("")), mark) <= F.col("cut")).cast("int")
-    out = rows.join(goal, same).withColumn("__passes", F.col("epochs") + more).where("__passes > 0")
+    more = (ordinal("__epochs", F.coalesce(F.col(id_column).cast("string"), F.lit("")), mark) <= F.col("__cut")).cast("int")
+    out = rows.join(goal, same).withColumn("__passes", F.col("__epochs") + more).where("__passes > 0")
     passes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__passes") - 1))
     return out.select(*plain.columns, *[c for c in added if c != "epoch"], passes.alias("epoch"))

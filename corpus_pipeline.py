@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from balsam.llm import stages
-from balsam.llm.common import documents, settle
+from balsam.llm.common import discard, documents, settle
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -20,7 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over `documents`; each one's rows are written and read again, and go once the next has them."""
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return docs
