@@ -2,7 +2,7 @@
 
 The language model is a modified Kneser-Ney model over the last five characters.  Tasks count n-grams
 of whole texts, Spark sums them and derives continuation counts, discounts, probabilities and backoff
-weights with joins and groupings.  N-grams rarer than one in 2^23 characters of the corpus fall back to
+weights with joins and groupings.  N-grams rarer than one in 2^21 characters of the corpus fall back to
 shorter ones, so the tables that scoring tasks receive hold at most that many entries at any corpus
 size; they lie as sorted arrays of packed n-grams, found by binary search.  The band of a language is
 taken from the middle half of its documents' log perplexities."""
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from balsam.llm.common import chunks, discard, mix64, settle, word_hashes, word_spans
 
 ORDER, BITS = 5, 12
-#: An n-gram is stored if it makes up at least this share of all characters; 2^23 entries at most do.
-RAREST = 1 / (1 << 23)
+#: An n-gram is stored if it makes up at least this share of all characters; 2^21 entries at most do.
+RAREST = 1 / (1 << 21)
+#: N-grams of two characters and more that stand once are not stored: a text does not vouch for itself.
+LEAST_COUNT = 2
 #: A document is out of its language's band beyond so many times the middle half's width from the median.
 BAND_WIDTHS = 6.0
 #: Least half width of a band in nats a character: clean texts whose language label is wrong stay inside.
@@ -199,23 +201,32 @@ def train_model(docs: DataFrame, rarest: float = RAREST) -> Model:
         t = settle(t.select("lang", "gram", "ctx", p.alias("p"), "lower", (F.col("mass") / F.col("all") / (F.col("v") + 1)).alias("u")))
         temporary.append(t)
         lower = t
-        kept = t.join(seen[ORDER - k].withColumnRenamed("n", "plain"), ["lang", "gram"]).where(F.col("plain") >= total * rarest)
+        kept = t.join(seen[ORDER - k].withColumnRenamed("n", "plain"), ["lang", "gram"]).where(F.col("plain") >= (max(total * rarest, LEAST_COUNT) if k > 1 else 1))
         kept = settle(kept.select("lang", "gram", "ctx", "p", "lower", "u"))
         temporary.append(kept)
-        rows = kept.select("lang", "gram", F.log("p").cast("float").alias("p"), "u").toPandas().sort_values(["lang", "gram"])
-        for lang, part in rows.groupby("lang"):
-            grams[lang, k] = part["gram"].to_numpy(), part["p"].to_numpy()
-            if k == 1:
-                unknown[lang] = float(np.log(part["u"].iloc[0]))
+        stored = _sorted_arrays(kept.select("lang", "gram", F.log("p").cast("float").alias("p")))
+        grams.update({(lang, k): part for lang, part in stored.items()})
+        if k == 1:
+            unknown = {r["lang"]: float(np.log(r["u"])) for r in kept.groupBy("lang").agg(F.max("u").alias("u")).collect()}
         if k > 1:
             weights = kept.groupBy("lang", "ctx").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(
                 "lang", "ctx", F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("low"), F.lit(1e-9))).cast("float").alias("w"))
-            for lang, part in weights.toPandas().sort_values(["lang", "ctx"]).groupby("lang"):
-                backoff[lang, k] = part["ctx"].to_numpy(), part["w"].to_numpy()
+            backoff.update({(lang, k): part for lang, part in _sorted_arrays(weights).items()})
     discard(*tables.values(), *temporary)
     return Model(grams, backoff, unknown)
 
 
+def _sorted_arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Keys and values of rows (lang, key, value) by language, sorted; called on at most 1 / RAREST rows."""
+    table, out = rows.toArrow(), {}
+    for lang in pc.unique(table.column(0)).to_pylist():
+        part = table.filter(pc.equal(table.column(0), lang))
+        keys, values = part.column(1).to_numpy(), part.column(2).to_numpy()
+        order = np.argsort(keys)
+        out[lang] = keys[order], values[order]
+    return out
+
+
 def _measure(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """`columns` of rows (lang, text, ...) with the rule counts and the log perplexity a character."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
