@@ -1,8 +1,11 @@
 """Queries of the readers and of the table changes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.settle import checkpoint_dir
 from ..operators.store import OPTION_METADATA  # noqa: F401
 from ..sources import readers, writers
 from . import views  # noqa: F401
@@ -427,3 +430,27 @@ SELECT f.product_id, CASE WHEN s.expires_at > {_NOW} THEN 'complete' ELSE 'pendi
 LEFT JOIN {{states}} s USING (product_id) WHERE f.product_id NOT IN (SELECT product_id FROM {{queue}})""")
 def _(t):
     return _saved(t)["queue"].select("product_id", "status")
+
+
+# --- round trips through files ---------------------------------------------------------------------
+
+def _folder(t, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("jsonl_round_trip", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS p_brand FROM {part}")
+def _(t):
+    rows = t.part.select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("p_brand"))
+    path = _folder(t, "jsonl")
+    writers.write_jsonl(rows, path)
+    return readers.read_jsonl(t.spark, path, rows.schema)
+
+
+@query("publish_documents", "SELECT p_partkey, p_name FROM {part} WHERE p_partkey % 2 = 1")
+def _(t):
+    """The second of two publications is what the collection holds."""
+    path = _folder(t, "published")
+    writers.publish_documents(t.part.select("p_partkey", "p_name"), path)
+    writers.publish_documents(t.part.filter("p_partkey % 2 = 1").select("p_partkey", "p_name"), path)
+    return t.spark.read.parquet(path)
