@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from balsam.operators import registry_build, retrieval, store, windows
+from balsam.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-# Inputs of these build one-row totals in one task by nature; they are still free of cross joins.
-PARSERS = {"parse_option_sections", "map_sections_exact", "document_structure"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - PARSERS))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join(spark, name):
     text = plan(contract.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
