@@ -13,7 +13,7 @@ from balsam.llm import (
     bpe, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup,
 )
 from balsam.llm.common import components
-from balsam.llm.queries import QUERIES, tokenizer_path
+from balsam.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, key string, n string, label string, "
@@ -348,6 +348,13 @@ def test_sharding_fits_and_splits_only_what_is_too_large(spark, ugly, empty, tmp
     assert sharding.assign_shards(empty, 10).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_their_sql(spark, name):
+    from oracle_check import compare, duck
+
+    assert compare(spark, duck(SF), name, SF)[0] is None
+
+
 def test_native_plans_hold_no_python(spark, ugly):
     for table in (line_dedup.deduplicate_lines(ugly), sharding.assign_shards(ugly, 4_000)):
         plan = table._jdf.queryExecution().toString()
