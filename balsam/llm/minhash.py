@@ -5,8 +5,8 @@ key; all 128 fold into an odd sketch, a 512-bit map in which every sample flips
 set in the XOR of two sketches tell how many samples differ.  Documents that share a band key are
 judged by their sketches inside the key's task; a task gives a spanning forest of the likeliest pairs,
 never all pairs.  Links are confirmed on whole sets, best pairs first, and pairs whose ends are already
-linked are left out.  A last sweep confirms every pair that is still plausible between two groups, so
-forests only save work."""
+linked are left out.  A last sweep judges, inside the tiles, every pair that is still plausible between
+two groups, so forests only save work."""
 
 from __future__ import annotations
 
@@ -31,7 +31,6 @@ TILE = 2_000
 BEST_ROUNDS = 3
 
 _MULTIPLIERS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SIXTEEN = pa.binary()
 
 
 def shingle_sets(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,23 +174,14 @@ def _forest(ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[np.array(a, np.int64)], ids[np.array(b, np.int64)], np.array(e)
 
 
-def _edges_of(members: DataFrame, sweep: bool) -> DataFrame:
-    """(a, b, estimate) with a < b: per tile a forest, or in the sweep all plausible pairs between components."""
+def _forest_edges(members: DataFrame) -> DataFrame:
+    """(a, b, estimate) with a < b: the likeliest spanning forest of every tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for _, _, _, ids, sketches, *label in _groups(batches, 3):
-            if len(ids) < 2:
-                continue
-            words = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
-            if sweep:
-                for i in range(len(ids) - 1):
-                    est = estimates(words[i], words[i + 1 :])
-                    hit = np.flatnonzero((est >= PLAUSIBLE) & (label[0][i + 1 :] != label[0][i]))
-                    if len(hit):
-                        held.append((np.full(len(hit), ids[i]), ids[i + 1 :][hit], est[hit]))
-            else:
-                held.append(_forest(ids, words))
+        for _, _, _, ids, sketches in _groups(batches, 3):
+            if len(ids) > 1:
+                held.append(_forest(ids, np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)))
             if sum(len(h[0]) for h in held) > 10_000:
                 yield table(held)
                 held = []
@@ -203,10 +193,50 @@ def _edges_of(members: DataFrame, sweep: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()),
                                            pa.array(e, pa.float64())], ["a", "b", "estimate"])
 
-    members = members.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "doc_id")
-    columns = ["key", "ti", "tj", "doc_id", "sketch"] + ["label"] * sweep
-    return members.select(columns).mapInArrow(run, "a bigint, b bigint, estimate double").where("a <> b").groupBy("a", "b").agg(
-        F.max("estimate").alias("estimate"))
+    rows = _by_tile(members, ["key", "ti", "tj", "doc_id", "sketch"]).mapInArrow(run, "a bigint, b bigint, estimate double")
+    return rows.where("a <> b").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
+def _by_tile(members: DataFrame, columns: list[str]) -> DataFrame:
+    return members.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "doc_id").select(columns)
+
+
+def _sweep(members: DataFrame) -> DataFrame:
+    """(a, b): links between components that no forest held.
+
+    A tile judges every plausible pair of two components on the whole sets that its members bring,
+    until the two are joined there; a pair that shares several bands is judged in the first of them.
+    Only links leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, _, ids, sketches, label, sets, keys in _groups(batches, 3):
+            words = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
+            sets, keys = [np.frombuffer(s, np.uint64) for s in sets], np.stack(keys)
+            band = int((keys == key[0]).any(axis=0).argmax())
+            a, b, label = [], [], label.copy()
+            for i in range(len(ids) - 1):
+                others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                others = others[estimates(words[i], words[others]) >= PLAUSIBLE]
+                others = others[(keys[others, :band] != keys[i, :band]).all(axis=1)]
+                for j in others:
+                    if label[i] != label[j] and is_link(sets[i], sets[j]):
+                        label[label == label[j]] = label[i]
+                        a.append(ids[i])
+                        b.append(ids[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    columns = ["key", "ti", "tj", "doc_id", "sketch", "label", "shingles", "keys"]
+    return _by_tile(members, columns).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def is_link(p: np.ndarray, q: np.ndarray) -> bool:
+    """The exact test on two sorted sets of distinct shingles."""
+    if min(len(p), len(q)) * 100 < LINK_PERCENT * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= LINK_PERCENT * (len(p) + len(q) - shared)
 
 
 def _tiles(reps: DataFrame) -> DataFrame:
@@ -226,15 +256,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                if min(len(p), len(q)) * 100 < LINK_PERCENT * max(len(p), len(q)):
-                    linked.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= LINK_PERCENT * (len(p) + len(q) - shared))
+            linked = [is_link(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64))
+                      for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p"))
@@ -269,8 +292,8 @@ def link_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     full = made.where("doc_id is not null").join(same, "set_hash")
     reps = settle(full.where("doc_id = rep").groupBy("doc_id", "set_hash").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     tiles = settle(_tiles(reps))
-    sketches = reps.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
-    forest = settle(_edges_of(tiles.join(sketches, "doc_id"), sweep=False))
+    sketches = reps.groupBy("doc_id").agg(F.min_by("sketch", "set_hash").alias("sketch"), F.min_by("keys", "set_hash").alias("keys"))
+    forest = settle(_forest_edges(tiles.join(sketches, "doc_id")))
     ends = tiles.select("doc_id").distinct()
     wanted = docs.withColumn("__id", F.col(id_column).cast("bigint")).join(ends.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
     sets = settle(full_sets(wanted, text, id_column))
@@ -288,9 +311,8 @@ def link_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     one = tiles.join(label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("label")), "doc_id", "left").withColumn(
         "label", F.coalesce("label", "doc_id"))
     mixed = one.groupBy("key", "ti", "tj").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "ti", "tj")
-    left = _edges_of(one.join(mixed, ["key", "ti", "tj"], "left_semi").join(sketches, "doc_id"), sweep=True)
-    last = settle(_confirm(left.join(judged, ["a", "b"], "left_anti"), sets))
-    links = judged.union(last).where("linked").select("a", "b")
+    left = one.join(mixed, ["key", "ti", "tj"], "left_semi").join(sketches, "doc_id").join(sets, "doc_id")
+    links = judged.where("linked").select("a", "b").union(settle(_sweep(left)))
     # Rows of one doc_id with several sets belong together, as do all documents of one set.
     reach = full.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = reach.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y")
