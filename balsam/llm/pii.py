@@ -42,8 +42,8 @@ _PATTERN = re.compile("|".join([
     r"(?P<intl>(?<![\d.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d))",
     rf"(?:\b(?P<given>{'|'.join(sorted(_NAME_KIND, key=lambda n: (-len(n), n)))}) (?P<surname>{_SURNAME}))",
 ]))
-#: What a text with an entity holds at least; cheap, and wider than the patterns.
-MAYBE = r"@|[0-9]|" + "|".join(sorted(_NAME_KIND))
+#: What a text with an entity holds at least; wider than the patterns, and names are tried at capitals only.
+MAYBE = "[@0-9]|(?=[" + "".join(sorted({name[0] for name in _NAME_KIND})) + "])(?:" + "|".join(sorted(_NAME_KIND)) + ")"
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
