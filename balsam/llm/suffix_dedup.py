@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 24
 #: Distances from a suffix to its sample.
 REACH = LENGTH - GRAM + 1
 #: Bytes of text in a block, and bytes of text whose samples meet in one range.
-BLOCK_BYTES, RANGE_BYTES = 1 << 21, 1 << 25
+BLOCK_BYTES, RANGE_BYTES = 1 << 19, 1 << 23
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -343,14 +343,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     other = named.join(done.select("doc_id", "sha"), ["doc_id", "sha"], "left_anti")
     gone = F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH)
     if keep_text:
-        raise_to = base.withColumn("sha", F.sha2("body", 256)).dropDuplicates(["doc_id", "sha"])
-        other = other.join(raise_to, [F.col("sha") == raise_to.sha, other.doc_id.eqNullSafe(raise_to.doc_id)]).select(
-            other["*"], F.when(gone, F.lit(b"")).otherwise(raise_to.body).alias("kept"))
+        bodies = base.select(F.col("doc_id").alias("of"), F.sha2("body", 256).alias("sha_of"), "body").dropDuplicates(["of", "sha_of"])
+        other = other.join(bodies, (F.col("sha") == F.col("sha_of")) & F.col("doc_id").eqNullSafe(F.col("of"))).withColumn(
+            "kept", F.when(gone, F.lit(b"")).otherwise(F.col("body")))
     other = other.select(
-        other.doc_id, "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("bigint").alias("n_removed"),
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("bigint").alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("bigint").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(other.sha).alias("kept_sha256"), *(["kept"] * keep_text))
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"), *(["kept"] * keep_text))
     # Repeated rows of a document that was cut appear as often as they stand in the input.
-    cut_rows = named.join(done, ["doc_id", "sha"]).select(
-        "doc_id", done.n_bytes, "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep_text))
+    cut_rows = named.drop("n_bytes").join(done, ["doc_id", "sha"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep_text))
     return cut_rows.unionByName(other)
