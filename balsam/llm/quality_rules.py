@@ -2,27 +2,25 @@
 
 The language model is a modified Kneser-Ney model over the last five characters.  Tasks count n-grams
 of whole texts, Spark sums them and derives continuation counts, discounts, probabilities and backoff
-weights with joins and groupings.  N-grams rarer than one in 2^21 characters of the corpus fall back to
-shorter ones, so the tables that scoring tasks receive hold at most that many entries at any corpus
-size; they lie as sorted arrays of packed n-grams, found by binary search.  The band of a language is
-taken from the middle half of its documents' log perplexities."""
+weights with joins and groupings, down to one score per n-gram that the corpus holds.  The model stays
+in Spark tables and grows with the corpus.  Texts are dealt to blocks of bounded size; a block's distinct
+n-grams are joined with their scores, and the task that scores the block receives those and no others.
+The band of a language is taken from the middle half of its documents' log perplexities."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balsam.llm.common import chunks, discard, mix64, settle, word_hashes, word_spans
 
 ORDER, BITS = 5, 12
-#: An n-gram is stored if it makes up at least this share of all characters; 2^21 entries at most do.
-RAREST = 1 / (1 << 21)
 #: N-grams of two characters and more that stand once are not stored: a text does not vouch for itself.
 LEAST_COUNT = 2
 #: A document is out of its language's band beyond so many times the middle half's width from the median.
@@ -30,6 +28,8 @@ BAND_WIDTHS = 6.0
 #: Least half width of a band in nats a character: clean texts whose language label is wrong stay inside.
 LEAST_HALF_WIDTH = 1.25
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+#: Bytes of text of one language that are scored together, give or take one text.
+BLOCK_BYTES = 8 << 20
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _MASKS = [np.int64((1 << (BITS * k)) - 1) for k in range(ORDER + 1)]
@@ -101,63 +101,86 @@ def rule_counts(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [np.diff(first), chars, per_text(_SYMBOLS[x]), n_dup, n_repeat]
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all characters of rows (lang, text); tasks add up before anything is shuffled."""
+class _Dealer:
+    """Deals the rows of a partition to blocks, in their order: a block holds one language and BLOCK_BYTES."""
+
+    def __init__(self):
+        self.partition, self.languages = TaskContext.get().partitionId(), {}
+
+    def deal(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+        """(language, block, rows) of a batch whose first columns are the language and the text."""
+        langs = batch.column(0)
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lang in langs.unique().to_pylist():
+            at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            number, before = self.languages.setdefault(lang, (len(self.languages), 0))
+            ends = before + np.cumsum(size[at])
+            self.languages[lang] = number, int(ends[-1])
+            part = (ends - size[at]) // BLOCK_BYTES
+            for i in np.unique(part):
+                yield lang, self.partition << 40 | number << 20 | int(i), batch.take(pa.array(at[part == i]))
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        grams, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        order = np.argsort(grams, kind="stable")
-        run = np.flatnonzero(np.append(True, grams[order][1:] != grams[order][:-1])) if len(grams) else np.zeros(0, int)
-        return grams[order][run], np.add.reduceat(counts[order], run) if len(run) else counts
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(block, lang, gram, n) over all characters of rows (lang, text, ...), added up by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, tuple[int, list]] = {}
+        dealer = _Dealer()
         for batch in batches:
-            for lang in batch.column(0).unique().to_pylist():
-                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-                for _, _, x, at in chunks(texts):
-                    grams, _ = packed_grams(x, at)
-                    held.setdefault(lang, []).append(np.unique(grams, return_counts=True))
-                    if sum(len(p[0]) for p in held[lang]) > 2_000_000:
-                        held[lang] = [merged(held[lang])]
-                        if len(held[lang][0][0]) > 1_000_000:
-                            yield from out(lang, *held.pop(lang)[0])
-        for lang, parts in held.items():
-            yield from out(lang, *merged(parts))
-
-    def out(lang, grams, counts):
+            for lang, block, rows in dealer.deal(batch):
+                if lang in held and held[lang][0] != block:
+                    yield from out(lang, *held.pop(lang))
+                parts = held.setdefault(lang, (block, []))[1]
+                for _, _, x, at in chunks(rows.column(1)):
+                    parts.append(np.unique(packed_grams(x, at)[0], return_counts=True))
+        for lang, (block, parts) in held.items():
+            yield from out(lang, block, parts)
+
+    def out(lang, block, parts):
+        grams, counts = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts else ([], [])
+        grams, which = np.unique(grams, return_inverse=True)
+        counts = np.bincount(which, counts, len(grams)).astype(np.int64)
         for i in range(0, len(grams), 100_000):
             g = grams[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()),
-                                              pa.array(counts[i : i + 100_000], pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, np.int64)), pa.array([lang] * len(g), pa.string()),
+                                              pa.array(g, pa.int64()), pa.array(counts[i : i + 100_000], pa.int64())],
+                                             ["block", "lang", "gram", "n"])
 
-    rows = docs.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "block bigint, lang string, gram bigint, n bigint")
 
 
-@dataclass
 class Model:
-    """Sorted arrays per (language, order): n-grams with log probability, contexts with log backoff weight."""
+    """Tables of a model: `scores` (lang, gram, score) of every n-gram of ORDER characters that the rows hold, and per
+    order the stored n-grams (lang, gram, p) and backoff weights (lang, ctx, w) behind them."""
 
-    grams: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
-    backoff: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
-    unknown: dict[str, float]
+    def __init__(self, scores: DataFrame, grams: dict[int, DataFrame], backoff: dict[int, DataFrame], unknown: DataFrame):
+        self.scores, self.grams, self.backoff, self.unknown = scores, grams, backoff, unknown
+        self._arrays: tuple | None = None
+
+    def discard(self) -> None:
+        discard(self.scores, *self.grams.values(), *self.backoff.values(), self.unknown)
 
     def log_probability(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of each n-gram after the ones before it."""
+        """Log probability of the last character of any n-grams after the ones before it.
+
+        Collects the tables, to look into small models; scoring joins them instead."""
+        if self._arrays is None:
+            self._arrays = ({k: _sorted_arrays(t) for k, t in self.grams.items()}, {k: _sorted_arrays(t) for k, t in self.backoff.items()},
+                            {r["lang"]: r["u"] for r in self.unknown.collect()})
+        stored, weights, unknown = self._arrays
+        nothing = np.zeros(0, np.int64), np.zeros(0)
         out = np.zeros(len(grams))
         left = np.arange(len(grams))
         for k in range(ORDER, 0, -1):
             g = grams[left] & _MASKS[k]
-            keys, values = self.grams.get((lang, k), (np.zeros(0, np.int64), np.zeros(0)))
-            hit, value = _find(keys, values, g)
+            hit, value = _find(*stored[k].get(lang, nothing), g)
             out[left[hit]] += value[hit]
             left, g = left[~hit], g[~hit]
             if k > 1:
-                keys, values = self.backoff.get((lang, k), (np.zeros(0, np.int64), np.zeros(0)))
-                hit, value = _find(keys, values, g >> np.int64(BITS))
+                hit, value = _find(*weights[k].get(lang, nothing), g >> np.int64(BITS))
                 out[left] += np.where(hit, value, 0.0)
-        out[left] += self.unknown.get(lang, np.log(1e-7))
+        out[left] += unknown.get(lang, np.log(1e-7))
         return out
 
 
@@ -168,18 +191,19 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return keys[place] == wanted, values[place].astype(np.float64)
 
 
-def train_model(docs: DataFrame, rarest: float = RAREST) -> Model:
+def train_model(docs: DataFrame) -> Model:
     """Modified Kneser-Ney model of the rows (lang, text)."""
-    counts = settle(count_grams(docs))
+    return _model(count_grams(docs.select("lang", "text")))
+
+
+def _model(counted: DataFrame) -> Model:
+    """The model of n-gram counts (lang, gram, n)."""
+    counts = settle(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("plain", F.col("n")))
     tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters before them
+    for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters before them; plain counts decide what is stored
         tables[k] = settle(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(int(_MASKS[k])).alias("gram")).agg(
-            F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    seen = [counts]
-    for k in range(ORDER - 1, 0, -1):  # plain counts decide what is stored
-        seen.append(seen[-1].groupBy("lang", F.col("gram").bitwiseAND(int(_MASKS[k])).alias("gram")).agg(F.sum("n").alias("n")))
-    grams, backoff, unknown, temporary, lower = {}, {}, {}, [], None
+            F.count("*").alias("n"), F.sum("plain").alias("plain")))
+    grams, backoff, unknown, lower, temporary = {}, {}, None, None, []
     for k in range(1, ORDER + 1):
         t = tables[k]
         of = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("v"))
@@ -194,30 +218,32 @@ def train_model(docs: DataFrame, rarest: float = RAREST) -> Model:
         of_context = t.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum("d").alias("mass"))
         t = t.join(of_context, ["lang", "ctx"])
         if k == 1:
-            t = t.withColumn("lower", 1 / (F.col("v") + 1))
+            t = t.withColumns({"lower": 1 / (F.col("v") + 1), "below": F.lit(0.0)})
         else:
-            t = t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+            t = t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"), F.col("score").alias("below")), ["lang", "suffix"])
         p = (F.col("n") - F.col("d")) / F.col("all") + F.col("mass") / F.col("all") * F.col("lower")
-        t = settle(t.select("lang", "gram", "ctx", p.alias("p"), "lower", (F.col("mass") / F.col("all") / (F.col("v") + 1)).alias("u")))
+        t = settle(t.select("lang", "gram", "ctx", "plain", p.alias("p"), "lower", "below", (F.col("mass") / F.col("all") / (F.col("v") + 1)).alias("u")))
         temporary.append(t)
-        lower = t
-        kept = t.join(seen[ORDER - k].withColumnRenamed("n", "plain"), ["lang", "gram"]).where(F.col("plain") >= (max(total * rarest, LEAST_COUNT) if k > 1 else 1))
-        kept = settle(kept.select("lang", "gram", "ctx", "p", "lower", "u"))
-        temporary.append(kept)
-        stored = _sorted_arrays(kept.select("lang", "gram", F.log("p").cast("float").alias("p")))
-        grams.update({(lang, k): part for lang, part in stored.items()})
+        stored = F.lit(True) if k == 1 else F.col("plain") >= LEAST_COUNT
+        kept = t.where(stored)
+        grams[k] = settle(kept.select("lang", "gram", F.log("p").alias("p")))
         if k == 1:
-            unknown = {r["lang"]: float(np.log(r["u"])) for r in kept.groupBy("lang").agg(F.max("u").alias("u")).collect()}
-        if k > 1:
-            weights = kept.groupBy("lang", "ctx").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(
-                "lang", "ctx", F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("low"), F.lit(1e-9))).cast("float").alias("w"))
-            backoff.update({(lang, k): part for lang, part in _sorted_arrays(weights).items()})
+            unknown = settle(kept.groupBy("lang").agg(F.log(F.max("u")).alias("u")))
+            score = F.log("p")
+        else:
+            backoff[k] = settle(kept.groupBy("lang", "ctx").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(
+                "lang", "ctx", F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("low"), F.lit(1e-9))).alias("w")))
+            t = t.join(backoff[k], ["lang", "ctx"], "left")
+            score = F.when(stored, F.log("p")).otherwise(F.coalesce("w", F.lit(0.0)) + F.col("below"))
+        lower = settle(t.select("lang", "gram", "p", score.alias("score")))
+        if k < ORDER:
+            temporary.append(lower)
     discard(*tables.values(), *temporary)
-    return Model(grams, backoff, unknown)
+    return Model(lower.select("lang", "gram", "score"), grams, backoff, unknown)
 
 
 def _sorted_arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Keys and values of rows (lang, key, value) by language, sorted; called on at most 1 / RAREST rows."""
+    """Keys and values of rows (lang, key, value) by language, sorted."""
     table, out = rows.toArrow(), {}
     for lang in pc.unique(table.column(0)).to_pylist():
         part = table.filter(pc.equal(table.column(0), lang))
@@ -227,36 +253,54 @@ def _sorted_arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _measure(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+def _measure(docs: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of rows (lang, text, ...) with the rule counts and the log perplexity a character."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for lang in batch.column(0).unique().to_pylist():
-                rows = pa.Table.from_batches([batch]).filter(pc.equal(batch.column(0), lang)).combine_chunks().to_batches()
-                for part in rows:
-                    for first, end, x, at in chunks(part.column(1)):
-                        counts = rule_counts(x, at)
-                        grams, bounds = packed_grams(x, at)
-                        distinct, which = np.unique(grams, return_inverse=True)
-                        sums = np.append(0, np.cumsum(model.log_probability(lang, distinct)[which]))[bounds]
-                        chars = np.diff(bounds)
-                        nats = np.divide(-np.diff(sums), chars, out=np.zeros(len(chars)), where=chars > 0)
-                        failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
-                        yield pa.RecordBatch.from_arrays(
-                            [*part.slice(first, end - first).columns[2:], *[pa.array(c, pa.int64()) for c in counts],
-                             pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], [*names, *added])
-
     added = [c.split(" ")[0] for c in RULE_SCHEMA.split(", ")]
     names = [f"c{i}" for i in range(len(columns))]
-    picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"),
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"),
+    # Counting and scoring read the same columns, so that the same rows make up a partition and its blocks.
+    picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                          *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    schema = ", ".join([*[f"{n} {picked.schema[n].dataType.simpleString()}" for n in names], RULE_SCHEMA])
-    out = picked.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added)
+    counted = settle(count_grams(picked))
+    model = _model(counted)
+    wanted = counted.join(model.scores, ["lang", "gram"]).select("block", "gram", F.col("score").cast("float").alias("score"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = _Dealer()
+        for batch in batches:
+            for _, block, rows in dealer.deal(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int64)), *rows.columns[1:]], ["block", "text", *names])
+
+    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
+        keys, values = scores.column("gram").to_numpy(), scores.column("score").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = []
+        for part in texts.to_batches():
+            for first, end, x, at in chunks(part.column(1)):
+                counts = rule_counts(x, at)
+                grams, bounds = packed_grams(x, at)
+                distinct, which = np.unique(grams, return_inverse=True)
+                hit, value = _find(keys, values, distinct)
+                if not hit.all():
+                    raise RuntimeError("the rows came in other partitions when they were read again: settle the table first")
+                sums = np.append(0, np.cumsum(value[which]))[bounds]
+                chars = np.diff(bounds)
+                nats = np.divide(-np.diff(sums), chars, out=np.zeros(len(chars)), where=chars > 0)
+                failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
+                out.append(pa.RecordBatch.from_arrays(
+                    [*part.slice(first, end - first).columns[2:], *[pa.array(c, pa.int64()) for c in counts],
+                     pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], [*names, *added]))
+        return pa.Table.from_batches(out)
+
+    kinds = {n: picked.schema[n].dataType for n in names}
+    schema = ", ".join([*[f"{n} {t.simpleString()}" for n, t in kinds.items()], RULE_SCHEMA])
+    dealt = picked.mapInArrow(deal, ", ".join(["block bigint, text string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()]]))
+    out = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
+    out = settle(out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added))
+    model.discard()
+    discard(counted)
+    return out
 
 
 def perplexity_bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
@@ -280,19 +324,10 @@ def apply_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     one of its own.  Rows with null or repeated ids are judged as any other; `columns` may not clash
     with the added names; an empty table gives no rows."""
     columns = columns or ["doc_id"]
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    model = train_model(docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    narrow = columns if columns == ["doc_id"] else []
-    measured = settle(_measure(docs.withColumn("__l", lang), model, ["__l", *narrow]).withColumnRenamed("__l", "lang"))
-    bands = perplexity_bands(measured)
-    if not narrow:  # texts are measured again rather than shuffled
-        discard(measured)
-        measured = _measure(docs.withColumn("__l", lang), model, ["__l", *columns])
-        key = "__l"
-    else:
-        key = "lang"
+    measured = _measure(docs.withColumn("__l", F.coalesce(F.col("lang").cast("string"), F.lit(""))), ["__l", *columns])
+    bands = perplexity_bands(measured.select(F.col("__l").alias("lang"), "base_failed", "log_perplexity"))
     inside = F.lit(True)  # languages are few: as many as bands
     for name, (low, high) in sorted(bands.items()):
-        inside = F.when(F.col(key) == name, F.col("log_perplexity").between(low, high)).otherwise(inside)
+        inside = F.when(F.col("__l") == name, F.col("log_perplexity").between(low, high)).otherwise(inside)
     judged = measured.withColumn("kept", ~F.col("base_failed") & inside)
-    return judged.drop("__l") if not narrow else judged
+    return judged.withColumnRenamed("__l", "lang") if columns == ["doc_id"] else judged.drop("__l")

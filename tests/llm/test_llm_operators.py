@@ -262,6 +262,29 @@ def test_language_model_is_a_distribution_and_rejects_noise(spark):
     assert sum(got[i].kept for i in range(400)) >= 398
 
 
+def test_language_model_of_a_small_language_does_not_shrink_beside_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    small_words, large_words = [word("абвгд") for _ in range(300)], [word("abcdefgh") for _ in range(2_000)]
+    small = [(i, " ".join(rng.choice(small_words, 60)), "xx") for i in range(8)]
+    large = [(100 + i, " ".join(rng.choice(large_words, 6_000)), "en") for i in range(250)]  # 10 million characters
+    shape = "doc_id bigint, text string, lang string"
+    alone, beside = ({r.doc_id: r.log_perplexity for r in quality_rules.apply_rules(spark.createDataFrame(d, shape)).where("lang = 'xx'").collect()}
+                     for d in (small, small + large))
+    assert alone.keys() == beside.keys() and all(abs(alone[i] - beside[i]) < 1e-4 for i in alone)
+
+
+def test_scores_of_blocks_are_those_of_the_model(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BLOCK_BYTES", 3_000)  # many blocks a partition
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.apply_rules(docs).collect()}
+    model = quality_rules.train_model(docs)
+    for r in docs.limit(20).collect():
+        x = np.frombuffer(r.text.encode(), np.uint8)
+        grams, _ = quality_rules.packed_grams(x, np.array([0, len(x)]))
+        assert abs(got[r.doc_id] + model.log_probability(r.lang, grams).mean()) < 1e-4
+
+
 def test_mixing_matches_its_sql_and_plans_by_siblings_first(spark, ugly, empty):
     leaves = spark.createDataFrame([("a", "en", "a0", 100), ("a", "en", "a1", 1000), ("a", "de", "a0", 500), ("b", "en", "b0", 5000)],
                                    "domain string, language string, leaf_source string, t bigint")
