@@ -5,16 +5,19 @@ of whole texts, Spark sums them and derives continuation counts, discounts, prob
 weights with joins and groupings, down to one score per n-gram that the corpus holds.  The model stays
 in Spark tables and grows with the corpus.  Texts are dealt to blocks of bounded size; a block's distinct
 n-grams are joined with their scores, and the task that scores the block receives those and no others.
-The band of a language is taken from the middle half of its documents' log perplexities."""
+A document counts for the language whose character pairs fit it best, so a wrong label neither spoils a
+model nor condemns a clean text.  The band of a language is taken on each side from the spread of its
+documents' log perplexities on that side."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +26,9 @@ from balsam.llm.common import chunks, discard, mix64, settle, word_hashes, word_
 ORDER, BITS = 5, 12
 #: N-grams of two characters and more that stand once are not stored: a text does not vouch for itself.
 LEAST_COUNT = 2
-#: A document is out of its language's band beyond so many times the middle half's width from the median.
-BAND_WIDTHS = 6.0
-#: Least half width of a band in nats a character: clean texts whose language label is wrong stay inside.
-LEAST_HALF_WIDTH = 1.25
+#: A document is out of its language's band beyond so many standard deviations of its side from the median; a side's
+#: standard deviation is read off its outer tenth.
+BAND_DEVIATIONS, TENTH = 5.0, 1.2816
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Bytes of text of one language that are scored together, give or take one text.
 BLOCK_BYTES = 8 << 20
@@ -101,15 +103,87 @@ def rule_counts(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [np.diff(first), chars, per_text(_SYMBOLS[x]), n_dup, n_repeat]
 
 
+def _pairs(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character pairs of texts laid end to end as numbers, first * n + second, over the n distinct characters; these;
+    and the texts' offsets among the pairs."""
+    points = np.frombuffer(x.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) & 0xFFF
+    bounds = np.append(0, np.cumsum((x & 0xC0) != 0x80))[at]
+    before = np.append(2, points[:-1]).astype(np.int64) if len(points) else points.astype(np.int64)
+    before[bounds[:-1][bounds[:-1] < len(points)]] = 2
+    chars = np.flatnonzero(np.bincount(points, minlength=1 << BITS) + (np.arange(1 << BITS) == 2))
+    code = np.zeros(1 << BITS, np.int64)
+    code[chars] = np.arange(len(chars))
+    return code[before] * len(chars) + code[points], chars, bounds
+
+
+class Languages:
+    """Interpolated models of character pairs per language; their size is that of the alphabets."""
+
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
+        self.names, self.models = [r[0] for r in rows], []
+        for _, pairs, counts in rows:
+            order = np.argsort(pairs)
+            single = np.bincount(pairs & 0xFFF, counts, 1 << BITS)
+            self.models.append((pairs[order], counts[order].astype(np.float64), np.bincount(pairs >> BITS, counts, 1 << BITS),
+                                (single + 0.5) / (single.sum() + 0.5 * (1 << BITS))))
+
+    def fit(self, langs: pa.Array, texts: pa.Array) -> pa.Array:
+        """The language that fits each text best; its own where none fits better."""
+        if len(self.names) < 2:
+            return langs
+        out = langs.to_pylist()
+        for first, end, x, at in chunks(texts):
+            places, chars, bounds = _pairs(x, at)
+            distinct = np.flatnonzero(np.bincount(places, minlength=len(chars) ** 2))
+            one, two = chars[distinct // len(chars)], chars[distinct % len(chars)]
+            sums = np.empty((len(self.names), end - first))
+            table = np.zeros(len(chars) ** 2)
+            for i, (pairs, counts, before, single) in enumerate(self.models):
+                hit, n = _find(pairs, counts, one << BITS | two)
+                table[distinct] = np.log((np.where(hit, n, 0) + 5 * single[two]) / (before[one] + 5))
+                sums[i] = np.diff(np.append(0, np.cumsum(table[places]))[bounds])
+            best = sums.argmax(axis=0)
+            for j in range(end - first):
+                own = self.names.index(out[first + j])
+                if sums[best[j], j] > sums[own, j]:
+                    out[first + j] = self.names[best[j]]
+        return pa.array(out, pa.string())
+
+
+def learn_languages(docs: DataFrame) -> Languages:
+    """Pair models of the labels of rows (lang, text, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for lang in batch.column(0).unique().to_pylist():
+                have = held.setdefault(lang, Counter())
+                for _, _, x, at in chunks(batch.column(1).filter(pc.equal(batch.column(0), lang))):
+                    places, chars, _ = _pairs(x, at)
+                    counts = np.bincount(places, minlength=len(chars) ** 2)
+                    distinct = np.flatnonzero(counts)
+                    pairs = chars[distinct // len(chars)] << BITS | chars[distinct % len(chars)]
+                    have.update(dict(zip(pairs.tolist(), counts[distinct].tolist(), strict=True)))
+        for lang, have in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(have), pa.string()), pa.array(have.keys(), pa.int64()),
+                                              pa.array(have.values(), pa.int64())], ["lang", "pair", "n"])
+
+    found = docs.mapInArrow(run, "lang string, pair bigint, n bigint").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+    present = docs.select("lang").distinct().toArrow().column(0).to_pylist()
+    arrays = _sorted_arrays(found)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return Languages([(lang, *arrays.get(lang, nothing)) for lang in sorted(present)])
+
+
 class _Dealer:
     """Deals the rows of a partition to blocks, in their order: a block holds one language and BLOCK_BYTES."""
 
-    def __init__(self):
-        self.partition, self.languages = TaskContext.get().partitionId(), {}
+    def __init__(self, fitted: Languages | None = None):
+        self.partition, self.languages, self.fitted = TaskContext.get().partitionId(), {}, fitted
 
     def deal(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
         """(language, block, rows) of a batch whose first columns are the language and the text."""
-        langs = batch.column(0)
+        langs = self.fitted.fit(batch.column(0), batch.column(1)) if self.fitted else batch.column(0)
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for lang in langs.unique().to_pylist():
             at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
@@ -121,12 +195,14 @@ class _Dealer:
                 yield lang, self.partition << 40 | number << 20 | int(i), batch.take(pa.array(at[part == i]))
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(block, lang, gram, n) over all characters of rows (lang, text, ...), added up by block."""
+def count_grams(docs: DataFrame, fitted: Broadcast | None = None) -> DataFrame:
+    """(block, lang, gram, n) over all characters of rows (lang, text, ...), added up by block.
+
+    The language is the label, or the one that `fitted` finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[int, list]] = {}
-        dealer = _Dealer()
+        dealer = _Dealer(fitted and fitted.value)
         for batch in batches:
             for lang, block, rows in dealer.deal(batch):
                 if lang in held and held[lang][0] != block:
@@ -254,22 +330,24 @@ def _sorted_arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def _measure(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of rows (lang, text, ...) with the rule counts and the log perplexity a character."""
+    """`columns` of rows (lang, text, ...) with the language that fits, the rule counts and the log perplexity a character."""
     added = [c.split(" ")[0] for c in RULE_SCHEMA.split(", ")]
     names = [f"c{i}" for i in range(len(columns))]
     # Counting and scoring read the same columns, so that the same rows make up a partition and its blocks.
     picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                          *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    counted = settle(count_grams(picked))
+    languages = docs.sparkSession.sparkContext.broadcast(learn_languages(picked.select("lang", "text")))
+    counted = settle(count_grams(picked, languages))
     model = _model(counted)
     wanted = counted.join(model.scores, ["lang", "gram"]).select("block", "gram", F.col("score").cast("float").alias("score"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer()
+        dealer = _Dealer(languages.value)
         for batch in batches:
-            for _, block, rows in dealer.deal(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int64)), *rows.columns[1:]], ["block", "text", *names])
+            for lang, block, rows in dealer.deal(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int64)), rows.column(1), pa.array([lang] * len(rows), pa.string()),
+                                                  *rows.columns[2:]], ["block", "text", "fitted", *names])
 
     def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
         keys, values = scores.column("gram").to_numpy(), scores.column("score").to_numpy()
@@ -290,14 +368,14 @@ def _measure(docs: DataFrame, columns: list[str]) -> DataFrame:
                 failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
                 out.append(pa.RecordBatch.from_arrays(
                     [*part.slice(first, end - first).columns[2:], *[pa.array(c, pa.int64()) for c in counts],
-                     pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], [*names, *added]))
+                     pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], ["fitted", *names, *added]))
         return pa.Table.from_batches(out)
 
     kinds = {n: picked.schema[n].dataType for n in names}
-    schema = ", ".join([*[f"{n} {t.simpleString()}" for n, t in kinds.items()], RULE_SCHEMA])
-    dealt = picked.mapInArrow(deal, ", ".join(["block bigint, text string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()]]))
+    schema = ", ".join(["fitted string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()], RULE_SCHEMA])
+    dealt = picked.mapInArrow(deal, ", ".join(["block bigint, text string, fitted string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()]]))
     out = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
-    out = settle(out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added))
+    out = settle(out.select(F.col("fitted").alias("__fitted"), *[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added))
     model.discard()
     discard(counted)
     return out
@@ -306,14 +384,14 @@ def _measure(docs: DataFrame, columns: list[str]) -> DataFrame:
 def perplexity_bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
     """Lower and upper log perplexity per language, from rows (lang, base_failed, log_perplexity).
 
-    The middle half of the documents that pass the base rules sets the width."""
-    rows = measured.where("not base_failed").groupBy("lang").agg(
-        F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")).collect()
+    Each side has its own width, and nothing opens a band by force: its edge lies BAND_DEVIATIONS standard deviations from
+    the median, as the documents on that side that pass the base rules spread.  Copies count once."""
+    rows = measured.where("not base_failed").select("lang", "log_perplexity").distinct().groupBy("lang").agg(
+        F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q")).collect()
     out = {}
     for row in rows:
         low, middle, high = row["q"]
-        half = max(BAND_WIDTHS * (high - low), LEAST_HALF_WIDTH)
-        out[row["lang"]] = (middle - half, middle + half)
+        out[row["lang"]] = tuple(middle + BAND_DEVIATIONS * (edge - middle) / TENTH for edge in (low, high))
     return out
 
 
@@ -325,9 +403,9 @@ def apply_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     with the added names; an empty table gives no rows."""
     columns = columns or ["doc_id"]
     measured = _measure(docs.withColumn("__l", F.coalesce(F.col("lang").cast("string"), F.lit(""))), ["__l", *columns])
-    bands = perplexity_bands(measured.select(F.col("__l").alias("lang"), "base_failed", "log_perplexity"))
+    bands = perplexity_bands(measured.select(F.col("__fitted").alias("lang"), "base_failed", "log_perplexity"))
     inside = F.lit(True)  # languages are few: as many as bands
     for name, (low, high) in sorted(bands.items()):
-        inside = F.when(F.col("__l") == name, F.col("log_perplexity").between(low, high)).otherwise(inside)
-    judged = measured.withColumn("kept", ~F.col("base_failed") & inside)
+        inside = F.when(F.col("__fitted") == name, F.col("log_perplexity").between(low, high)).otherwise(inside)
+    judged = measured.withColumn("kept", ~F.col("base_failed") & inside).drop("__fitted")
     return judged.withColumnRenamed("__l", "lang") if columns == ["doc_id"] else judged.drop("__l")

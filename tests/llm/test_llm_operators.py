@@ -285,6 +285,23 @@ def test_scores_of_blocks_are_those_of_the_model(spark, monkeypatch):
         assert abs(got[r.doc_id] + model.log_probability(r.lang, grams).mean()) < 1e-4
 
 
+def test_perplexity_bands_reject_planted_texts_on_both_sides_and_keep_wrong_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    whole = {r.doc_id: r for r in docs.collect()}
+    rng, texts = np.random.default_rng(5), [r.text for r in whole.values() if r.lang == "en" and len(r.text) > 1_500]
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz      "), 2_000)) for _ in range(5)]
+    salad = [" ".join("".join(rng.permutation(list(w))) for w in t.split()) for t in texts[:5]]
+    repetitive = [" ".join("the" * int(n) for n in rng.integers(1, 60, 200)) for _ in range(5)]
+    planted = [(10_000 + i, t, "en") for i, t in enumerate(noise + salad + repetitive)]
+    wrong = [(20_000 + i, t + f" {i}", "fr") for i, t in enumerate(texts[5:15])]
+    table = docs.union(spark.createDataFrame(planted + wrong, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in quality_rules.apply_rules(table).collect()}
+    assert not any(got[d].base_failed or got[d].kept for d, *_ in planted)
+    assert all(got[d].kept and got[d].lang == "fr" for d, *_ in wrong if not got[d].base_failed)
+    passing = [got[d] for d in whole if not got[d].base_failed]
+    assert 0.95 * len(passing) <= sum(r.kept for r in passing)
+
+
 def test_mixing_matches_its_sql_and_plans_by_siblings_first(spark, ugly, empty):
     leaves = spark.createDataFrame([("a", "en", "a0", 100), ("a", "en", "a1", 1000), ("a", "de", "a0", 500), ("b", "en", "b0", 5000)],
                                    "domain string, language string, leaf_source string, t bigint")
