@@ -1,13 +1,15 @@
 """Near-duplicate vectors by navigable small-world graphs, one per shard of a label.
 
 Equal vectors of a label are one node.  Nodes of a label are dealt to shards of bounded size; each
-shard grows a layered graph and every node of the label is searched in every one of its shards.  A beam
+shard grows a layered graph once and every node of the label is searched in every one of its shards,
+in tasks that hold one shard's graph and one shard's nodes as queries.  A beam
 stays open while it is full of links, and a shard's beam doubles until an audit of its own nodes
 against all of the shard finds enough of their links.  Cosines are verified in double precision.  A task
 returns counts and one link per pair of groups, never pairs; Spark joins the groups to components."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,15 +170,14 @@ def audited_beam(graph: Graph, vectors: np.ndarray, seed: int = 11) -> int:
     return min(beam, n)
 
 
-def _search_shard(ids, weights, vectors, queries, query_ids, query_shards, shard):
-    """Link counts of all queries in one shard, and one link per query and group of the shard."""
+def _build_shard(ids, weights, vectors):
+    """Link counts and links of a shard's nodes among themselves, and what other nodes are searched with: the graph, its
+    beam and the group of each node."""
     graph = Graph(vectors)
     beam = audited_beam(graph, vectors)
-    place = {doc: i for i, doc in enumerate(ids)}
-    own = np.array([place[q] if s == shard else -1 for q, s in zip(query_ids, query_shards, strict=True)], np.int64)
-    found = graph.search(queries, beam, THRESHOLD - 1e-4, own)
-    counts, a, b = np.zeros(len(queries), np.int64), [], []
-    group = np.arange(len(ids))
+    n = len(ids)
+    found = graph.search(vectors, beam, THRESHOLD - 1e-4, np.arange(n))
+    group = np.arange(n)
 
     def root(i):
         while group[i] != i:
@@ -184,30 +185,52 @@ def _search_shard(ids, weights, vectors, queries, query_ids, query_shards, shard
             i = group[i]
         return i
 
-    hits = [_linked(vectors, q, f) for q, f in zip(queries, found, strict=True)]
+    hits = [_linked(vectors, q, f) for q, f in zip(vectors, found, strict=True)]
     # Inside the shard a link that either end has found holds for both.
-    inner = np.flatnonzero(own >= 0)
-    one = np.repeat(own[inner], [len(hits[i]) for i in inner])
-    two = np.concatenate([hits[i] for i in inner])
-    pairs = np.unique(np.concatenate([one * len(ids) + two, two * len(ids) + one]))
-    by_node = np.split(pairs % len(ids), np.searchsorted(pairs, np.arange(1, len(ids)) * len(ids)))
-    for i in inner:
-        hits[i] = by_node[own[i]]
-    for i, h in enumerate(hits):
+    one = np.repeat(np.arange(n), [len(h) for h in hits])
+    two = np.concatenate(hits)
+    pairs = np.unique(np.concatenate([one * n + two, two * n + one]))
+    counts = np.zeros(n, np.int64)
+    np.add.at(counts, pairs // n, weights[pairs % n])
+    for i, j in zip(pairs // n, pairs % n, strict=True):
+        x, y = root(i), root(j)
+        if x != y:
+            group[max(x, y)] = min(x, y)
+    group = np.array([root(i) for i in range(n)])
+    apart = np.flatnonzero(group != np.arange(n))
+    return counts, ids[apart], ids[group[apart]], (graph, beam, ids, weights, vectors, group)
+
+
+def _search_shard(shard, query_ids, queries):
+    """Link counts of another shard's nodes in a shard, and one link per query and group of the shard."""
+    graph, beam, ids, weights, vectors, group = shard
+    found = graph.search(queries, beam, THRESHOLD - 1e-4, np.full(len(queries), -1))
+    counts, a, b = np.zeros(len(queries), np.int64), [], []
+    for i, (q, f) in enumerate(zip(queries, found, strict=True)):
+        h = _linked(vectors, q, f)
         counts[i] = weights[h].sum()
-        if own[i] >= 0:
-            for j in h:
-                x, y = root(own[i]), root(j)
-                if x != y:
-                    group[max(x, y)] = min(x, y)
-    for i, h in enumerate(hits):
-        for r in {root(j) for j in h}:
-            if ids[r] != query_ids[i]:
-                a.append(query_ids[i])
-                b.append(ids[r])
+        for r in np.unique(group[h]):
+            a.append(query_ids[i])
+            b.append(ids[r])
     return counts, a, b
 
 
+def _unit(v: pd.Series) -> np.ndarray:
+    matrix = np.array(v.tolist(), np.float64)
+    matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+    return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+
+
+def _others(shards: str) -> F.Column:
+    return F.filter(F.sequence(F.lit(0), F.col(shards) - 1), lambda o: o != F.col("shard"))
+
+
+def pieces(nodes: DataFrame) -> DataFrame:
+    """(label, to, shard, node, v): every node as a query in all other shards of its label; a task takes one (label, to,
+    shard), so it holds the queries of one shard."""
+    return nodes.select("label", F.explode(_others("shards")).alias("to"), "shard", "node", "v")
+
+
 def link_vectors(table: DataFrame, vector: str = "embedding", label: str = "label", id_column: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -227,26 +250,27 @@ def link_vectors(table: DataFrame, vector: str = "embedding", label: str = "labe
         F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / F.lit(SHARD_NODES)).cast("int").alias("shards"))
     nodes = settle(nodes.join(sizes, "label").withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int")))
-    # Every node is a member of one shard and a query in all shards of its label.
-    sent = nodes.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    # Pieces of queries, so that a task holds one shard and a bounded piece.
-    sent = sent.select("label", "to", "node", "weight", "shard", "v")
 
-    def search(key: tuple, queries: pd.DataFrame) -> pd.DataFrame:
-        shard = key[1]
+    def build(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("node", kind="stable")
+        ids = members["node"].to_numpy()
+        counts, a, b, shard = _build_shard(ids, members["weight"].to_numpy(), _unit(members["v"]))
+        return pd.DataFrame({"label": [key[0]], "shard": [key[1]], "shards": [members["shards"].iloc[0]], "graph": [pickle.dumps(shard)],
+                             "a": [[*ids, *a]], "b": [[*[-1] * len(ids), *b]], "n": [[*counts, *[0] * len(a)]]})
+
+    def search(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         queries = queries.sort_values("node", kind="stable")
-        matrix = np.array(queries["v"].tolist(), np.float64)
-        matrix /= np.abs(matrix).max(axis=1, keepdims=True)
-        matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        own = (queries["shard"] == shard).to_numpy()
         ids = queries["node"].to_numpy()
-        if not own.any():
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        counts, a, b = _search_shard(ids[own], queries["weight"].to_numpy()[own], matrix[own], matrix, ids,
-                                     queries["shard"].to_numpy(), shard)
+        counts, a, b = _search_shard(pickle.loads(graph["graph"].iloc[0]), ids, _unit(queries["v"]))
         return pd.DataFrame({"a": [*ids, *a], "b": [*[-1] * len(ids), *b], "n": [*counts, *[0] * len(a)]})
 
-    found = settle(sent.groupBy("label", "to").applyInPandas(search, "a bigint, b bigint, n bigint"))
+    built = settle(nodes.groupBy("label", "shard").applyInPandas(
+        build, "label string, shard int, shards int, graph binary, a array<bigint>, b array<bigint>, n array<bigint>"))
+    inner = built.select(F.explode(F.arrays_zip("a", "b", "n")).alias("f")).select("f.a", "f.b", "f.n")
+    graphs = built.select("label", F.col("shard").alias("to"), F.explode(_others("shards")).alias("shard"), "graph")
+    key = ["label", "to", "shard"]
+    outer = pieces(nodes).groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(search, "a bigint, b bigint, n bigint")
+    found = settle(inner.union(outer))
     counts = found.where("b = -1").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = rows.join(nodes.select("key", "node"), "key", "left")
     # Two vectors of one vec_id belong together.

@@ -215,6 +215,18 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+def test_embedding_tasks_hold_one_shard_of_queries(spark, monkeypatch):
+    seen = []
+    whole = embedding_dedup.pieces
+    monkeypatch.setattr(embedding_dedup, "SHARD_NODES", 50)
+    monkeypatch.setattr(embedding_dedup, "pieces", lambda nodes: seen.append(whole(nodes)) or seen[-1])
+    rng = np.random.default_rng(3)
+    data = [(i, v, 0) for i, v in enumerate(rng.normal(size=(1_000, 8)).tolist())]  # one label of 20 shards
+    embedding_dedup.link_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")).count()
+    tasks = [r["count"] for r in seen[0].groupBy("label", "to", "shard").count().collect()]
+    assert len(tasks) == 20 * 19 and max(tasks) <= 100 and sum(tasks) == 19 * 1_000
+
+
 def base_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
@@ -276,7 +288,7 @@ def test_language_model_of_a_small_language_does_not_shrink_beside_a_large_one(s
 
 def test_scores_of_blocks_are_those_of_the_model(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "BLOCK_BYTES", 3_000)  # many blocks a partition
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'")
     got = {r.doc_id: r.log_perplexity for r in quality_rules.apply_rules(docs).collect()}
     model = quality_rules.train_model(docs)
     for r in docs.limit(20).collect():
