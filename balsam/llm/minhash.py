@@ -23,8 +23,8 @@ from balsam.llm.common import chunks, components, discard, lower_ascii, mix64, s
 SHINGLE_WORDS = 5
 SAMPLES, BAND_ROWS = 128, 4
 SKETCH_BITS = 512
-#: Similarity percent that links, and the estimate from which a pair is worth confirming (four deviations below).
-LINK_PERCENT, PLAUSIBLE = 75, 0.60
+#: Similarity percent that links, and the estimate from which a pair is worth confirming: fewer links fall below it than share no band.
+LINK_PERCENT, PLAUSIBLE = 75, 0.52
 #: Members that one task compares; larger bands are compared tile by tile, every pair of tiles.
 TILE = 2_000
 #: Rounds that confirm the best pair of each group before the last sweep.
@@ -118,20 +118,25 @@ def signatures(docs: DataFrame, text: str, id_column: str) -> DataFrame:
         run, "doc_id bigint, n_shingles bigint, set_hash binary, keys array<bigint>, sketch binary")
 
 
-def full_sets(docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as bytes."""
+def full_sets(docs: DataFrame) -> DataFrame:
+    """doc_id and the sorted distinct shingle hashes as bytes, of the rows (text, hashes, ids) whose set hash is among
+    `hashes`; doc_id is the one of `ids` beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, x, at in chunks(batch.column(1)):
+            hashes, numbers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for first, end, x, at in chunks(batch.column(0)):
                 shingles, bounds = shingle_sets(x, at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first),
-                     pa.array([shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-                    ["doc_id", "shingles"])
+                ids, sets = [], []
+                for i in range(end - first):
+                    found = shingles[bounds[i] : bounds[i + 1]].tobytes()
+                    name = hashlib.blake2b(found, digest_size=16).digest()
+                    if name in hashes[first + i]:
+                        ids.append(numbers[first + i][hashes[first + i].index(name)])
+                        sets.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, shingles binary")
+    return docs.select("text", "hashes", "ids").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -286,17 +291,21 @@ def link_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     doc_id links with nothing: its component_id is null and it is kept.  Other columns are ignored; an
     empty table gives no rows."""
     made = settle(signatures(docs, text, id_column))
-    # Equal sets are one class and enter the search once.
+    # Equal sets are one class and enter the search once.  A set has a number of its own, under the name doc_id below, as
+    # rows of one doc_id may hold several sets.
     same = made.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    same = settle(same)
+    same = settle(same.withColumn("set_id", F.monotonically_increasing_id()))
     full = made.where("doc_id is not null").join(same, "set_hash")
-    reps = settle(full.where("doc_id = rep").groupBy("doc_id", "set_hash").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    reps = settle(full.where("doc_id = rep").groupBy(F.col("set_id").alias("number")).agg(
+        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumnRenamed("number", "doc_id"))
     tiles = settle(_tiles(reps))
-    sketches = reps.groupBy("doc_id").agg(F.min_by("sketch", "set_hash").alias("sketch"), F.min_by("keys", "set_hash").alias("keys"))
+    sketches = reps.select("doc_id", "sketch", "keys")
     forest = settle(_forest_edges(tiles.join(sketches, "doc_id")))
-    ends = tiles.select("doc_id").distinct()
-    wanted = docs.withColumn("__id", F.col(id_column).cast("bigint")).join(ends.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    sets = settle(full_sets(wanted, text, id_column))
+    ends = tiles.select(F.col("doc_id").alias("set_id")).distinct()
+    ends = same.join(ends, "set_id", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("set_hash", "set_id")).alias("sets"))
+    wanted = docs.select(F.col(id_column).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text")).join(ends, "rep").select(
+        "text", F.col("sets.set_hash").alias("hashes"), F.col("sets.set_id").alias("ids"))
+    sets = settle(full_sets(wanted))
     links = reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
     open_, label, judged = forest, None, None
     for _ in range(BEST_ROUNDS):
@@ -314,12 +323,15 @@ def link_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     left = one.join(mixed, ["key", "ti", "tj"], "left_semi").join(sketches, "doc_id").join(sets, "doc_id")
     links = judged.where("linked").select("a", "b").union(settle(_sweep(left)))
     # Rows of one doc_id with several sets belong together, as do all documents of one set.
-    reach = full.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    twice = reach.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y")
-    links = links.union(twice.select("a", "x")).union(twice.select("a", "y"))
+    several = full.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("y")).where("b <> y").select("doc_id", "b")
+    links = links.union(full.join(several, "doc_id").select(F.col("set_id").alias("a"), "b"))
     label = components(links)
-    out = made.join(same, "set_hash", "left").join(label, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "rep", "doc_id"))
+    # A component is named after its least document.
+    same = same.join(label, F.col("set_id") == F.col("id"), "left").withColumn("part", F.coalesce("component_id", "set_id"))
+    names = same.groupBy("part").agg(F.min("rep").alias("least"))
+    named = same.select("set_hash", "part").join(names, "part").select("set_hash", "least")
+    out = made.join(named, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     discard(tiles, forest, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

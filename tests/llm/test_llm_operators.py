@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -180,6 +181,26 @@ def test_near_dedup_matches_brute_force(spark, ugly, empty, monkeypatch):
     assert minhash.link_documents(empty).count() == 0
 
 
+def test_near_dedup_keeps_every_text_of_a_repeated_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(200)) for c in "abc"]
+    near = [t + " more" for t in texts]
+    data = [(1, texts[0]), (1, texts[1]), (1, texts[2]), *[(10 + i, t) for i, t in enumerate(near)]]
+    got = minhash.link_documents(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert len(got) == 6 and {r.component_id for r in got} == {1}
+
+
+def test_sketches_lose_fewer_links_than_bands():
+    flips = np.zeros((2 * minhash.SAMPLES + 1, minhash.SKETCH_BITS + 1))  # chance of so many odd bits after so many flips
+    flips[0, 0] = 1
+    odd = np.arange(minhash.SKETCH_BITS + 1) / minhash.SKETCH_BITS
+    for i in range(2 * minhash.SAMPLES):
+        flips[i + 1, 1:] += flips[i, :-1] * (1 - odd[:-1])
+        flips[i + 1, :-1] += flips[i, 1:] * odd[1:]
+    chance = lambda d: math.comb(minhash.SAMPLES, d) * 0.25**d * 0.75 ** (minhash.SAMPLES - d)
+    lost = sum(chance(d) * flips[2 * d][minhash._ESTIMATE < minhash.PLAUSIBLE].sum() for d in range(minhash.SAMPLES + 1))
+    assert lost < (1 - 0.75**minhash.BAND_ROWS) ** (minhash.SAMPLES // minhash.BAND_ROWS)
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for shared in (1_000, 900, 800, 600):
