@@ -1,10 +1,10 @@
 """Drop lines that many documents share, keeping them in one document.
 
-Lines become 128-bit hashes.  Hashes are dealt by ranges of (hash, document, position) and sorted
-within each range, so a hash that a third of all documents hold spreads over many tasks; each task
-streams its sorted run and keeps the documents per hash, and only those sums meet per hash.  What goes
-back to the documents are bitmaps of the lines to drop, 64 lines a word and empty words left out; the
-text itself is read again and never enters the sort.  DataFrame functions only."""
+Lines become 128-bit hashes, dealt by ranges of (hash, document, position) and written sorted.  Groupings
+by (hash, document) and by hash, which shuffle anew and do not use that order, find each hash's documents
+and the one that keeps the line.  What goes back to the documents are bitmaps of the lines to drop, dense
+arrays of 64 lines a word; the text itself is read again and never enters the sort.  DataFrame functions
+only."""
 
 from __future__ import annotations
 
@@ -57,7 +57,7 @@ def drop_bitmaps(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = settle(lines.repartitionByRange(parts, "h1", "h2", "doc_id", "pos")
                   .sortWithinPartitions("h1", "h2", "doc_id", "pos"))
-    # Streams the sorted runs: a hash's documents are counted run by run before anything meets by hash.
+    # A hash's documents are counted by groupings; the order of the runs is not used.
     firsts = runs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     shared = firsts.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper"))
     shared = settle(shared.where(F.col("n") >= min_documents).select("h1", "h2", "keeper"))
