@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from balsam.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup
+from balsam.llm import (
+    bpe, collocations, embedding_dedup, hard_negatives, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding,
+    suffix_dedup, topk_search,
+)
 from balsam.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +83,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_sharding", sharding.ORACLE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), sharding.SHARD_BYTES)
+
+
+@_query("op11_hard_negatives", hard_negatives.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(
+        documents(spark, sf_dir, "embeddings"), F.col("vec_id") % hard_negatives.EVERY == 0, label)
+
+
+@_query("op12_collocations", collocations.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(documents(spark, sf_dir))
+
+
+@_query("op13_topk_search", topk_search.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % topk_search.EVERY == 0)
