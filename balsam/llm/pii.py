@@ -2,14 +2,16 @@
 
 Each detected entity gets a keyed surrogate: digits for digits, letters for letters of the same script
 and case, valid addresses for addresses, given names for given names of the same gender and script.  One
-entity has one surrogate in the whole corpus, however it is written.  Surrogates that two entities share,
-or that are themselves entities of the corpus, are drawn again until all are distinct; only the losers
-of a round go on.  Texts without a possible entity are not moved."""
+entity has one surrogate in the whole corpus, however it is written, digits of any script included.  Surrogates
+that two entities share, or that are themselves entities of the corpus, are drawn again until all are
+distinct; only the losers of a round go on, and after some rounds theirs grow by one character a round, so
+a shape that has fewer surrogates than entities ends too.  Texts without a possible entity are not moved."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ GIVEN_NAMES = {
 _NAME_KIND = {name: f"given:{gender}:{script}" for (gender, script), names in GIVEN_NAMES.items() for name in names}
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 _SURNAME = r"[A-ZÀ-ÞА-ЯΑ-Ω][a-zß-ÿа-яά-ώ]{2,}(?:-[A-ZÀ-ÞА-ЯΑ-Ω][a-zß-ÿа-яά-ώ]+)?"
+#: Titles that a person's name follows.
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sra"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _PATTERN = re.compile("|".join([
     r"(?P<email>[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})",
@@ -40,17 +44,23 @@ _PATTERN = re.compile("|".join([
     r"(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))",
     r"(?P<phone>(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d))",
     r"(?P<intl>(?<![\d.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d))",
+    rf"(?:\b(?:{_TITLES})\.? (?P<first>{_SURNAME}(?= {_SURNAME}))?(?: )?(?P<titled>{_SURNAME}))",
     rf"(?:\b(?P<given>{'|'.join(sorted(_NAME_KIND, key=lambda n: (-len(n), n)))}) (?P<surname>{_SURNAME}))",
 ]))
 #: What a text with an entity holds at least; wider than the patterns, and names are tried at capitals only.
-MAYBE = "[@0-9]|(?=[" + "".join(sorted({name[0] for name in _NAME_KIND})) + "])(?:" + "|".join(sorted(_NAME_KIND)) + ")"
+MAYBE = rf"[@\p{{Nd}}]|\b(?:{_TITLES})\.? |(?=[" + "".join(sorted({name[0] for name in _NAME_KIND})) + "])(?:" + "|".join(sorted(_NAME_KIND)) + ")"
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order."""
     out = []
     for m in _PATTERN.finditer(text):
-        if m["given"]:
+        if m["titled"]:
+            if m["first"]:
+                kind = _NAME_KIND.get(m["first"])
+                out.append((*m.span("first"), kind or "surname", m["first"] if kind else m["first"].lower()))
+            out.append((*m.span("titled"), "surname", m["titled"].lower()))
+        elif m["given"]:
             out.append((*m.span("given"), _NAME_KIND[m["given"]], m["given"]))
             out.append((*m.span("surname"), "surname", m["surname"].lower()))
         else:
@@ -67,7 +77,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 def _canonical(kind: str, found: str) -> tuple[str, str]:
     if kind in ("email", "secret", "address"):
         return kind, found.lower()
-    plain = re.sub(r"[^0-9A-Za-z]", "", found)
+    plain = re.sub(r"[^0-9A-Za-z]", "", "".join(str(unicodedata.digit(c)) if c.isdecimal() else c for c in found))
     if kind in ("phone", "intl"):  # the last ten digits: with or without a country code
         return "phone", plain[-10:]
     return kind, plain
@@ -108,8 +118,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: Rounds in which a surrogate keeps the length of its entity; each later one adds a character.
+SAME_LENGTH = 8
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical surrogate of a canonical entity."""
+    grown = max(0, attempt + 1 - SAME_LENGTH)
+    if grown and kind == "address":
+        s = _Stream(key, kind, value, attempt)  # beyond the four numbers: the longer form of such addresses
+        return "2001:db8:" + ":".join(f"{s.below(1 << 16):x}" for _ in range(6))
+    if grown and not kind.startswith("given"):
+        value = ("x" * grown if kind == "email" else "") + value + ("" if kind == "email" else ("a" if value[-1:].isalpha() else "0") * grown)
     s = _Stream(key, kind.partition(":")[0] if not kind.startswith("given") else kind, value, attempt)
     if kind.startswith("given"):
         _, gender, script = kind.split(":")
@@ -141,14 +161,17 @@ def render(kind: str, found: str, new: str) -> str:
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(found, new, strict=True)) if len(found) == len(new) else new
     if kind == "surname":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(found, new, strict=True))
-    fill, at = list(found), len(found) - 1
-    for c in reversed(new):
-        while at >= 0 and not fill[at].isalnum():
-            at -= 1
-        fill[at] = c
+        head = "".join(n.upper() if c.isupper() else n for c, n in zip(found, new, strict=False))
+        return head + new[len(head) :]
+    fill, at, rest = list(found), len(found) - 1, list(new)
+    while rest and at >= 0:
+        if fill[at].isalnum():
+            c = rest.pop()
+            # A digit stays in its script.
+            fill[at] = chr(ord(fill[at]) - unicodedata.digit(fill[at]) + int(c)) if fill[at].isdecimal() and c.isdigit() else c
         at -= 1
-    return "".join(fill)
+    first = next((i for i, c in enumerate(fill) if c.isalnum()), len(fill))
+    return "".join(fill[:first] + rest + fill[first:])
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
@@ -167,7 +190,9 @@ def _mentions(rows: DataFrame) -> DataFrame:
 
 
 def assign_surrogates(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, surrogate) of distinct (kind, value): all surrogates of a kind differ, and none is a value of it."""
+    """(kind, value, surrogate) of distinct (kind, value): all surrogates of a kind differ, and none is a value of it.
+
+    Given names keep to their list.  All else ends: each round after SAME_LENGTH has several times as many surrogates."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +226,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"surrogates", text: str = "text",
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Equal texts are rewritten alike, so the text's digest names the row.
-    rows = base.where(maybe).withColumn("row", F.sha2("text", 256))
+    rows = settle(base.where(maybe).withColumn("row", F.sha2("text", 256)))
     mentions = settle(_mentions(rows).distinct())
     given = assign_surrogates(mentions.select("kind", "value").distinct(), key)
     pairs = mentions.join(given, ["kind", "value"]).groupBy("row").agg(

@@ -386,12 +386,61 @@ def test_pii_surrogates(spark, ugly, empty):
     assert pii.replace_pii(empty).count() == 0
 
 
-def test_pii_surrogates_stay_distinct(spark):
-    values = [("national", f"{i:02d}") for i in range(60)] + [("given:male:greek", n) for n in pii.GIVEN_NAMES["male", "greek"]]
+def check_surrogates(spark, values):
     got = pii.assign_surrogates(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
-    assert len(got) == len(values)
+    assert {(r.kind, r.value) for r in got} == set(values) and len(got) == len(values)
     assert len({(r.kind, r.surrogate) for r in got}) == len(values)
-    assert not {r.surrogate for r in got if r.kind == "national"} & {v for _, v in values}
+    real = set(values)
+    assert not [r for r in got if not r.kind.startswith("given") and (r.kind, r.surrogate) in real]
+    return got
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    values = [("national", f"{i:02d}") for i in range(30)] + [("given:male:greek", n) for n in pii.GIVEN_NAMES["male", "greek"]]
+    check_surrogates(spark, values)
+
+
+def test_pii_surrogates_end_where_a_shape_runs_out(spark):
+    """60 of 100 two-digit values are taken by the entities themselves: 40 surrogates of that shape for 60 entities."""
+    got = check_surrogates(spark, [("national", f"{i:02d}") for i in range(60)] + [("surname", c) for c in "abcdefghijklmnopqrst"])
+    assert any(len(r.surrogate) > len(r.value) for r in got)
+    longer = next(r for r in got if r.kind == "national" and len(r.surrogate) > 2)
+    assert re.sub(r"\D", "", pii.render("national", f"{longer.value[0]}-{longer.value[1]}", longer.surrogate)) == longer.surrogate
+
+
+def test_pii_in_digits_of_other_scripts(spark):
+    texts = ["card ٤١١١ ١١١١ ١١١١ ١١١١ here", "call ٧٠٦-٥٥٥-٣١٣٨ now", "call 706-555-3138 now", "call ७०६-५५५-३१३८", "@ ٧٠٦-٥٥٥-٣١٣٨",
+             "Dr. Priya Raman and Mrs Okafor met; Raman left", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    for i, private in ((0, "١١١١"), (1, "٥٥٥-٣١٣٨"), (2, "555-3138"), (3, "५५५-३१३८"), (4, "٥٥٥-٣١٣٨"), (5, "Raman"), (5, "Okafor"), (5, "Priya")):
+        assert private not in got[i]
+    assert got[6] == texts[6]
+    digits = ["".join(str(int(c)) for c in got[i] if c.isdecimal()) for i in (1, 2, 3, 4)]
+    assert len(set(digits)) == 1 and re.search("[٠-٩]{3}-[٠-٩]{3}-[٠-٩]{4}", got[1]) and re.search("[०-९]{4}", got[3])
+    assert re.fullmatch(r"Dr\. [A-Z]\w+ ([A-Z]\w+) and Mrs [A-Z]\w+ met; \1 left", got[5])
+
+
+def test_pii_of_a_table_is_coreferent_and_distinct(spark):
+    """Every mention of the whole table: one surrogate per entity, different entities apart, all else as it was."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    seen, used = {}, {}
+    for r in docs.collect():
+        found, at, to = pii.entities(r.text or ""), 0, 0
+        assert new[r.doc_id].n_entities == len(found)
+        for a, b, kind, value in found:
+            assert (r.text[at:a]) == new[r.doc_id].text[to : to + a - at]
+            put = new[r.doc_id].text[to + a - at : to + b - at] if kind != "address" and not kind.startswith("given") else None
+            if put is None:  # of another length: up to where the text goes on
+                rest = re.match(r"[\w.:]+", new[r.doc_id].text[to + a - at :])[0]
+                put = rest.rstrip(".:") if kind == "address" else rest
+            flat = pii._canonical(kind, put)[1] if kind in ("phone", "card", "national", "iban", "email") else put.lower()
+            assert seen.setdefault((kind, value), flat) == flat
+            assert used.setdefault((kind, flat), value) == value
+            to, at = to + (a - at) + len(put), b
+        assert (r.text or "")[at:] == (new[r.doc_id].text or "")[to:]
+    assert len(seen) > 10
 
 
 def check_shards(got, limit):
