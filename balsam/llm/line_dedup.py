@@ -1,19 +1,21 @@
 """Drop lines that many documents share, keeping them in one document.
 
-Lines become 128-bit hashes, dealt by ranges of (hash, document, position) and written sorted.  Groupings
-by (hash, document) and by hash, which shuffle anew and do not use that order, find each hash's documents
-and the one that keeps the line.  What goes back to the documents are bitmaps of the lines to drop, dense
-arrays of 64 lines a word; the text itself is read again and never enters the sort.  DataFrame functions
-only."""
+Lines become 128-bit hashes, dealt by ranges of (hash, salt of the document) and sorted by document and position,
+so a line that a third of all documents hold is SALTS runs.  One pass over the sorted runs marks a document's first
+line of a hash, counts a run's documents and ends at the largest; only those last rows are added up by hash.  What
+goes back to the documents are bitmaps of the lines to drop, dense arrays of 64 lines a word; the text itself is read
+again and never enters the sort.  DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from balsam.llm.common import discard, settle
 
 MIN_POINTS, MIN_DOCUMENTS = 40, 5
+#: Runs that the lines of one hash fall into, by document.
+SALTS = 64
 #: White space at the ends of a line that its key leaves out.
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,13 +55,20 @@ def drop_bitmaps(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
                  min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(doc_id, row_hash, drop_words) of documents that lose lines: an array of 64-line words, bit set = line goes."""
     spark = docs.sparkSession
-    lines = _keyed_lines(docs, text, id_column, min_points)
+    # Settled first: the range exchange samples its input, and no line is to be split and hashed twice.
+    lines = settle(_keyed_lines(docs, text, id_column, min_points).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = settle(lines.repartitionByRange(parts, "h1", "h2", "doc_id", "pos")
-                  .sortWithinPartitions("h1", "h2", "doc_id", "pos"))
-    # A hash's documents are counted by groupings; the order of the runs is not used.
-    firsts = runs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    shared = firsts.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper"))
+    order = ["h1", "h2", "salt", "doc_id", "pos"]
+    runs = lines.repartitionByRange(parts, "h1", "h2", "salt").sortWithinPartitions(*order)
+    # The windows read the sorted runs as they come: the exchange and the sort above are the only ones.
+    run = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
+    first = F.when(F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id")), 0).otherwise(1)
+    streamed = runs.withColumn("first", first).withColumn("next", F.lead("doc_id").over(run))
+    streamed = streamed.withColumn("n", F.sum("first").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = settle(streamed.select("doc_id", "row_hash", "pos", "h1", "h2", F.when(F.col("next").isNull(), F.col("n")).alias("n")))
+    discard(lines)
+    # The last row of a run says how many documents it has, and is the largest of them.
+    shared = runs.where("n IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("doc_id").alias("keeper"))
     shared = settle(shared.where(F.col("n") >= min_documents).select("h1", "h2", "keeper"))
     gone = runs.join(shared, ["h1", "h2"]).where("doc_id <> keeper")
     words = gone.groupBy("doc_id", "row_hash", F.expr("pos div 64").alias("w")).agg(
