@@ -27,9 +27,9 @@ from balsam.llm.common import _powers, chunks, discard, lower_ascii, mix64, sett
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2_000
 #: Bits of the pair filter at most (16 MB), and bytes of text a task works on at once.
-FILTER_BITS, SLICE_BYTES = 27, 1 << 21
+FILTER_BITS, SLICE_BYTES = 27, 1 << 20
 #: Pairs that a task holds before it sums them up.
-HELD = 1 << 21
+HELD = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\n\x0b\x0c\r")] = True
