@@ -11,8 +11,9 @@ A row is valid while expires_at > as_of; `as_of` is a parameter, never the clock
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,12 +122,16 @@ def parent_path(c: Column | str) -> Column:
 
 def category_match_level(category, path, other_category, other_path) -> Column:
     """same_category, then same_parent_path, then other_category."""
+    return _match_level(category, parent_path(path), other_category, parent_path(other_path))
+
+
+def _match_level(category, parent, other_category, other_parent) -> Column:
     def c(x):
         return F.col(x) if isinstance(x, str) else x
 
     return (
         F.when((c(category) != "") & c(category).eqNullSafe(c(other_category)), "same_category")
-        .when(parent_path(path) == parent_path(other_path), "same_parent_path")
+        .when(c(parent) == c(other_parent), "same_parent_path")
         .otherwise("other_category")
     )
 
@@ -135,79 +140,180 @@ def category_match_level(category, path, other_category, other_path) -> Column:
 LEVEL_RANK = {"same_category": 0, "same_parent_path": 1, "other_category": 2}
 
 
+#: Products that hold a name before it is looked up by profiles instead of its postings.
+HOT_POSTINGS = 1_000
+#: Shares that the profiles of a hot name are joined in.
+HOT_SHARES = 16
+
+
+def _level_rank(level: str | Column) -> Column:
+    rank = F.lit(None).cast("int")
+    for name, n in LEVEL_RANK.items():
+        rank = F.when((F.col(level) if isinstance(level, str) else level) == name, n).otherwise(rank)
+    return rank
+
+
+def _lists(category: Column, parent: Column) -> Column:
+    """The candidate lists a product stands in, or a request reads: its category's, its parent path's, and all."""
+    return F.array_compact(F.array(
+        F.concat(F.lit("c:"), F.nullif(category, F.lit(""))), F.concat(F.lit("p:"), parent), F.lit("all")))
+
+
+def _options_that_hold(profile: str, names: str) -> Column:
+    """How many options of a profile hold one of the names."""
+    return F.size(F.filter(profile, lambda o: o["is_option"] & F.arrays_overlap(o["names"], F.col(names))))
+
+
+def _with_bits(word: str) -> Column:
+    """The option bits of a name together with those of the hot names met."""
+    return F.aggregate("both", F.col(word), lambda m, e: m.bitwiseOR(e[word]))
+
+
+_RELATED_ORDER = [F.desc, F.desc, F.desc, F.asc, F.asc]
+_RELATED_BY = ["n_matched", "n_options", "updated_at", "source", "external_id"]
+
+
 def related_products(
     requests: DataFrame, seeds: DataFrame, products: DataFrame, states: DataFrame,
     records: DataFrame, items: DataFrame, as_of, limit: int = 5, include_legacy: bool = False,
+    hot_postings: int = HOT_POSTINGS,
 ) -> DataFrame:
     """Best products that share seed ingredients with each request.
 
     requests: request_id, product_id (left out of its own result), category, category_path;
     seeds: request_id, seed_pos, name (normalised).  Order: category level, matched ingredients,
-    matched options, update time, source, external id.
-
-    Requests with the same seeds share one candidate list, so a request never meets all products
-    that hold a common ingredient.  For a seed set only the first limit + 1 candidates can matter:
-    of each category, of each parent path, and over all.  Same-category rows that fill places in
-    a parent or overall list are results themselves, and the extra row replaces the request's own
-    product; so the union of the three lists holds the exact answer."""
-    clean = keep_first(
-        seeds.withColumn("name", strip("name")).filter("name <> ''"), ["request_id", "name"],
-        "seed_pos")
-    sets = clean.groupBy("request_id").agg(
-        F.sort_array(F.collect_list("name")).alias("names"),
-        F.map_from_entries(F.collect_list(F.struct("name", "seed_pos"))).alias("seed_at"),
-    ).withColumn("set_id", F.sha2(F.concat_ws("\x1f", "names"), 256))
-    names = sets.groupBy("set_id").agg(F.first("names").alias("names")).select(
-        "set_id", F.explode("names").alias("normalized_name"))
-
-    usable = complete_records(states, records, items, as_of, include_legacy).select(*RECORD_KEY)
-    hits = (
-        items.join(names, "normalized_name").join(usable, RECORD_KEY, "left_semi")
-        .groupBy("set_id", "product_id").agg(
-            F.collect_set("normalized_name").alias("matched"),
-            F.collect_set(F.nullif("option_id", F.lit(""))).alias("options"),
-        )
-        .select("set_id", "product_id", "matched", F.size("matched").alias("n_matched"),
-                F.sort_array("options").alias("matched_options"), F.size("options").alias("n_options"))
-    )
-    candidates = hits.join(
-        products.select("product_id", "source", "external_id", "category", "category_path",
-                        "updated_at"), "product_id"
-    ).withColumn("parent", parent_path("category_path"))
-    order = [F.desc("n_matched"), F.desc("n_options"), F.desc("updated_at"), F.asc("source"),
-             F.asc("external_id")]
-    # One row per list a candidate may appear in; the lists are cut before requests join them.
-    listed = candidates.withColumn("list", F.explode(F.array_compact(F.array(
-        F.concat(F.lit("c:"), "category"), F.concat(F.lit("p:"), "parent"), F.lit("all")))))
-    best = top_k(listed, ["set_id", "list"], order, limit + 1)
-    asked = requests.select(
+    matched options, update time, source, external id.  matched_ingredients are the product's stored
+    spellings in seed order; matched_options has each option's id, name and own matched spellings.
+
+    Names are looked up by rarity.  Those that at most `hot_postings` products hold are joined by
+    their postings, which gives every product that shares one of them, hot names counted in.  What
+    is left shares hot names only, so it matches no more than the request's hot names; a request
+    whose places all went to its best level with more matches is done.  For the others, products
+    with the same hot names in their options (a profile) tie but for their update time and ids, so
+    limit + 1 of each profile and list stand for all, and each distinct set of hot names is matched
+    with profiles, in shares, by partial counts.  A product's rank by hot names alone is no better
+    than its true one, so whatever stands before it there stands before it in truth, and the lists
+    cut at limit + 1 (one place for the request's own product) hold the exact answer."""
+    order = [by(c) for by, c in zip(_RELATED_ORDER, _RELATED_BY, strict=True)]
+    clean = settle(keep_first(
+        seeds.select("request_id", "seed_pos", strip("name").alias("name")).filter("name <> ''"),
+        ["request_id", "name"], "seed_pos"))
+    usable = complete_records(states, records, items, as_of, include_legacy)
+    option_name = F.col("option_name") if "option_name" in records.columns else F.lit(None).cast("string")
+    usable = usable.select(*RECORD_KEY, option_name.alias("option_name"))
+    asked_names = clean.select(F.col("name").alias("normalized_name")).distinct()
+    held = settle(items.join(asked_names, "normalized_name", "left_semi").join(usable, RECORD_KEY).select(
+        *RECORD_KEY, "option_name", "position", "ingredient_name", "normalized_name"))
+    names = held.select("product_id", "option_id", "normalized_name").distinct()
+    hot = settle(held.groupBy("normalized_name").agg(F.count_distinct("product_id").alias("n")).filter(
+        F.col("n") > hot_postings).select("normalized_name"))
+    rows = products.select("product_id", "source", "external_id", "category", "category_path", "updated_at")
+
+    # Hot names: a request's as one sorted array, a product's as a profile of its options.
+    hot_of = clean.join(hot, F.col("name") == F.col("normalized_name"), "left_semi").groupBy("request_id").agg(
+        F.sort_array(F.collect_set("name")).alias("hot_names"))
+    per_option = names.join(hot, "normalized_name", "left_semi").groupBy("product_id", "option_id").agg(
+        F.sort_array(F.collect_set("normalized_name")).alias("names"))
+    profile_of = settle(per_option.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("option_id") != "").alias("is_option"), "names"))).alias("profile")))
+    asked = settle(requests.select(
         "request_id", F.col("product_id").alias("self_id"), F.col("category").alias("want_category"),
         F.col("category_path").alias("want_path"),
-    ).join(sets.select("request_id", "set_id", "seed_at"), "request_id").withColumn(
-        "list", F.explode(F.array_compact(F.array(
-            F.concat(F.lit("c:"), F.nullif("want_category", F.lit(""))),
-            F.concat(F.lit("p:"), parent_path("want_path")), F.lit("all")))))
-    pairs = (
-        asked.join(best, ["set_id", "list"])
-        .filter(~F.col("product_id").eqNullSafe(F.col("self_id")))
-        .withColumn("category_match_level", category_match_level(
-            "want_category", "want_path", "category", "category_path"))
-    )
-    # A product may come from several lists; its rows are equal but for the list name.
-    unique = keep_first(pairs, ["request_id", "product_id"], "list")
-    level = F.lit(None).cast("int")
-    for name, rank in LEVEL_RANK.items():
-        level = F.when(F.col("category_match_level") == name, rank).otherwise(level)
-    ranked = top_k(unique.withColumn("__level", level), "request_id", ["__level", *order], limit,
-                   rank_col="rank")
-    return ranked.select(
-        "request_id", "rank", "product_id", "category_match_level", "n_matched", "n_options",
-        "matched_options",
-        F.transform(
-            F.array_sort(F.transform("matched", lambda m: F.struct(
-                F.element_at("seed_at", m).alias("at"), m.alias("name")))),
-            lambda x: x["name"]).alias("matched_ingredients"),
-    )
+    ).join(clean.select("request_id").distinct(), "request_id", "left_semi").join(hot_of, "request_id", "left"))
+
+    def placed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(~F.col("product_id").eqNullSafe(F.col("self_id")))
+        level = category_match_level("want_category", "want_path", "category", "category_path")
+        return pairs.withColumn("category_match_level", level).withColumn("__level", _level_rank("category_match_level")).select(
+            "request_id", "product_id", "category_match_level", "__level", *_RELATED_BY)
+
+    # By the postings of rare names.  A product's options are bits of one or more words, so that the matched ones are
+    # counted by an aggregate of numbers; hot names that both sides hold are added to each pair as it is met.
+    numbered = names.filter("option_id <> ''").select("product_id", "option_id").distinct().withColumn(
+        "bit", F.row_number().over(Window.partitionBy("product_id").orderBy("option_id")) - 1)
+    numbered = settle(numbered)
+    words = [f"__w{i}" for i in range(1 + (numbered.agg(F.max("bit")).first()[0] or 0) // 63)]
+    bits = [F.coalesce(F.when(F.floor(F.col("bit") / 63) == i, F.expr("shiftleft(1L, bit % 63)")), F.lit(0).cast("bigint")).alias(w)
+            for i, w in enumerate(words)]
+    postings = settle(names.join(numbered, RECORD_KEY, "left").select("product_id", "normalized_name", *bits).groupBy(
+        "product_id", "normalized_name").agg(*[F.bit_or(w).alias(w) for w in words]))
+    hot_entries = postings.join(hot, "normalized_name", "left_semi").groupBy("product_id").agg(
+        F.collect_list(F.struct("normalized_name", *words)).alias("hot_entries"))
+    rare = clean.select("request_id", F.col("name").alias("normalized_name")).join(hot, "normalized_name", "left_anti")
+    offered = postings.join(hot, "normalized_name", "left_anti").join(
+        rows.select("product_id", "category", parent_path("category_path").alias("parent"), "updated_at"), "product_id").join(
+        hot_entries, "product_id", "left")
+    # Paths are parsed once a side, not once a pair.
+    met = settle(offered).join(settle(rare.join(asked, "request_id").withColumn("want_parent", parent_path("want_path"))), "normalized_name").filter(~F.col("product_id").eqNullSafe(F.col("self_id")))
+    both = F.filter("hot_entries", lambda e: F.array_contains("hot_names", e["normalized_name"]))
+    met = met.select(
+        "request_id", "product_id", "updated_at", _level_rank(_match_level(
+            "want_category", "want_parent", "category", "parent")).alias("__level"),
+        F.coalesce(both, F.array().cast(hot_entries.schema["hot_entries"].dataType)).alias("both"), *words)
+    met = met.select("request_id", "product_id", "updated_at", "__level", F.size("both").alias("n_hot"), *[
+        _with_bits(w).alias(w) for w in words])
+    counted = met.repartition("request_id").groupBy("request_id", "product_id").agg(
+        F.min("__level").alias("__level"), F.max("updated_at").alias("updated_at"),
+        (F.count("*") + F.max("n_hot")).cast("int").alias("n_matched"), *[F.bit_or(w).alias(w) for w in words])
+    counted = counted.withColumn("n_options", reduce(Column.__add__, [F.bit_count(w) for w in words])).drop(*words)
+    # Ties but for the ids stay; the ids join what is left.
+    near = Window.partitionBy("request_id").orderBy("__level", F.desc("n_matched"), F.desc("n_options"), F.desc("updated_at"))
+    counted = counted.withColumn("near", F.rank().over(near)).filter(F.col("near") <= limit).drop("near")
+    names_of_level = F.element_at(F.array(*[F.lit(n) for n in LEVEL_RANK]), F.col("__level") + 1)
+    counted = counted.join(rows.select("product_id", "source", "external_id"), "product_id").select(
+        "request_id", "product_id", names_of_level.alias("category_match_level"), "__level", *_RELATED_BY)
+    best = settle(top_k(counted, "request_id", ["__level", *order], limit))
+
+    # Requests with hot names whose places are not all taken by more matches at their best level.
+    best_level = F.when(F.col("want_category") != "", 0).when(parent_path("want_path").isNotNull(), 1).otherwise(2)
+    taken = best.groupBy("request_id").agg(F.count("*").alias("n"), F.max("__level").alias("worst"), F.min("n_matched").alias("least"))
+    done = (F.col("n") >= limit) & (F.col("worst") <= best_level) & (F.col("least") > F.size("hot_names"))
+    still = asked.filter("hot_names IS NOT NULL").join(taken, "request_id", "left").filter(~F.coalesce(done, F.lit(False)))
+    still = still.withColumn("hot_id", F.sha2(F.concat_ws("\x1f", "hot_names"), 256)).withColumn(
+        "list", F.explode(_lists(F.col("want_category"), parent_path("want_path"))))
+    still = settle(still.select("request_id", "self_id", "want_category", "want_path", "hot_id", "hot_names", "list"))
+
+    # Profiles stand for their products.
+    profiled = profile_of.withColumn("profile_id", F.sha2(F.to_json("profile"), 256)).join(rows, "product_id").withColumn(
+        "list", F.explode(_lists(F.col("category"), parent_path("category_path"))))
+    few = settle(top_k(profiled, ["profile_id", "list"], order[2:], limit + 1))
+    profiles = few.select("profile_id", "profile").dropDuplicates(["profile_id"])
+    shares = F.explode(F.sequence(F.lit(0), F.lit(HOT_SHARES - 1)))
+    left = still.select("hot_id", F.explode("hot_names").alias("name")).distinct().withColumn("share", shares)
+    right = profiles.select("profile_id", F.explode(F.array_distinct(F.flatten(F.transform("profile", lambda o: o["names"])))).alias("name"))
+    right = right.withColumn("share", F.pmod(F.xxhash64("profile_id"), F.lit(HOT_SHARES)).cast("int"))
+    met = left.join(right, ["name", "share"]).groupBy("hot_id", "profile_id").agg(F.count("*").cast("int").alias("n_matched"))
+    sets = still.select("hot_id", "hot_names").dropDuplicates(["hot_id"])
+    met = met.join(sets, "hot_id").join(profiles, "profile_id").withColumn("n_options", _options_that_hold("profile", "hot_names"))
+    lists = still.select("hot_id", "list").distinct()
+    stand = met.select("hot_id", "profile_id", "n_matched", "n_options").join(few.drop("profile"), "profile_id").join(
+        lists, ["hot_id", "list"], "left_semi")
+    stand = top_k(stand, ["hot_id", "list"], order, limit + 1)
+    by_hot = placed(still.drop("hot_names").join(stand, ["hot_id", "list"]))
+
+    # A product found both ways, or in several lists, keeps its full count.
+    both = keep_first(best.unionByName(by_hot), ["request_id", "product_id"], [F.desc("n_matched"), F.desc("n_options")])
+    ranked = settle(top_k(both, "request_id", ["__level", *order], limit, rank_col="rank").select(
+        "request_id", "rank", "product_id", "category_match_level"))
+
+    # Stored spellings, for the places of the result only.
+    spelled = ranked.join(held, "product_id").join(
+        clean.select("request_id", F.col("name").alias("normalized_name"), "seed_pos"), ["request_id", "normalized_name"])
+    key = ["request_id", "rank", "product_id", "category_match_level"]
+    per_name = spelled.groupBy(*key, "option_id", "option_name", "normalized_name", "seed_pos").agg(
+        F.min_by("ingredient_name", F.struct("position", "ingredient_name")).alias("spelling"))
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["spelling"])
+    options = per_name.groupBy(*key, "option_id", "option_name").agg(
+        in_order(F.collect_list(F.struct("seed_pos", "normalized_name", "spelling"))).alias("matched_ingredients"),
+        F.collect_list(F.struct("seed_pos", "normalized_name", "option_id", "spelling")).alias("found"))
+    out = options.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("option_id") != "", F.struct("option_id", "option_name", "matched_ingredients"))))
+        .alias("matched_options"), F.flatten(F.collect_list("found")).alias("found"))
+    # The first option's spelling of a name is the product's.
+    first = F.filter(F.array_sort("found"), lambda x, i: (i == 0) | (F.get(F.array_sort(F.col("found")), i - 1)["normalized_name"] != x["normalized_name"]))
+    return out.withColumn("matched_ingredients", F.transform(first, lambda x: x["spelling"])).select(
+        *key[:1], "rank", "product_id", "category_match_level", F.size("matched_ingredients").alias("n_matched"),
+        F.size("matched_options").alias("n_options"), "matched_options", "matched_ingredients")
 
 
 # --- substring search --------------------------------------------------------------------------

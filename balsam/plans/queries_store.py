@@ -70,20 +70,16 @@ def _(t):
 
 # Brute force over all pairs of request and candidate.
 @query("related_products", f"""
-WITH {_COMPLETE},
+WITH {_COMPLETE.replace("record_items", "related_items")},
 usable AS (SELECT v.product_id, option_id FROM valid v JOIN complete USING (product_id)
            WHERE (kind = 'ready') = (option_id <> '')),
-sets AS (SELECT request_id, name, min(seed_pos) AS seed_at FROM {{seeds}} GROUP BY 1, 2),
-set_keys AS (SELECT request_id, string_agg(name, '|' ORDER BY name) AS set_id FROM sets GROUP BY 1),
-set_names AS (SELECT DISTINCT set_id, name FROM set_keys JOIN sets USING (request_id)),
+asked AS (SELECT request_id, name, min(seed_pos) AS seed_pos FROM {{seeds}} GROUP BY 1, 2),
+held AS (SELECT i.* FROM {{related_items}} i JOIN usable USING (product_id, option_id)),
 hits AS (
-  SELECT set_id, product_id, count(DISTINCT normalized_name) AS n_matched,
-         count(DISTINCT nullif(option_id, '')) AS n_options, list(DISTINCT normalized_name) AS matched,
-         coalesce(list_sort(list_distinct(list(nullif(option_id, '')))), []) AS options
-  FROM {{record_items}} JOIN usable USING (product_id, option_id)
-  JOIN set_names ON name = normalized_name GROUP BY 1, 2),
+  SELECT request_id, product_id, count(DISTINCT name) AS n_matched, count(DISTINCT nullif(option_id, '')) AS n_options
+  FROM held JOIN asked ON name = normalized_name GROUP BY 1, 2),
 ranked AS (
-  SELECT q.request_id, p.product_id, n_matched, n_options, matched, options,
+  SELECT q.request_id, p.product_id, n_matched, n_options,
          CASE WHEN q.category = p.category THEN 'same_category'
               WHEN split_part(q.category_path, ' > ', 2) = split_part(p.category_path, ' > ', 2)
               THEN 'same_parent_path' ELSE 'other_category' END AS category_match_level,
@@ -92,18 +88,32 @@ ranked AS (
                 WHEN split_part(q.category_path, ' > ', 2) = split_part(p.category_path, ' > ', 2)
                 THEN 1 ELSE 2 END,
            n_matched DESC, n_options DESC, p.updated_at DESC, p.source, p.external_id) AS rank
-  FROM {{related_requests}} q JOIN set_keys USING (request_id) JOIN hits h USING (set_id)
+  FROM {{related_requests}} q JOIN hits h USING (request_id)
   JOIN {{products}} p ON p.product_id = h.product_id WHERE p.product_id <> q.product_id
-  QUALIFY rank <= 5)
+  QUALIFY rank <= 5),
+spelled AS (
+  SELECT request_id, rank, option_id, normalized_name, seed_pos,
+         first(ingredient_name ORDER BY position, ingredient_name) AS spelling
+  FROM ranked JOIN held USING (product_id) JOIN asked USING (request_id) WHERE name = normalized_name GROUP BY ALL),
+per_option AS (
+  SELECT request_id, rank, option_id, string_agg(spelling, '|' ORDER BY seed_pos, normalized_name) AS names
+  FROM spelled WHERE option_id <> '' GROUP BY ALL),
+options AS (
+  SELECT request_id, rank, string_agg(option_id || '/' || option_name || '=' || names, ';' ORDER BY option_id) AS matched_options
+  FROM per_option JOIN ranked USING (request_id, rank) JOIN {{records}} USING (product_id, option_id) GROUP BY ALL),
+firsts AS (
+  SELECT request_id, rank, normalized_name, seed_pos, first(spelling ORDER BY option_id) AS spelling FROM spelled GROUP BY ALL),
+whole AS (
+  SELECT request_id, rank, string_agg(spelling, ',' ORDER BY seed_pos, normalized_name) AS matched_ingredients FROM firsts GROUP BY ALL)
 SELECT request_id, rank, product_id, category_match_level, n_matched, n_options,
-       array_to_string(options, ',') AS matched_options,
-       (SELECT string_agg(name, ',' ORDER BY seed_at) FROM sets s
-        WHERE s.request_id = ranked.request_id AND list_contains(matched, name)) AS matched_ingredients
-FROM ranked""")
+       coalesce(matched_options, '') AS matched_options, matched_ingredients
+FROM ranked JOIN whole USING (request_id, rank) LEFT JOIN options USING (request_id, rank)""")
 def _(t):
     out = store.related_products(
-        t.related_requests, t.seeds, t.products, t.states, t.records, t.record_items, AS_OF)
-    return out.withColumns({c: F.array_join(c, ",") for c in ("matched_options", "matched_ingredients")})
+        t.related_requests, t.seeds, t.products, t.states, t.records, t.related_items, AS_OF)
+    option = lambda o: F.concat(o["option_id"], F.lit("/"), o["option_name"], F.lit("="), F.array_join(o["matched_ingredients"], "|"))
+    return out.withColumns({"matched_options": F.array_join(F.transform("matched_options", option), ";"),
+                            "matched_ingredients": F.array_join("matched_ingredients", ",")})
 
 
 @query("category_match_level", """

@@ -261,11 +261,19 @@ SELECT DISTINCT query_key, o_orderkey AS product_id, CAST(o_orderkey AS INT) AS
 FROM {queries} JOIN {orders} ON o_custkey = query_id WHERE length(query_key) % 2 = 0 AND query_id % 4 <> 2
 """)
 
-# Three seed ingredients per request, out of fifty different sets.
+# A request per product, with the product's own ingredients as seeds: one name per part, and a base ingredient that a
+# third of all products hold.
 view("related_requests", "SELECT product_id AS request_id, product_id, category, category_path FROM {products}")
-_SEED = "SELECT o_orderkey AS request_id, p_partkey AS seed_pos, replace(p_name, ' ', '') AS name " \
-        "FROM {orders} JOIN {part} ON p_partkey = o_custkey % 50 + "
-view("seeds", " UNION ALL ".join(_SEED + str(i) for i in range(3)))
+view("related_items", """
+SELECT product_id, option_id, position, ingredient_name || ' ' || CAST(position % 100000000000 AS STRING) AS ingredient_name,
+       normalized_name || CAST(position % 100000000000 AS STRING) AS normalized_name
+FROM {record_items}
+UNION ALL SELECT product_id, option_id, 0, CASE WHEN product_id % 2 = 0 THEN 'Base Water' ELSE 'base  water' END, 'basewater'
+FROM {records} WHERE product_id % 3 = 0
+""")
+view("seeds", """
+SELECT product_id AS request_id, min(position) AS seed_pos, normalized_name AS name FROM {related_items} GROUP BY 1, 3
+""")
 
 # Queue: the events of a user are the history of one product; its last event is the queue row.
 view("queue", """
