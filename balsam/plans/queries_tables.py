@@ -159,7 +159,7 @@ def _scripts(t):
     owner = F.when(F.col("product_id") % 5 == 0, "").otherwise(
         F.concat(F.lit('"goodsNumber":"'), F.col("product_id").cast("string"), F.lit('",')))
     body = F.concat(F.lit('{"product":{'), owner, F.lit('"combinationOptionFlag":true,"optionList":'), "o", F.lit("}}"))
-    hidden = F.concat(F.lit('self.push([1,"5:'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"])'))
+    hidden = F.concat(F.lit(readers.PUSH_MARKER + '[1,"5:'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"])'))
     other = F.lit('var x = {"product":{"goodsNumber":"other","optionList":[{"optionNumber":"Z","optionName":"z"}]}};')
     return lists.select("product_id", F.posexplode(F.array(
         other, F.when(F.col("product_id") % 3 == 0, hidden).otherwise(F.concat(F.lit("window.data = "), body, F.lit(";"))))).alias(

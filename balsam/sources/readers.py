@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -231,6 +232,12 @@ _OPTION = T.StructType([
 ])
 
 
+# Fixed value: how a page pushes a chunk of its data.
+PUSH_MARKER = "self.__next_f.push("
+#: A string, to its end or that of the text, or a brace.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}]', re.DOTALL)
+
+
 def _option_scanner(required: Sequence[str], owners: Sequence[str], flag: str):
     """Arrow function: objects inside a script text that hold the required keys, with the nearest
     owner above them, in order of appearance.  Objects that hold only the combination flag are
@@ -274,27 +281,35 @@ def _option_scanner(required: Sequence[str], owners: Sequence[str], flag: str):
             objects(v, out)
 
     def objects(s: str, out):
-        decoder, at = json.JSONDecoder(), s.find("{")
-        while at >= 0:
-            try:
-                value, at = decoder.raw_decode(s, at)
-                walk(value, None, out)
-            except ValueError:
-                at += 1
-            at = s.find("{", at)
+        """Walk each whole outermost object of a text; one that is not JSON is skipped with all inside it.
+
+        One pass over strings and braces, so braces in strings count for nothing."""
+        depth = start = 0
+        for token in _TOKEN.finditer(s):
+            if token[0] == "{":
+                start = start if depth else token.start()
+                depth += 1
+            elif token[0] == "}" and depth:
+                depth -= 1
+                if not depth:
+                    try:
+                        value = json.loads(s[start : token.end()])
+                    except (ValueError, RecursionError):
+                        continue
+                    walk(value, None, out)
 
     def scan(s: str | None) -> list[tuple]:
         out: list[tuple] = []
-        objects(s or "", out)
-        at = -1 if out or required[0] not in (s or "") else s.find('"')
-        while at >= 0:
-            # Script chunks may carry the data as an escaped string.
+        s = (s or "").strip()
+        # The script may be JSON as it stands, or a pushed chunk that carries the data in a string.
+        inner = [s[len(PUSH_MARKER) : -1]] if s.startswith(PUSH_MARKER) and s.endswith(")") else []
+        for text_of in [s, *inner]:
             try:
-                value, end = json.JSONDecoder().raw_decode(s, at)
-                walk(value, None, out)
-            except ValueError:
-                end = at + 1
-            at = s.find('"', end)
+                walk(json.loads(text_of), None, out)
+            except (ValueError, RecursionError):
+                pass
+        if required[0] in s:
+            objects(s, out)
         return out
 
     @F.pandas_udf(T.ArrayType(_OPTION))

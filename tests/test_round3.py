@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from balsam.operators import store
+from balsam.sources import readers
 
 
 def related_fixture(seed: int, n: int = 60):
@@ -69,3 +73,40 @@ def test_related_products_match_brute_force_with_hot_names(spark):
             (x.request_id, x["rank"], x.product_id, tuple((o.option_id, o.option_name, tuple(o.matched_ingredients)) for o in x.matched_options),
              tuple(x.matched_ingredients)) for x in got)
         assert all(x.n_matched == len(x.matched_ingredients) and x.n_options == len(x.matched_options) for x in got)
+
+
+def embedded(spark, *scripts):
+    rows = spark.createDataFrame([(1, n, s) for n, s in enumerate(scripts)], "product_id long, script_no int, script string")
+    return [(r.option_number, r.option_name) for r in readers.extract_embedded_json(rows).orderBy("seq").collect()]
+
+
+def test_embedded_options_are_read_from_whole_objects_only(spark):
+    option = '{"optionNumber":"1","optionName":"A"}'
+    assert embedded(spark, "var x = {a: " + option + "};") == []  # the outermost object is not JSON
+    assert embedded(spark, "f(" + option + ', {"optionNumber":"2","optionName":"B } {"}); // }') == [("1", "A"), ("2", "B } {")]
+    assert embedded(spark, 'var s = "{"; var x = {"list":[' + option + "]};") == [("1", "A")]
+    assert embedded(spark, 'x = {"open": "no end ' + option) == []
+    assert embedded(spark, 'x = "trailing \\') == [] and embedded(spark, None, "") == []
+    pushed = readers.PUSH_MARKER + json.dumps([1, "5:" + '{"optionList":[' + option + "]}"]) + ")"
+    assert embedded(spark, pushed) == [("1", "A")]
+    assert embedded(spark, pushed.replace(readers.PUSH_MARKER, "other.push(")) == []
+    assert embedded(spark, json.dumps({"goodsNumber": "1", "o": json.loads(option)})) == [("1", "A")]
+
+
+def test_embedded_options_are_found_in_linear_time():
+    scan = readers._option_scanner(readers.OPTION_KEYS, readers.OWNER_KEYS, readers.COMBINATION_KEY).func
+
+    def seconds(n: int) -> float:
+        script = pd.Series(["optionNumber {a: " + '{"x": "y"} ' * n + '"' + "\\\\" * n])
+        start = time.perf_counter()
+        assert scan(script)[0] == []
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert seconds(400_000) < 40 * max(seconds(20_000), 0.002)
+
+
+def test_text_search_folds_ascii_letters_only(spark):
+    rows = spark.createDataFrame([("ÄBC", "äbc"), ("Éclat", "éclat"), ("AbC", "abc")], "a string, b string")
+    got = rows.select((store._ascii_lower("a") == store._ascii_lower("b")).alias("same")).collect()
+    assert [r.same for r in got] == [False, False, True]
