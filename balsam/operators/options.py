@@ -174,14 +174,25 @@ def merge_option_metadata(
 ) -> DataFrame:
     """Shown options with embedded metadata, for products whose sources agree.
 
-    Without embedded rows (partial) only the shown values remain."""
+    Without embedded rows (partial) only the shown values remain.  The option's source id is its
+    number there; image, group path (none: empty) and the product's combination flag come along."""
+    empty = F.array().cast("array<string>")
+
+    def optional(name: str, kind: str) -> Column:
+        return (F.col(name) if name in embedded.columns else F.lit(None)).cast(kind).alias(name)
+
     usable = outcome.filter("status <> 'mismatch'").select(by)
     a = shown.join(usable, by, "left_semi").withColumn("__name", keys.option_label_key("raw_option_name"))
     b = embedded.select(
         by, keys.option_label_key("option_name").alias("__name"), "option_number", "standard_code",
-        "sold_out_flag", F.col("sort_order").alias("__order"), "representative")
-    return a.join(b, [by, "__name"], "left").select(
-        by, "raw_option_name", F.col("__name").alias("normalized_option_name"), "option_number", "standard_code",
+        "sold_out_flag", F.col("sort_order").alias("__order"), "representative",
+        optional("image_url", "string"), optional("group_path", "array<string>"))
+    # The flag is the product's: options that no embedded row names have it as well.
+    flags = embedded.groupBy(by).agg(F.bool_or(optional("combination_option_flag", "boolean")).alias("combination_option_flag"))
+    return a.join(b, [by, "__name"], "left").join(flags, by, "left").select(
+        by, F.col("option_number").alias("source_option_id"), "raw_option_name", F.col("__name").alias("normalized_option_name"),
+        "option_number", "standard_code", "image_url", F.coalesce("group_path", empty).alias("group_path"),
+        "combination_option_flag", F.col("disabled").alias("dom_disabled"),
         F.when(F.col("option_number").isNotNull() | F.col("sold_out_flag").isNotNull(), F.col("sold_out_flag"))
         .otherwise(F.col("sold_out")).alias("sold_out_flag"),
         F.when(F.col("sold_out"), "temporarily_sold_out").when(F.col("disabled").eqNullSafe(False), "available")

@@ -108,7 +108,9 @@ _A = "SELECT product_id, n AS sort_order, CASE WHEN kind = 2 AND n = 1 THEN 'opt
 _B = "SELECT product_id, CASE WHEN kind = 8 THEN 9 - n ELSE n END AS seq, CASE WHEN kind = 2 AND n = 1 THEN 'Opt.0' WHEN kind = 5 AND n = 0 THEN 'only there' ELSE upper(name) END AS option_name, " \
      "CASE WHEN kind = 6 AND n < 2 THEN 'same' ELSE 'N' || CAST(n AS STRING) END AS option_number, 'C' AS standard_code, " \
      "CASE WHEN kind = 7 AND n = 0 THEN NOT sold WHEN n = 5 THEN CAST(NULL AS BOOLEAN) ELSE sold END AS sold_out_flag, " \
-     "CASE WHEN n = 4 THEN CAST(NULL AS INT) ELSE n + 100 END AS sort_order, n = 0 AS representative FROM {source_rows} WHERE kind <> 0 AND NOT (kind = 1 AND n = 9)"
+     "CASE WHEN n = 4 THEN CAST(NULL AS INT) ELSE n + 100 END AS sort_order, n = 0 AS representative, " \
+     "CASE WHEN n <> 3 THEN concat('https://img.test/', n) END AS image_url, CASE WHEN n = 2 THEN NULL ELSE array('all', upper(name)) END AS group_path, " \
+     "kind = 4 AS combination_option_flag FROM {source_rows} WHERE kind <> 0 AND NOT (kind = 1 AND n = 9)"
 
 
 @query("reconcile_sources", """
@@ -127,11 +129,16 @@ SELECT product_id, name AS raw_option_name, lower(replace(name, ' ', '')) AS nor
   CASE WHEN kind <> 0 THEN 'N' || CAST(n AS STRING) END AS option_number, CASE WHEN kind <> 0 THEN 'C' END AS standard_code,
   CASE WHEN kind = 0 THEN sold WHEN n = 5 THEN NULL ELSE sold END AS sold_out_flag,
   CASE WHEN sold THEN 'temporarily_sold_out' ELSE 'available' END AS availability,
-  CASE WHEN kind <> 0 AND n <> 4 THEN n + 100 ELSE n END AS sort_order, CASE WHEN kind <> 0 THEN n = 0 END AS representative
+  CASE WHEN kind <> 0 AND n <> 4 THEN n + 100 ELSE n END AS sort_order, CASE WHEN kind <> 0 THEN n = 0 END AS representative,
+  CASE WHEN kind <> 0 THEN 'N' || CAST(n AS STRING) END AS source_option_id,
+  CASE WHEN kind <> 0 AND n <> 3 THEN 'https://img.test/' || CAST(n AS STRING) END AS image_url,
+  CASE WHEN kind <> 0 AND n <> 2 THEN 'all>' || upper(name) ELSE '' END AS group_path,
+  CASE WHEN kind <> 0 THEN kind = 4 END AS combination_option_flag, CASE WHEN NOT sold THEN false END AS dom_disabled
 FROM {source_rows} WHERE kind IN (0, 4, 8)""")
 def _(t):
     a, b = t.sql(_A), t.sql(_B)
-    return options.merge_option_metadata(a, b, options.reconcile_sources(a, b))
+    merged = options.merge_option_metadata(a, b, options.reconcile_sources(a, b))
+    return merged.withColumn("group_path", F.array_join("group_path", ">"))
 
 
 # --- parser reports ---------------------------------------------------------------------------------------
