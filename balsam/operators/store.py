@@ -354,6 +354,11 @@ def contains_join(
     return found.select(text, F.col("__needle").alias(needle))
 
 
+def _ascii_lower(c: Column | str) -> Column:
+    """A-Z in lower case and all else as it is, as a substring search compares."""
+    return F.translate(F.col(c) if isinstance(c, str) else c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _newest_hits(
     queries: DataFrame, products: DataFrame, brand_needle: Column, limit: int
 ) -> DataFrame:
@@ -363,10 +368,10 @@ def _newest_hits(
     Queries with the same needles share one result, so it is found and cut once."""
     asked = queries.select(
         "query_id", keys.product_name_key("query").alias("name_needle"),
-        F.lower(brand_needle).alias("brand_needle"),
+        _ascii_lower(brand_needle).alias("brand_needle"),
     ).filter("name_needle <> ''")
     wanted = asked.select("name_needle", "brand_needle").distinct()
-    rows = products.select("product_id", "name_key", F.lower("brand_name").alias("brand"), "updated_at")
+    rows = products.select("product_id", "name_key", _ascii_lower("brand_name").alias("brand"), "updated_at")
     order = [F.desc("updated_at"), "product_id"]
 
     def found(text: str, needle: str) -> DataFrame:
