@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Blocks, number_rows
+
 
 def _cols(names) -> list:
     return [names] if isinstance(names, (str, Column)) else list(names)
@@ -35,12 +37,9 @@ def duplicates(df: DataFrame, keys) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, group, order, columns: Sequence[str]) -> DataFrame:
-    """Nulls take the last non-null value above them inside the group."""
-    w = (
-        Window.partitionBy(*_cols(group)).orderBy(*_cols(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """Nulls take the last non-null value above them inside the group, however many rows it has."""
+    scanned = Blocks(df, _cols(group), _cols(order)).running(**{c: ("last", F.col(c)) for c in columns})
+    return scanned.result().select(*df.columns)
 
 
 def next_boundary(df: DataFrame, group, start: str, default: Column, out: str) -> DataFrame:
@@ -60,16 +59,11 @@ def running_groups(df: DataFrame, group, order, opens: Column, out: str) -> Data
 
 def restart_groups(df: DataFrame, group, order, number: str, label: str, out: str) -> DataFrame:
     """A number not above the running maximum, under a new label, starts the next group."""
-    keys, sort = _cols(group), _cols(order)
-    before = (
-        Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    step = Window.partitionBy(*keys).orderBy(*sort)
-    restarts = (F.col(number) <= F.max(number).over(before)) & ~F.col(label).eqNullSafe(
-        F.lag(label).over(step)
-    )
-    flagged = df.withColumn("__restart", F.coalesce(restarts, F.lit(False)))
-    return running_groups(flagged, keys, sort, F.col("__restart"), out).drop("__restart")
+    blocks = Blocks(df, _cols(group), _cols(order)).running(
+        __top=("max_before", F.col(number)), __label=("prev", F.col(label)))
+    restarts = (F.col(number) <= F.col("__top")) & ~F.col(label).eqNullSafe(F.col("__label"))
+    flag = F.when(F.coalesce(restarts, F.lit(False)), 1).otherwise(0)
+    return blocks.running(**{out: ("sum", flag)}).result().select(*df.columns, out)
 
 
 def contiguous(df: DataFrame, group, order, number: str) -> DataFrame:
@@ -87,37 +81,18 @@ def contiguous(df: DataFrame, group, order, number: str) -> DataFrame:
 
 def monotonic(df: DataFrame, group, order, number: str) -> DataFrame:
     """Per group: is the number never below its predecessor?"""
-    w = Window.partitionBy(*_cols(group)).orderBy(*_cols(order))
-    return (
-        df.withColumn("__prev", F.lag(number).over(w))
-        .groupBy(*_cols(group))
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.bool_and(F.coalesce(F.col(number) >= F.col("__prev"), F.lit(True))).alias(
-                "is_monotonic"
-            ),
-        )
-    )
+    keys = _cols(group)
+    rows = Blocks(df, keys, _cols(order)).running(__prev=("prev", F.col(number))).result()
+    rises = F.coalesce(F.col(number) >= F.col("__prev"), F.lit(True))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.bool_and(rises).alias("is_monotonic"))
 
 
-def global_number(df: DataFrame, order: str, out: str, bucket_rows: int = 1_000_000) -> DataFrame:
-    """1-based position of every row by a unique integer column, without a one-task sort.
+def global_number(df: DataFrame, order: str, out: str, bucket_rows: int | None = None) -> DataFrame:
+    """1-based position of every row by a unique column, without a one-task sort.
 
-    Rows are counted per bucket of the order column; only the bucket counts (one row per
-    `bucket_rows` values) are summed up in one task, and each bucket is numbered on its own."""
-    bucket = F.floor(F.col(order) / bucket_rows)
-    rows = df.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-    )
-    inside = Window.partitionBy("__bucket").orderBy(order)
-    return (
-        rows.join(offsets, "__bucket")
-        .withColumn(out, F.col("__offset") + F.row_number().over(inside))
-        .drop("__bucket", "__offset")
-    )
+    Ranges come from a sample of the values, so sparse values make no more blocks than dense ones;
+    `bucket_rows`, once the width of a range of values, is not used any more."""
+    return number_rows(df, order, out)
 
 
 # --- array set semantics -------------------------------------------------------------------

@@ -10,7 +10,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import functions as F
 
-from balsam.operators import store
+from balsam.operators import scans, store, windows
 from balsam.sources import readers
 
 
@@ -110,3 +110,41 @@ def test_text_search_folds_ascii_letters_only(spark):
     rows = spark.createDataFrame([("ÄBC", "äbc"), ("Éclat", "éclat"), ("AbC", "abc")], "a string, b string")
     got = rows.select((store._ascii_lower("a") == store._ascii_lower("b")).alias("same")).collect()
     assert [r.same for r in got] == [False, False, True]
+
+
+def scan_rows(n: int = 4000):
+    """One group with nearly all rows, sparse 64-bit order values, nulls and repeated numbers."""
+    rng = random.Random(7)
+    at = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)})
+    return [("all" if rng.random() < 0.97 else None if rng.random() < 0.5 else "few", t, rng.choice([None, f"v{i}"]) if i > 30 else None,
+             rng.randrange(20) if rng.random() < 0.9 else None, rng.choice(["a", "b", None])) for i, t in enumerate(at)]
+
+
+def test_scans_of_one_group_spread_over_blocks(spark):
+    rows = scan_rows()
+    df = spark.createDataFrame(rows, "g string, t long, v string, n int, label string").repartition(5)
+    fill, group, steps = {}, {}, Counter()
+    last, top, label, count, prev, rises = {}, {}, {}, Counter(), {}, {}
+    for g, t, v, n, name in rows:
+        last[g] = v if v is not None else last.get(g)
+        fill[t] = last[g]
+        if n is not None and top.get(g) is not None and n <= top[g] and (g not in label or label[g] != name):
+            count[g] += 1
+        group[t] = count[g]
+        rises[g] = rises.get(g, True) and not (g in prev and prev[g] is not None and n is not None and n < prev[g])
+        prev[g], label[g] = n, name
+        top[g] = n if top.get(g) is None else top[g] if n is None else max(top[g], n)
+        steps[g] += 1
+    assert {r.t: r.v for r in windows.forward_fill(df, "g", "t", ["v"]).collect()} == fill
+    assert {r.t: r.o for r in windows.restart_groups(df, "g", "t", "n", "label", "o").collect()} == group
+    assert {r.g: (r.n_rows, r.is_monotonic) for r in windows.monotonic(df, "g", "t", "n").collect()} == {g: (steps[g], rises[g]) for g in steps}
+    sizes = [r["count"] for r in scans.Blocks(df, ["g"], ["t"], parts=16).rows.where("g = 'all'").groupBy(scans.BLOCK).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 0.3 * len(rows)
+
+
+def test_numbers_of_sparse_keys_need_no_more_blocks(spark):
+    rows = [(t,) for _, t, *_ in scan_rows()]
+    df = spark.createDataFrame(rows, "t long").repartition(6)
+    got = windows.global_number(df, "t", "n")
+    assert {r.t: r.n for r in got.collect()} == {t: i for i, (t,) in enumerate(sorted(rows), 1)}
+    assert windows.global_number(df.where("1 = 0"), "t", "n").collect() == []
