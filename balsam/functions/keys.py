@@ -114,25 +114,25 @@ _INDEXED = T.StructType([
 ])
 
 
-def _indexed(drop_shade_unit: bool):
-    """Arrow function: label key of a long text plus, per key character, its offset in the text."""
+def index_label(value: str | None, drop_shade_unit: bool) -> tuple[str, list[int]]:
+    """Label key of a long text plus, per key character, its offset in the text."""
     drop = set(LABEL_PUNCTUATION)
+    chars, offsets = [], []
+    for i, ch in enumerate(value or ""):
+        if ch.isspace() or ch in drop:
+            continue
+        for f in unicodedata.normalize("NFKC", ch).casefold():
+            unit = drop_shade_unit and f == "호" and chars and chars[-1].isdigit()
+            if not (unit or f.isspace() or f in drop):
+                chars.append(f)
+                offsets.append(i)
+    return "".join(chars), offsets
 
-    def index(value: str | None) -> tuple[str, list[int]]:
-        chars, offsets = [], []
-        for i, ch in enumerate(value or ""):
-            if ch.isspace() or ch in drop:
-                continue
-            for f in unicodedata.normalize("NFKC", ch).casefold():
-                unit = drop_shade_unit and f == "호" and chars and chars[-1].isdigit()
-                if not (unit or f.isspace() or f in drop):
-                    chars.append(f)
-                    offsets.append(i)
-        return "".join(chars), offsets
 
+def _indexed(drop_shade_unit: bool):
     @F.pandas_udf(_INDEXED)
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index(v) for v in s], columns=["text", "offsets"])
+        return pd.DataFrame([index_label(v, drop_shade_unit) for v in s], columns=["text", "offsets"])
 
     return run
 

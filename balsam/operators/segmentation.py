@@ -7,8 +7,10 @@ data, and they move spans and section bodies, never the whole text."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -381,19 +383,47 @@ def option_needles(canonical: DataFrame) -> DataFrame:
         "doc_id", "option_pos", "n.*")
 
 
-def _positions(text: Column, needle: Column) -> Column:
-    """0-based starts of every occurrence, also overlapping ones.
-
-    Splitting in front of each occurrence gives pieces whose running length is the position."""
-    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")))
-    walked = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.when(F.startswith(p, needle), F.concat(acc["starts"], F.array(acc["at"])))
-            .otherwise(acc["starts"]).alias("starts")),
-        lambda acc: acc["starts"])
-    return F.when(F.contains(text, needle), walked)
+def occurrences(text: str | None, needles: Sequence[dict]) -> list[tuple]:
+    """(option_pos, level, occurrence, start, end, prefix, closing) of each option's best key that occurs.
+
+    One automaton holds all keys of the document, so its text is read once for each of its two forms,
+    however many keys there are.  A prefix (the line up to the span) with a comma in it is given as a
+    comma and its last character: no more of it is asked for."""
+    hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for mapped in (True, False):
+        automaton, owners = ahocorasick.Automaton(), {}
+        for n in needles:
+            if n["in_mapping_text"] == mapped and n["needle"]:
+                owners.setdefault(n["needle"], []).append((n["option_pos"], n["level"]))
+        if not owners or not text:
+            continue
+        for needle in owners:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        key, offsets = keys.index_label(text, mapped)
+        for last, needle in automaton.iter(key):
+            span = offsets[last - len(needle) + 1], offsets[last] + 1
+            for owner in owners[needle]:
+                hits.setdefault(owner, []).append(span)
+    best: dict[int, int] = {}
+    for option, level in hits:
+        best[option] = min(level, best.get(option, level))
+    breaks, commas = ([m.start() for m in re.finditer(c, text or "")] for c in ("\n", ","))
+    out = []
+    for (option, level), spans in hits.items():
+        for n, (start, end) in enumerate(spans if best[option] == level else ()):
+            line = bisect_left(breaks, start)
+            line = breaks[line - 1] + 1 if line else 0
+            comma = bisect_left(commas, start)
+            prefix = "," + text[start - 1] if comma and commas[comma - 1] >= line else text[line:start]
+            closing = end
+            while closing < len(text) and text[closing] in "])}":
+                closing += 1
+            out.append((option, level, n, start, end, prefix, closing - end))
+    return out
+
+
+_OCCURRENCES = ("array<struct<option_pos:{kind},level:int,occurrence:int,start:int,end:int,prefix:string,closing:int>>")
 
 
 def locate_option_headers(docs: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -403,36 +433,17 @@ def locate_option_headers(docs: DataFrame, canonical: DataFrame) -> DataFrame:
     confidence, method, span_status: 'shared' when another option has exactly this span,
     'ambiguous' when it overlaps a different span, else 'single'.
 
-    Overlaps are found by one ordered pass over the distinct spans of a document (the running
-    maximum end before, the next start after), not by pairing spans."""
-    indexed = docs.withColumns({
-        "raw": keys.label_with_offsets("text"), "mapped": keys.mapping_label_with_offsets("text"),
-    })
-    text = F.col("text")
+    A document meets the list of its keys and is searched for all of them in one pass; only small
+    span rows leave it.  Overlaps are found by one ordered pass over the distinct spans of a document
+    (the running maximum end before, the next start after), not by pairing spans."""
     needles = option_needles(canonical).groupBy("doc_id").agg(F.collect_list(F.struct(
         "option_pos", "level", "needle", "in_mapping_text")).alias("needles"))
 
-    # One row per document meets the list of its needles; only small span rows leave that row.
-    def occurrences(n: Column) -> Column:
-        index = F.when(n["in_mapping_text"], F.col("mapped")).otherwise(F.col("raw"))
-        size = F.length(n["needle"])
-
-        def span(p: Column, k: Column) -> Column:
-            start, end = F.get(index["offsets"], p), F.get(index["offsets"], p + size - 1) + 1
-            return F.struct(
-                n["option_pos"].alias("option_pos"), n["level"].alias("level"), k.alias("occurrence"),
-                start.alias("start"), end.alias("end"),
-                F.substring_index(F.substr(text, F.lit(1), start), "\n", -1).alias("prefix"),
-                F.length(F.regexp_extract(F.substr(text, end + 1, F.length(text)), r"^[\])}]*", 0))
-                .alias("closing"))
-
-        return F.transform(_positions(index["text"], n["needle"]), span)
-
-    found = F.flatten(F.filter(F.transform("needles", occurrences), lambda x: x.isNotNull()))
-    rows = indexed.join(needles, "doc_id").select("doc_id", F.explode(found).alias("o")).select(
-        "doc_id", "o.*")
-    best = F.min("level").over(Window.partitionBy("doc_id", "option_pos"))
-    rows = rows.withColumn("__best", best).filter("level = __best").drop("__best")
+    @F.pandas_udf(_OCCURRENCES.format(kind=canonical.schema["option_pos"].dataType.simpleString()))
+    def found(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([occurrences(t, n) for t, n in zip(texts, wanted, strict=True)])
+
+    rows = docs.join(needles, "doc_id").select("doc_id", F.explode(found("text", "needles")).alias("o")).select("doc_id", "o.*")
     line_start = ~is_blank("prefix") & ~F.col("prefix").contains(",") & (
         F.length(keys.option_label_key("prefix")) <= 100)
     rows = rows.withColumns({

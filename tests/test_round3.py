@@ -10,7 +10,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import functions as F
 
-from balsam.operators import scans, store, windows
+from balsam.operators import scans, segmentation, store, windows
 from balsam.sources import readers
 
 
@@ -148,3 +148,30 @@ def test_numbers_of_sparse_keys_need_no_more_blocks(spark):
     got = windows.global_number(df, "t", "n")
     assert {r.t: r.n for r in got.collect()} == {t: i for i, (t,) in enumerate(sorted(rows), 1)}
     assert windows.global_number(df.where("1 = 0"), "t", "n").collect() == []
+
+
+def needle(option, level, text, mapped):
+    return {"option_pos": option, "level": level, "needle": text, "in_mapping_text": mapped}
+
+
+def test_all_keys_of_a_document_are_found_in_one_pass():
+    text = "A1 one, [A1]) x\nAA1 호 a1\nplain B2"
+    got = segmentation.occurrences(text, [needle(0, 0, "a1", True), needle(0, 1, "a1one", False), needle(1, 0, "zz9", True),
+                                          needle(1, 1, "plainb2", False), needle(2, 3, "a1", True), needle(3, 0, "", True)])
+    spans = {(o, level): [(s, e, p, c) for x, y, _, s, e, p, c in got if (x, y) == (o, level)] for o, level, *_ in got}
+    assert spans[1, 1] == [(25, 33, "", 0)] and set(spans) == {(0, 0), (1, 1), (2, 3)}
+    assert spans[0, 0] == spans[2, 3] == [(0, 2, "", 0), (9, 11, ",[", 2), (17, 19, "A", 0), (22, 24, "AA1 호 ", 0)]
+    assert segmentation.occurrences(None, [needle(0, 0, "a1", True)]) == [] and segmentation.occurrences("x", []) == []
+
+
+def test_documents_with_many_headers_take_linear_time():
+    def seconds(n: int) -> float:
+        text = "\n".join(f"H{i:06d}x Water, Glycerin" for i in range(n))
+        wanted = [needle(i, 0, f"h{i:06d}x", True) for i in range(n)] + [needle(i, 1, f"h{i:06d}x", False) for i in range(n)]
+        start = time.perf_counter()
+        assert len(segmentation.occurrences(text, wanted)) == n
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    small = min(seconds(10_000) for _ in range(2))
+    assert seconds(40_000) < 6 * small
