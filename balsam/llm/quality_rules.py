@@ -1,63 +1,34 @@
 """Quality rules: counts of words, symbols and repeats, and perplexity bands per language.
 
-The language model is a modified Kneser-Ney model over the last five characters.  Tasks count n-grams
-of whole texts, Spark sums them and derives continuation counts, discounts, probabilities and backoff
-weights with joins and groupings, down to one score per n-gram that the corpus holds.  The model stays
-in Spark tables and grows with the corpus.  Texts are dealt to blocks of bounded size; a block's distinct
-n-grams are joined with their scores, and the task that scores the block receives those and no others.
-A document counts for the language whose character pairs fit it best, so a wrong label neither spoils a
-model nor condemns a clean text.  The band of a language is taken on each side from the spread of its
-documents' log perplexities on that side."""
+Perplexities come from a modified Kneser-Ney model over the last five characters, whole code points, that Spark counts,
+derives and stores as sorted hash arrays (`char_model.py`).  Texts are dealt to blocks of bounded size and travel compressed;
+the task that scores a block receives the scores of its n-grams and no others.  A document counts for the language whose
+character pairs fit it best, so a wrong label neither spoils a model nor condemns a clean text.  The band of a language is
+taken on each side from the spread of its documents' log perplexities on that side."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from balsam.llm.char_model import SHARD_CHARS, Block, Dealer, count_grams, derive_model, learn_languages, score_blocks
 from balsam.llm.common import chunks, discard, mix64, settle, word_hashes, word_spans
 
-ORDER, BITS = 5, 12
-#: N-grams of two characters and more that stand once are not stored: a text does not vouch for itself.
-LEAST_COUNT = 2
 #: A document is out of its language's band beyond so many standard deviations of its side from the median; a side's
 #: standard deviation is read off its outer tenth.
 BAND_DEVIATIONS, TENTH = 5.0, 1.2816
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Bytes of text of one language that are scored together, give or take one text.
-BLOCK_BYTES = 8 << 20
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_MASKS = [np.int64((1 << (BITS * k)) - 1) for k in range(ORDER + 1)]
 
 RULE_SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
                "base_failed boolean, log_perplexity double")
 
 
-def packed_grams(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of ORDER characters that ends at each character, 12 bits each, and the texts' offsets among them."""
-    points = np.frombuffer(x.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    leads = np.append(0, np.cumsum((x & 0xC0) != 0x80))
-    bounds = leads[at]
-    # Before each text stand marks that are no characters.
-    lead = ORDER - 1
-    size = len(points) + lead * (len(at) - 1)
-    padded = np.full(size, 2, np.int64)
-    texts = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
-    place = np.arange(len(points)) + lead * (texts + 1)
-    padded[place] = points & 0xFFF
-    grams = padded.copy()
-    for i in range(1, ORDER):
-        grams[i:] |= padded[:-i] << np.int64(BITS * i)
-    return grams[place], bounds
-
-
 def rule_counts(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of texts laid end to end."""
     n = len(at) - 1
@@ -103,281 +74,66 @@ def rule_counts(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [np.diff(first), chars, per_text(_SYMBOLS[x]), n_dup, n_repeat]
 
 
-def _pairs(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Character pairs of texts laid end to end as numbers, first * n + second, over the n distinct characters; these;
-    and the texts' offsets among the pairs."""
-    points = np.frombuffer(x.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) & 0xFFF
-    bounds = np.append(0, np.cumsum((x & 0xC0) != 0x80))[at]
-    before = np.append(2, points[:-1]).astype(np.int64) if len(points) else points.astype(np.int64)
-    before[bounds[:-1][bounds[:-1] < len(points)]] = 2
-    chars = np.flatnonzero(np.bincount(points, minlength=1 << BITS) + (np.arange(1 << BITS) == 2))
-    code = np.zeros(1 << BITS, np.int64)
-    code[chars] = np.arange(len(chars))
-    return code[before] * len(chars) + code[points], chars, bounds
-
-
-class Languages:
-    """Interpolated models of character pairs per language; their size is that of the alphabets."""
-
-    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
-        self.names, self.models = [r[0] for r in rows], []
-        for _, pairs, counts in rows:
-            order = np.argsort(pairs)
-            single = np.bincount(pairs & 0xFFF, counts, 1 << BITS)
-            self.models.append((pairs[order], counts[order].astype(np.float64), np.bincount(pairs >> BITS, counts, 1 << BITS),
-                                (single + 0.5) / (single.sum() + 0.5 * (1 << BITS))))
-
-    def fit(self, langs: pa.Array, texts: pa.Array) -> pa.Array:
-        """The language that fits each text best; its own where none fits better."""
-        if len(self.names) < 2:
-            return langs
-        out = langs.to_pylist()
-        for first, end, x, at in chunks(texts):
-            places, chars, bounds = _pairs(x, at)
-            distinct = np.flatnonzero(np.bincount(places, minlength=len(chars) ** 2))
-            one, two = chars[distinct // len(chars)], chars[distinct % len(chars)]
-            sums = np.empty((len(self.names), end - first))
-            table = np.zeros(len(chars) ** 2)
-            for i, (pairs, counts, before, single) in enumerate(self.models):
-                hit, n = _find(pairs, counts, one << BITS | two)
-                table[distinct] = np.log((np.where(hit, n, 0) + 5 * single[two]) / (before[one] + 5))
-                sums[i] = np.diff(np.append(0, np.cumsum(table[places]))[bounds])
-            best = sums.argmax(axis=0)
-            for j in range(end - first):
-                own = self.names.index(out[first + j])
-                if sums[best[j], j] > sums[own, j]:
-                    out[first + j] = self.names[best[j]]
-        return pa.array(out, pa.string())
-
-
-def learn_languages(docs: DataFrame) -> Languages:
-    """Pair models of the labels of rows (lang, text, ...)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        for batch in batches:
-            for lang in batch.column(0).unique().to_pylist():
-                have = held.setdefault(lang, Counter())
-                for _, _, x, at in chunks(batch.column(1).filter(pc.equal(batch.column(0), lang))):
-                    places, chars, _ = _pairs(x, at)
-                    counts = np.bincount(places, minlength=len(chars) ** 2)
-                    distinct = np.flatnonzero(counts)
-                    pairs = chars[distinct // len(chars)] << BITS | chars[distinct % len(chars)]
-                    have.update(dict(zip(pairs.tolist(), counts[distinct].tolist(), strict=True)))
-        for lang, have in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(have), pa.string()), pa.array(have.keys(), pa.int64()),
-                                              pa.array(have.values(), pa.int64())], ["lang", "pair", "n"])
-
-    found = docs.mapInArrow(run, "lang string, pair bigint, n bigint").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
-    present = docs.select("lang").distinct().toArrow().column(0).to_pylist()
-    arrays = _sorted_arrays(found)
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return Languages([(lang, *arrays.get(lang, nothing)) for lang in sorted(present)])
-
-
-class _Dealer:
-    """Deals the rows of a partition to blocks, in their order: a block holds one language and BLOCK_BYTES."""
-
-    def __init__(self, fitted: Languages | None = None):
-        self.partition, self.languages, self.fitted = TaskContext.get().partitionId(), {}, fitted
-
-    def deal(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-        """(language, block, rows) of a batch whose first columns are the language and the text."""
-        langs = self.fitted.fit(batch.column(0), batch.column(1)) if self.fitted else batch.column(0)
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for lang in langs.unique().to_pylist():
-            at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-            number, before = self.languages.setdefault(lang, (len(self.languages), 0))
-            ends = before + np.cumsum(size[at])
-            self.languages[lang] = number, int(ends[-1])
-            part = (ends - size[at]) // BLOCK_BYTES
-            for i in np.unique(part):
-                yield lang, self.partition << 40 | number << 20 | int(i), batch.take(pa.array(at[part == i]))
-
-
-def count_grams(docs: DataFrame, fitted: Broadcast | None = None) -> DataFrame:
-    """(block, lang, gram, n) over all characters of rows (lang, text, ...), added up by block.
-
-    The language is the label, or the one that `fitted` finds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, list]] = {}
-        dealer = _Dealer(fitted and fitted.value)
-        for batch in batches:
-            for lang, block, rows in dealer.deal(batch):
-                if lang in held and held[lang][0] != block:
-                    yield from out(lang, *held.pop(lang))
-                parts = held.setdefault(lang, (block, []))[1]
-                for _, _, x, at in chunks(rows.column(1)):
-                    parts.append(np.unique(packed_grams(x, at)[0], return_counts=True))
-        for lang, (block, parts) in held.items():
-            yield from out(lang, block, parts)
-
-    def out(lang, block, parts):
-        grams, counts = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts else ([], [])
-        grams, which = np.unique(grams, return_inverse=True)
-        counts = np.bincount(which, counts, len(grams)).astype(np.int64)
-        for i in range(0, len(grams), 100_000):
-            g = grams[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, np.int64)), pa.array([lang] * len(g), pa.string()),
-                                              pa.array(g, pa.int64()), pa.array(counts[i : i + 100_000], pa.int64())],
-                                             ["block", "lang", "gram", "n"])
-
-    return docs.mapInArrow(run, "block bigint, lang string, gram bigint, n bigint")
-
-
-class Model:
-    """Tables of a model: `scores` (lang, gram, score) of every n-gram of ORDER characters that the rows hold, and per
-    order the stored n-grams (lang, gram, p) and backoff weights (lang, ctx, w) behind them."""
-
-    def __init__(self, scores: DataFrame, grams: dict[int, DataFrame], backoff: dict[int, DataFrame], unknown: DataFrame):
-        self.scores, self.grams, self.backoff, self.unknown = scores, grams, backoff, unknown
-        self._arrays: tuple | None = None
-
-    def discard(self) -> None:
-        discard(self.scores, *self.grams.values(), *self.backoff.values(), self.unknown)
-
-    def log_probability(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of any n-grams after the ones before it.
-
-        Collects the tables, to look into small models; scoring joins them instead."""
-        if self._arrays is None:
-            self._arrays = ({k: _sorted_arrays(t) for k, t in self.grams.items()}, {k: _sorted_arrays(t) for k, t in self.backoff.items()},
-                            {r["lang"]: r["u"] for r in self.unknown.collect()})
-        stored, weights, unknown = self._arrays
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        for k in range(ORDER, 0, -1):
-            g = grams[left] & _MASKS[k]
-            hit, value = _find(*stored[k].get(lang, nothing), g)
-            out[left[hit]] += value[hit]
-            left, g = left[~hit], g[~hit]
-            if k > 1:
-                hit, value = _find(*weights[k].get(lang, nothing), g >> np.int64(BITS))
-                out[left] += np.where(hit, value, 0.0)
-        out[left] += unknown.get(lang, np.log(1e-7))
-        return out
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[place] == wanted, values[place].astype(np.float64)
-
-
-def train_model(docs: DataFrame) -> Model:
-    """Modified Kneser-Ney model of the rows (lang, text)."""
-    return _model(count_grams(docs.select("lang", "text")))
-
-
-def _model(counted: DataFrame) -> Model:
-    """The model of n-gram counts (lang, gram, n)."""
-    counts = settle(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("plain", F.col("n")))
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters before them; plain counts decide what is stored
-        tables[k] = settle(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(int(_MASKS[k])).alias("gram")).agg(
-            F.count("*").alias("n"), F.sum("plain").alias("plain")))
-    grams, backoff, unknown, lower, temporary = {}, {}, None, None, []
-    for k in range(1, ORDER + 1):
-        t = tables[k]
-        of = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("v"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.least(F.greatest(
-            F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)), F.lit(0.1)), F.lit(i - 0.1))).otherwise(F.lit(0.5 * i))
-            for i in (1, 2, 3)]
-        of = of.select("lang", "v", *[c.alias(f"d{i}") for i, c in enumerate(d, 1)])
-        t = t.join(of, "lang").withColumns({
-            "ctx": F.shiftright("gram", BITS), "suffix": F.col("gram").bitwiseAND(int(_MASKS[k - 1])),
-            "d": F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))})
-        of_context = t.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum("d").alias("mass"))
-        t = t.join(of_context, ["lang", "ctx"])
-        if k == 1:
-            t = t.withColumns({"lower": 1 / (F.col("v") + 1), "below": F.lit(0.0)})
-        else:
-            t = t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"), F.col("score").alias("below")), ["lang", "suffix"])
-        p = (F.col("n") - F.col("d")) / F.col("all") + F.col("mass") / F.col("all") * F.col("lower")
-        t = settle(t.select("lang", "gram", "ctx", "plain", p.alias("p"), "lower", "below", (F.col("mass") / F.col("all") / (F.col("v") + 1)).alias("u")))
-        temporary.append(t)
-        stored = F.lit(True) if k == 1 else F.col("plain") >= LEAST_COUNT
-        kept = t.where(stored)
-        grams[k] = settle(kept.select("lang", "gram", F.log("p").alias("p")))
-        if k == 1:
-            unknown = settle(kept.groupBy("lang").agg(F.log(F.max("u")).alias("u")))
-            score = F.log("p")
-        else:
-            backoff[k] = settle(kept.groupBy("lang", "ctx").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(
-                "lang", "ctx", F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("low"), F.lit(1e-9))).alias("w")))
-            t = t.join(backoff[k], ["lang", "ctx"], "left")
-            score = F.when(stored, F.log("p")).otherwise(F.coalesce("w", F.lit(0.0)) + F.col("below"))
-        lower = settle(t.select("lang", "gram", "p", score.alias("score")))
-        if k < ORDER:
-            temporary.append(lower)
-    discard(*tables.values(), *temporary)
-    return Model(lower.select("lang", "gram", "score"), grams, backoff, unknown)
-
-
-def _sorted_arrays(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Keys and values of rows (lang, key, value) by language, sorted."""
-    table, out = rows.toArrow(), {}
-    for lang in pc.unique(table.column(0)).to_pylist():
-        part = table.filter(pc.equal(table.column(0), lang))
-        keys, values = part.column(1).to_numpy(), part.column(2).to_numpy()
-        order = np.argsort(keys)
-        out[lang] = keys[order], values[order]
-    return out
-
-
-def _measure(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _measure(docs: DataFrame, columns: list[str], stored: bool) -> DataFrame:
     """`columns` of rows (lang, text, ...) with the language that fits, the rule counts and the log perplexity a character."""
     added = [c.split(" ")[0] for c in RULE_SCHEMA.split(", ")]
     names = [f"c{i}" for i in range(len(columns))]
-    # Counting and scoring read the same columns, so that the same rows make up a partition and its blocks.
     picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                          *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    languages = docs.sparkSession.sparkContext.broadcast(learn_languages(picked.select("lang", "text")))
-    counted = settle(count_grams(picked, languages))
-    model = _model(counted)
-    wanted = counted.join(model.scores, ["lang", "gram"]).select("block", "gram", F.col("score").cast("float").alias("score"))
+    # Counting and dealing must see the same rows in the same order; files give them, a shuffle need not.
+    source = picked if stored else settle(picked)
+    learned = learn_languages(source.select("lang", "text"))
+    fitted, shards = learned.names, max(8, learned.chars // SHARD_CHARS)
+    languages = docs.sparkSession.sparkContext.broadcast(learned)
+    counted = settle(count_grams(source, languages, shards))
+    model = derive_model(counted, fitted)
+    scores = score_blocks(counted, model.scores)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(languages.value)
+        dealer = Dealer(languages.value)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             for lang, block, rows in dealer.deal(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int64)), rows.column(1), pa.array([lang] * len(rows), pa.string()),
-                                                  *rows.columns[2:]], ["block", "text", "fitted", *names])
+                for first, end, _, _ in chunks(rows.column(1)):
+                    part, sink = rows.select(["text", *names]).slice(first, end - first), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang], pa.int32()),
+                                                      pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "fitted", "rows"])
 
     def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
-        keys, values = scores.column("gram").to_numpy(), scores.column("score").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        lang = texts.column("fitted")[0].as_py()
+        block, chunked = Block(lang, shards), []
+        # The rows of a block arrive in any order: its n-grams are the same, and so is their order.
+        for packed in texts.column("rows"):
+            for part in pa.ipc.open_stream(packed.as_buffer()):
+                for first, end, x, at, bounds in block.add(part.column(0)):
+                    chunked.append((part.slice(first, end - first).columns[1:], rule_counts(x, at), bounds))
+        block.close()
+        order = np.argsort(scores.column("shard").to_numpy())
+        found = scores.column("scores").to_pylist()
+        value = np.frombuffer(b"".join(found[i] for i in order), np.float32).astype(np.float64)
+        if len(value) != len(block.hi):
+            raise RuntimeError("the rows changed when they were read again: pass stored=False")
         out = []
-        for part in texts.to_batches():
-            for first, end, x, at in chunks(part.column(1)):
-                counts = rule_counts(x, at)
-                grams, bounds = packed_grams(x, at)
-                distinct, which = np.unique(grams, return_inverse=True)
-                hit, value = _find(keys, values, distinct)
-                if not hit.all():
-                    raise RuntimeError("the rows came in other partitions when they were read again: settle the table first")
-                sums = np.append(0, np.cumsum(value[which]))[bounds]
-                chars = np.diff(bounds)
-                nats = np.divide(-np.diff(sums), chars, out=np.zeros(len(chars)), where=chars > 0)
-                failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
-                out.append(pa.RecordBatch.from_arrays(
-                    [*part.slice(first, end - first).columns[2:], *[pa.array(c, pa.int64()) for c in counts],
-                     pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], ["fitted", *names, *added]))
+        for (kept, counts, bounds), (place, which) in zip(chunked, block.places, strict=True):
+            chars = np.diff(bounds)
+            sums = np.append(0, np.cumsum(value[place][which]))[bounds]
+            nats = np.divide(-np.diff(sums), chars, out=np.zeros(len(chars)), where=chars > 0)
+            failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array([fitted[lang]] * len(chars), pa.string()), *kept, *[pa.array(c, pa.int64()) for c in counts],
+                 pa.array(failed, pa.bool_()), pa.array(nats, pa.float64())], ["fitted", *names, *added]))
         return pa.Table.from_batches(out)
 
     kinds = {n: picked.schema[n].dataType for n in names}
     schema = ", ".join(["fitted string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()], RULE_SCHEMA])
-    dealt = picked.mapInArrow(deal, ", ".join(["block bigint, text string, fitted string", *[f"{n} {t.simpleString()}" for n, t in kinds.items()]]))
-    out = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
+    dealt = source.mapInArrow(deal, "block bigint, fitted int, rows binary")
+    out = dealt.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(run, schema)
     out = settle(out.select(F.col("fitted").alias("__fitted"), *[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added))
     model.discard()
-    discard(counted)
+    discard(counted, *([] if stored else [source]))
     return out
 
 
@@ -395,14 +151,15 @@ def perplexity_bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
-def apply_rules(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
     """`columns` of `docs` (default: doc_id) with counts, base_failed, log_perplexity and `kept`, row by row.
 
     Needs columns lang and text; a null text has no words and fails the base rules, a null language is
     one of its own.  Rows with null or repeated ids are judged as any other; `columns` may not clash
-    with the added names; an empty table gives no rows."""
+    with the added names; an empty table gives no rows.  `docs` is read three times: `stored` says that it reads files
+    (with at most narrow steps after), which give the same rows again; other tables are written first."""
     columns = columns or ["doc_id"]
-    measured = _measure(docs.withColumn("__l", F.coalesce(F.col("lang").cast("string"), F.lit(""))), ["__l", *columns])
+    measured = _measure(docs.withColumn("__l", F.coalesce(F.col("lang").cast("string"), F.lit(""))), ["__l", *columns], stored)
     bands = perplexity_bands(measured.select(F.col("__fitted").alias("lang"), "base_failed", "log_perplexity"))
     inside = F.lit(True)  # languages are few: as many as bands
     for name, (low, high) in sorted(bands.items()):

@@ -56,7 +56,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(documents(spark, sf_dir))
+    return quality_rules.apply_rules(documents(spark, sf_dir), stored=True)
 
 
 @_query("op6_mixing", mixing.ORACLE_SQL)

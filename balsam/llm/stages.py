@@ -13,8 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in their language's perplexity band."""
-    return rules.apply_rules(docs, COLUMNS).where("kept").select(COLUMNS)
+    """Documents that pass the base rules and lie in their language's perplexity band.
+
+    A null or empty text goes; null ids, repeated rows and null languages are judged as any others."""
+    return rules.apply_rules(docs, COLUMNS, stored=True).where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from balsam.llm import (
-    bpe, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup,
+    bpe, char_model, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup,
 )
 from balsam.llm.common import components
 from balsam.llm.queries import ORACLES, QUERIES, tokenizer_path
@@ -283,12 +283,12 @@ def test_language_model_is_a_distribution_and_rejects_noise(spark):
     noise = ["".join(map(chr, rng.integers(0x3400, 0x4D00, 400))) + " x" * 60]
     noise = [" ".join(noise[0][i : i + 6] for i in range(0, 400, 6))]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + noise)], "doc_id bigint, text string, lang string")
-    model = quality_rules.train_model(docs.where("doc_id < 400"))
+    model = char_model.train_model(docs.where("doc_id < 400"))
     x = np.frombuffer(texts[0].encode(), np.uint8)
-    grams, _ = quality_rules.packed_grams(x, np.array([0, len(x)]))
-    letters = np.unique(grams & 0xFFF)
-    for context in grams[[0, 3, 50]] >> 12:
-        total = np.exp(model.log_probability("en", (context << 12) | letters)).sum()
+    hi, lo, _ = char_model.packed_grams(x, np.array([0, len(x)]))
+    letters = np.unique(lo & 0x1FFFFF)
+    for i in (0, 3, 50):
+        total = np.exp(model.log_probability("en", np.full(len(letters), hi[i]), lo[i] & ~0x1FFFFF | letters)).sum()
         assert 0.8 < total < 1.01
     got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
     assert not got[400].kept and not got[400].base_failed
@@ -308,14 +308,78 @@ def test_language_model_of_a_small_language_does_not_shrink_beside_a_large_one(s
 
 
 def test_scores_of_blocks_are_those_of_the_model(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "BLOCK_BYTES", 3_000)  # many blocks a partition
+    monkeypatch.setattr(char_model, "BLOCK_BYTES", 3_000)  # many blocks a partition
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'")
     got = {r.doc_id: r.log_perplexity for r in quality_rules.apply_rules(docs).collect()}
-    model = quality_rules.train_model(docs)
+    model = char_model.train_model(docs)
     for r in docs.limit(20).collect():
         x = np.frombuffer(r.text.encode(), np.uint8)
-        grams, _ = quality_rules.packed_grams(x, np.array([0, len(x)]))
-        assert abs(got[r.doc_id] + model.log_probability(r.lang, grams).mean()) < 1e-4
+        hi, lo, _ = char_model.packed_grams(x, np.array([0, len(x)]))
+        assert abs(got[r.doc_id] + model.log_probability(r.lang, hi, lo).mean()) < 1e-4
+
+
+def kneser_ney(texts):
+    """Log probability a character of each text, in plain Python: modified Kneser-Ney, five characters, all interpolated; n-grams
+    of two and more that stand once are left out and their place is taken by what backing off leaves."""
+    from math import log
+
+    text = {t: ("\0" * 4 + t) for t in texts}
+    n = {5: Counter(p[i - 4 : i + 1] for t in texts for p in [text[t]] for i in range(4, len(p)))}
+    plain = {5: n[5]}
+    for k in (4, 3, 2, 1):
+        n[k], plain[k] = Counter(g[1:] for g in n[k + 1]), Counter()
+        for g, c in plain[k + 1].items():
+            plain[k][g[1:]] += c
+    p, score = {"": None}, {}
+    for k in range(1, 6):
+        of = Counter(n[k].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        d = {i: min(max(i - (i + 1) * y * of[i + 1] / max(of[i], 1), 0.1), i - 0.1) if of[i] and of[1] else 0.5 * i for i in (1, 2, 3)}
+        total, mass, own, low = Counter(), Counter(), Counter(), Counter()
+        for g, c in n[k].items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3)]
+        under = (lambda g: 1 / (len(n[1]) + 1)) if k == 1 else (lambda g: p[g[1:]])
+        p.update({g: (c - d[min(c, 3)]) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * under(g) for g, c in n[k].items()})
+        stored = {g for g in n[k] if k == 1 or plain[k][g] >= 2}
+        for g in stored:
+            own[g[:-1]] += p[g]
+            low[g[:-1]] += under(g)
+        for g in n[k]:
+            weight = log(max(1 - own[g[:-1]], 1e-9) / max(1 - low[g[:-1]], 1e-9)) if g[:-1] in own else 0
+            score[g] = log(p[g]) if g in stored else weight + score[g[1:]]
+    return [sum(score[text[t][i - 4 : i + 1]] for i in range(4, len(text[t]))) / len(t) for t in texts]
+
+
+def test_perplexities_are_those_of_a_plain_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'").select("doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    wanted = dict(zip(texts, kneser_ney(list(texts.values())), strict=True))
+    for stored in (True, False):
+        got = {r.doc_id: r.log_perplexity for r in quality_rules.apply_rules(docs, stored=stored).collect()}
+        assert all(abs(got[d] + wanted[d]) < 1e-4 for d in texts)
+
+
+def test_characters_of_all_scripts_keep_their_whole_code(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(map(chr, rng.integers(0x4E00, 0x4E40, 3)))
+    words = [word() for _ in range(40)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(60)]
+    # The same low bits in another plane: no text of this script vouches for them.
+    foreign = "".join(c if c == " " else chr(ord(c) + 0x3000) for c in texts[0])
+    emoji = "".join(c if c == " " else chr(0x10000 + ord(c)) for c in texts[0])
+    docs = [(i, t, "zh") for i, t in enumerate([*texts, foreign, emoji])]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i].log_perplexity > got[0].log_perplexity + 1 for i in (60, 61))
+    wanted = kneser_ney([t for _, t, _ in docs])
+    assert all(abs(got[i].log_perplexity + wanted[i]) < 1e-4 for i in got)
+
+
+def test_grams_that_share_a_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(char_model, "gram_hash", lambda hi, lo: (lo.astype(np.uint64) & np.uint64(1)))
+    hi, lo = np.array([1, 1, 2, 1, 2], np.int64), np.array([4, 6, 4, 4, 5], np.int64)
+    a, b, n, which = char_model.distinct_grams(hi, lo)
+    assert (a[which] == hi).all() and (b[which] == lo).all() and len(a) == 4 and n.sum() == 5 and n[which[0]] == 2
 
 
 def test_perplexity_bands_reject_planted_texts_on_both_sides_and_keep_wrong_labels(spark):
