@@ -120,25 +120,25 @@ def check_rule_dataset(
     unknown = refs.join(
         rules.select(F.col("canonical_group").alias("value")).distinct(), "value", "left_anti"
     ).select(F.lit("unknown group").alias("check"), "value")
-    aliases = rules.select("rule_id", F.explode("aliases").alias("alias")).select(
-        "rule_id", collapse(casefold("alias")).alias("value")).distinct()
-    shared = (
-        aliases.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-        .filter(~F.col("value").isin(*allowed_aliases) if allowed_aliases else F.lit(True))
-        .select(F.lit("shared alias").alias("check"), "value")
-    )
-    out = repeated.unionByName(unknown).unionByName(shared)
-    for wanted, table in ((True, must_have or {}), (False, must_not_have or {})):
-        for rule_id, words in table.items():
-            for word in words:
-                hit = F.coalesce(F.bool_or((F.col("rule_id") == rule_id) & (F.col("value") == word)),
-                                 F.lit(False))
-                out = out.unionByName(
-                    aliases.agg(hit.alias("hit")).filter(F.col("hit") != wanted).select(
-                        F.lit("alias missing" if wanted else "alias forbidden").alias("check"),
-                        F.lit(f"{rule_id}: {word}").alias("value"))
-                )
-    return out
+    asserted = rules.sparkSession.createDataFrame(
+        [(rule_id, word, wanted) for wanted, table in ((True, must_have or {}), (False, must_not_have or {}))
+         for rule_id, words in table.items() for word in words], "rule_id string, value string, wanted boolean")
+    pairs = rules.select(
+        F.col("rule_id").cast("string").alias("rule_id"), F.explode("aliases").alias("alias")
+    ).select("rule_id", collapse(casefold("alias")).alias("value"), F.lit(None).cast("boolean").alias("wanted"))
+    # Aliases and assertions meet in one grouping; lists hold failed assertions only.
+    held = pairs.unionByName(asserted).groupBy("rule_id", "value").agg(
+        F.bool_or(F.col("wanted").isNull()).alias("held"), F.coalesce(F.bool_or("wanted"), F.lit(False)).alias("needed"),
+        F.coalesce(F.bool_or(~F.col("wanted")), F.lit(False)).alias("barred"))
+    name = F.concat("rule_id", F.lit(": "), "value")
+    row = lambda check, value: F.struct(F.lit(check).alias("check"), value.alias("value"))
+    failed = F.when(~F.col("held") & F.col("needed"), row("alias missing", name)).when(
+        F.col("held") & F.col("barred"), row("alias forbidden", name))
+    by_value = held.groupBy("value").agg(F.count_if("held").alias("n"), F.collect_list(failed).alias("failed"))
+    allowed = F.col("value").isin(*allowed_aliases) if allowed_aliases else F.lit(False)
+    shared = F.when((F.col("n") > 1) & ~allowed, row("shared alias", F.col("value")))
+    listed = by_value.select(F.explode(F.concat("failed", F.array_compact(F.array(shared)))).alias("r")).select("r.*")
+    return repeated.select("check", F.col("value").cast("string").alias("value")).unionByName(unknown).unionByName(listed)
 
 
 # Fields that trace a match to its source.

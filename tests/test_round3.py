@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections import Counter
 
@@ -175,3 +176,22 @@ def test_documents_with_many_headers_take_linear_time():
     seconds(1_000)
     small = min(seconds(10_000) for _ in range(2))
     assert seconds(40_000) < 6 * small
+
+
+def test_rule_assertions_read_the_aliases_once(spark, tmp_path):
+    from balsam.operators import quality
+
+    rows = [("a", "g", ["One  two", "three", "three"]), ("b", "g", ["THREE", "four"]), ("c", "g", None), ("c", "h", ["five"]), (None, "g", ["four"])]
+    spark.createDataFrame(rows, "rule_id string, canonical_group string, aliases array<string>").write.parquet(str(tmp_path / "rules"))
+    rules = spark.read.parquet(str(tmp_path / "rules"))
+    profiles = spark.createDataFrame([(["g", "x"], None), (None, ["h"])], "helpful_function_groups array<string>, caution_function_groups array<string>")
+    need = {"a": ["one two", "four"], "b": [f"word {i}" for i in range(30)], "absent": ["three"]}
+    bar = {"a": ["three", "five"], "c": ["five"]}
+    out = quality.check_rule_dataset(rules, profiles, ["four"], need, bar)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^\n]*aliases", plan)) == 1
+    want = [("duplicate rule", "c"), ("unknown group", "x"), ("shared alias", "three"), ("alias missing", "a: four"),
+            ("alias missing", "absent: three"), ("alias forbidden", "a: three"), ("alias forbidden", "c: five")]
+    want += [("alias missing", f"b: word {i}") for i in range(30)]
+    assert sorted((r.check, r.value) for r in out.collect()) == sorted(want)
+    assert quality.check_rule_dataset(rules.limit(0), profiles.limit(0), [], {"a": ["w"]}).collect() == [("alias missing", "a: w")]
