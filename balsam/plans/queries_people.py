@@ -339,11 +339,14 @@ def _matches(t, fn, registry):
 WITH {_REG_INDEX}, {_ITEMS},
 m AS (SELECT product_id, count(*) AS n, bool_and(matched_name = 'red bolt Brand#1') AS named,
         bool_and(source_id = 'SRC-1') AS sourced, bool_and(max_concentration IS NOT NULL OR product_scope IS NOT NULL
-          OR use_conditions IS NOT NULL OR warning_text IS NOT NULL) AS based
-      FROM item_keys JOIN reg_index USING (key) GROUP BY 1)
-SELECT product_id AS case_id, coalesce(n, 0) = 5 AS count_correct, coalesce(named, false) AS names_correct,
-       coalesce(sourced, true) AS source_correct, true AS match_types_allowed
-FROM {{requests}} LEFT JOIN m USING (product_id)""")
+          OR use_conditions IS NOT NULL OR warning_text IS NOT NULL) AS based,
+        n = 1 AND bool_and(regulation_type = 'restricted') AS typed
+      FROM item_keys JOIN reg_index USING (key) GROUP BY 1),
+c AS (SELECT product_id AS case_id, coalesce(n, 0) = 5 AS count_correct, coalesce(named, false) AS names_correct,
+             coalesce(typed, false) AS types_correct, coalesce(sourced, true) AS source_correct,
+             coalesce(based, true) AS basis_correct, true AS match_types_allowed
+      FROM {{requests}} LEFT JOIN m USING (product_id))
+SELECT *, count_correct AND names_correct AND types_correct AND source_correct AND basis_correct AS case_correct FROM c""")
 def _(t):
     m = _matches(t, "match_regulations", t.regulations)
     outputs = m.groupBy(F.col("product_id").alias("case_id")).agg(
@@ -357,7 +360,7 @@ def _(t):
         F.array(F.lit("restricted")).alias("expected_regulation_types"),
         F.lit("SRC-1").alias("expected_source_id"), F.lit(True).alias("expected_has_decision_basis"))
     return evaluate.evaluate(outputs, gold, evaluate.regulation_metrics()).select(
-        "case_id", "count_correct", "names_correct", "source_correct", "match_types_allowed")
+        "case_id", *evaluate.regulation_metrics(), "case_correct")
 
 
 # Gold that repeats the outputs for even products and differs for odd ones.
@@ -384,7 +387,9 @@ def _(t):
 
 
 @query("evaluate_state", """
-SELECT doc_id AS case_id, quality = 1 OR doc_id % 3 > 0 AS context_consistent, doc_id % 5 > 0 AS answer_exists FROM {labels}""")
+WITH c AS (SELECT doc_id AS case_id, quality = 1 AS route_correct, true AS ingredient_count_correct, doc_id % 5 > 0 AS answer_exists,
+  true AS retrieval_counts_consistent, quality = 1 OR doc_id % 3 > 0 AS context_consistent, quality = 1 AS rag_usage_correct FROM {labels})
+SELECT *, route_correct AND answer_exists AND context_consistent AS case_correct FROM c""")
 def _(t):
     rag = F.col("quality") == 1
     rows = t.labels.select(
@@ -396,7 +401,8 @@ def _(t):
     gold = t.labels.select(
         F.col("doc_id").alias("case_id"), F.lit("ingredient_rag").alias("expected_route"),
         F.lit(2).alias("expected_ingredient_count"), F.lit(True).alias("expected_uses_rag"))
-    return evaluate.evaluate(rows, gold, evaluate.state_metrics()).select("case_id", "context_consistent", "answer_exists")
+    return evaluate.evaluate(rows, gold, evaluate.state_metrics()).select(
+        "case_id", *evaluate.state_metrics(), "case_correct")
 
 
 @query("evaluate_report", """
@@ -427,9 +433,12 @@ def _(t):
 
 
 @query("evaluate_response", """
-SELECT conv_id * 1000 + turn AS case_id, true AS route_correct, conv_id % 2 = 0 AS warning_priority_correct,
-       turn % 3 > 0 AS no_guaranteed_causation, contains(text, 'the') OR contains(text, 'la') AS guidance_present
-FROM {conversations}""")
+WITH c AS (SELECT conv_id * 1000 + turn AS case_id, true AS route_correct, conv_id % 2 = 0 AS warning_priority_correct,
+  contains(text, 'the') OR contains(text, 'la') AS guidance_present, true AS no_definitive_diagnosis,
+  turn % 3 > 0 AS no_guaranteed_causation, true AS regulation_language_correct, true AS allergen_language_correct,
+  contains(text, 'en') OR contains(text, 'is') AS limitations_present, conv_id % 7 > 0 AS no_needless_warning FROM {conversations})
+SELECT *, warning_priority_correct AND guidance_present AND no_guaranteed_causation AND limitations_present AND no_needless_warning
+  AS case_correct FROM c""")
 def _(t):
     rows = t.conversations.withColumn("case_id", F.col("conv_id") * 1000 + F.col("turn"))
     answer = F.concat(F.when(F.col("conv_id") % 2 == 0, "사용을 중단하세요. ").otherwise(""), "text",
@@ -443,11 +452,11 @@ def _(t):
         "case_id", F.lit("safety_warning").alias("expected_route"), F.lit(True).alias("expected_has_warning"),
         F.lit("emergency").alias("case_category"),
         F.array(F.array(F.lit("the"), F.lit("la"))).alias("required_guidance_groups"),
-        F.array().cast("array<array<string>>").alias("required_limitation_groups"),
+        F.array(F.array(F.lit("en"), F.lit("is"))).alias("required_limitation_groups"),
         F.lit(None).cast("string").alias("expected_regulation_type"), none.alias("expected_allergen_names"),
-        F.lit(False).alias("expected_no_unnecessary_warning"))
+        (F.col("conv_id") % 7 == 0).alias("expected_no_unnecessary_warning"))
     return evaluate.evaluate(outputs, gold, evaluate.response_metrics()).select(
-        "case_id", "route_correct", "warning_priority_correct", "no_guaranteed_causation", "guidance_present")
+        "case_id", *evaluate.response_metrics(), "case_correct")
 
 
 @query("suite_summary", """
