@@ -168,24 +168,44 @@ def _depth_after(text: Column, depth: Column) -> Column:
     return F.when(text.rlike(r"[()\[\]]"), walked).otherwise(depth)
 
 
+# Comma pieces that are walked together: a growing result is copied once per block, not once per piece.
+_BLOCK = 512
+
+
+def _bracket_marks(pieces: Column) -> Column:
+    """One character per comma piece: 1 if brackets are open behind it, else 0."""
+
+    def step(acc, p):
+        return let(_depth_after(p, acc["depth"]), lambda depth: F.struct(
+            depth.alias("depth"), F.concat(acc["marks"], F.when(depth > 0, "1").otherwise("0")).alias("marks")))
+
+    def block(acc, b):
+        return let(
+            F.aggregate(F.slice(pieces, b * _BLOCK + 1, F.lit(_BLOCK)),
+                        F.struct(acc["depth"].alias("depth"), F.lit("").alias("marks")), step),
+            lambda done: F.struct(done["depth"].alias("depth"),
+                                  F.concat(acc["blocks"], F.array(done["marks"])).alias("blocks")))
+
+    last = F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(0), last), F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("blocks")),
+        block, lambda acc: F.array_join(acc["blocks"], ""))
+
+
 def raw_chunks(c: Column | str) -> Column:
     """Pieces between the commas that stand outside brackets and not between two digits.
 
-    Text without brackets is split by one regular expression.  Otherwise one pass over the comma
-    pieces marks those that begin inside brackets, and the pieces are joined again by a comma or
-    by the cut mark; both passes are linear, so a long text stays cheap."""
+    Text without brackets is split by one regular expression.  Otherwise the comma pieces are
+    marked block by block with whether brackets are open behind them, and joined again by a comma
+    or by the cut mark.  Nothing that grows with the text is copied per piece, so both passes are
+    linear up to millions of commas."""
 
     def glued(pieces: Column) -> Column:
-        inside = F.aggregate(
-            pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("marks")),
-            lambda acc, p: F.struct(
-                _depth_after(p, acc["depth"]).alias("depth"),
-                F.concat(acc["marks"], F.when(acc["depth"] > 0, "1").otherwise("0")).alias("marks")),
-            lambda acc: acc["marks"])
-        return let(F.split(inside, ""), lambda marks: F.split(F.array_join(F.transform(pieces, lambda p, i: F.concat(
-            F.when(i == 0, "").when(
-                (F.get(marks, i) == "1")
-                | (F.get(pieces, i - 1).rlike(r"(?U)\d$") & p.rlike(r"(?U)^\d")), ",").otherwise(_CUT), p)), ""), _CUT))
+        return let(F.split(_bracket_marks(pieces), ""), lambda open_: F.split(F.array_join(F.transform(
+            pieces, lambda p, i: F.concat(
+                F.when(i == 0, "").when(
+                    (F.get(open_, i - 1) == "1")
+                    | (F.get(pieces, i - 1).rlike(r"(?U)\d\z") & p.rlike(r"(?U)^\d")), ",").otherwise(_CUT), p)), ""), _CUT))
 
     return let(F.coalesce(col(c), F.lit("")), lambda text: F.when(
         text.rlike(r"[(\[]"), let(F.split(text, ","), glued)).otherwise(F.split(text, r"(?U)(?<!\d),|,(?!\d)")))

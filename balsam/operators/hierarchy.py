@@ -6,6 +6,8 @@ which is bounded by that document's own text."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +50,12 @@ def chunk_ingredients(text: Column) -> Column:
     return first_occurrences(parts, casefolded)
 
 
-def comma_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, chunk, start, end: the pieces between separating commas, untrimmed.
+def comma_chunks(docs: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """by…, chunk_index, chunk, start, end: the pieces between separating commas of `text`, untrimmed.
 
-    Offsets are running lengths over the document's chunks, which are linear in its text."""
-    pieces = docs.select("doc_id", F.posexplode(raw_chunks(F.col("text"))).alias("chunk_index", "chunk"))
-    before = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    Offsets are running lengths over one text's chunks, which are linear in it."""
+    pieces = docs.select(*by, F.posexplode(raw_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    before = Window.partitionBy(*by).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("chunk") + 1).over(before), F.lit(0)).cast("int")
     return pieces.withColumn("start", start).withColumn("end", F.col("start") + F.length("chunk"))
 
@@ -182,50 +184,71 @@ def formula_boundaries(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Places in a section where [known][unknown][known] words mark the start of a formula.
 
     Rows: doc_id, section_no, chunk_index, n_splits, left_end, right_start (word numbers of the
-    single split) and the words.  A split without a left part counts only where the chunk has
-    none with one.  No known name is longer than the longest dictionary key, which bounds the
-    left parts that need a look-up; longer ones are unknown for certain."""
+    first split) and the words.  A split without a left part counts only where the chunk has
+    none with one.
+
+    Splits are counted, never listed: those of a left part are the known right parts behind it
+    less the ones that a known name leads up to.  No known name is longer than the longest
+    dictionary key, so only words within that reach of a chunk's start or of a left part are
+    looked up, and work is linear in a chunk's words."""
     longest = dictionary.agg(F.max(F.length("key")).alias("n")).scalar()
     words = F.regexp_extract_all("chunk", F.lit(r"(?U)\S+"), F.lit(0))
+    by = ["doc_id", "section_no", "chunk_index"]
     chunks = sections.filter("raw_header <> ''").select(
         "doc_id", "section_no", F.posexplode(raw_chunks(F.col("body"))).alias("chunk_index", "chunk")
     ).withColumns({"words": words, "keys": F.filter(F.split(fold("chunk"), SPACES), lambda x: x != "")})
-    # Words are read again for the left, right and middle parts and for the result.
-    chunks = settle(chunks.filter(F.size("words") >= 2))
-    by = ["doc_id", "section_no", "chunk_index"]
     n = F.size("words")
     # A code such as (ci 77019) may follow the name: room for the longest one in the chunk.
     codes = F.regexp_extract_all(F.array_join("keys", ""), F.lit(_CODE_SUFFIX.rstrip("$")), F.lit(0))
     room = F.coalesce(F.array_max(F.transform(codes, F.length)), F.lit(0))
-    reach = F.least(n - 1, longest + room)
-    lefts = chunks.select(*by, "keys", F.explode(F.sequence(F.lit(1), reach)).alias("left_end")).select(
-        *by, "left_end", F.array_join(F.slice("keys", F.lit(1), F.col("left_end")), "").alias("key"))
+    # Words are read again for the left, right and middle parts and for the result.
+    chunks = settle(chunks.filter(n >= 2).withColumns({"n": n, "reach": F.least(n - 1, longest + room)}))
+
+    def key(start: Column, size: Column) -> Column:
+        return F.array_join(F.slice("keys", start, size), "").alias("key")
+
+    def listed(spans: Column) -> DataFrame:
+        return chunks.select(*by, F.explode(spans).alias("s")).select(*by, "s.*")
+
+    lefts = listed(F.transform(F.sequence(F.lit(1), F.col("reach")), lambda i: F.struct(
+        i.alias("left_end"), key(F.lit(1), i))))
     known_left = settle(_known(lefts, dictionary).select(*by, "left_end").distinct())
-    rights = chunks.select(*by, "keys", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("right_start"))
-    rights = rights.withColumn("len", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(MAX_RIGHT_WORDS), F.col("n") - F.col("right_start"))))).select(
-        *by, "right_start", F.array_join(F.slice("keys", F.col("right_start") + 1, F.col("len")), "").alias("key"))
+    rights = listed(F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(MAX_RIGHT_WORDS), F.col("n") - i)), lambda size: F.struct(
+            i.alias("right_start"), key(i + 1, size))))))
     known_right = settle(_known(rights, dictionary).select(*by, "right_start").distinct())
-    # The words between a known left and a known right; of one chunk only.
-    pairs = known_left.join(known_right, by).filter("left_end < right_start").join(
-        chunks.select(*by, "keys"), by).select(
-        *by, "left_end", "right_start", F.array_join(F.slice(
-            "keys", F.col("left_end") + 1, F.col("right_start") - F.col("left_end")), "").alias("key"))
-    bare = F.length("key") - F.length(F.regexp_extract("key", _CODE_SUFFIX, 0))
-    known_middle = _known(pairs.filter(bare <= longest), dictionary)
-    with_left = pairs.filter("chunk_index > 0").join(
-        known_middle.select(*by, "left_end", "right_start").distinct(), [*by, "left_end", "right_start"],
-        "left_anti").select(*by, "left_end", "right_start")
-    without_left = known_right.join(
-        known_left.withColumnRenamed("left_end", "right_start"), [*by, "right_start"], "left_anti"
-    ).select(*by, F.lit(0).alias("left_end"), "right_start")
-    splits = with_left.withColumn("rank", F.lit(0)).unionByName(without_left.withColumn("rank", F.lit(1)))
-    counted = splits.groupBy(*by).agg(
-        F.count_if(F.col("rank") == 0).alias("n0"), F.count_if(F.col("rank") == 1).alias("n1"),
-        F.min(F.struct("rank", "left_end", "right_start")).alias("best"))
-    return counted.join(chunks.select(*by, "words", "chunk"), by).select(
-        *by, F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1")).alias("n_splits"),
-        "best.left_end", "best.right_start", "words", "chunk")
+    # Names that start at a left part's end, no further than a name can reach.
+    led = chunks.filter("chunk_index > 0").select(*by, "keys", "n", "reach").join(known_left, by).filter("left_end < n - 1")
+    spans = F.transform(
+        F.sequence(F.col("left_end") + 1, F.least(F.col("n") - 1, F.col("left_end") + F.col("reach"))),
+        lambda i: F.struct(i.alias("right_start"), key(F.col("left_end") + 1, i - F.col("left_end"))))
+    middles = led.select(*by, "left_end", F.explode(spans).alias("s")).select(*by, "left_end", "s.*")
+    closed = _known(middles, dictionary).select(*by, "left_end", "right_start").distinct().join(
+        known_right, [*by, "right_start"], "left_semi")
+    closed = closed.groupBy(*by, "left_end").agg(F.collect_list("right_start").alias("closed"))
+    left_parts = known_left.join(closed, [*by, "left_end"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(
+        F.struct("left_end", F.coalesce("closed", F.array().cast("array<int>")).alias("closed")))).alias("lefts"))
+    parts = known_right.groupBy(*by).agg(F.array_sort(F.collect_list("right_start")).alias("rights")).join(
+        left_parts, by, "left").join(chunks.select(*by, "words", "chunk"), by)
+    lefts = F.coalesce("lefts", F.array().cast(left_parts.schema["lefts"].dataType))
+
+    def behind(left: Column) -> Column:
+        return F.filter("rights", lambda r: r > left)
+
+    # A chunk at the start of a section has no left part before it.
+    counts = F.when(F.col("chunk_index") > 0, F.transform(lefts, lambda e: F.struct(
+        e["left_end"].alias("left_end"), (F.size(behind(e["left_end"])) - F.size(e["closed"])).alias("n"),
+        e["closed"].alias("closed")))).otherwise(F.array())
+    bare = F.array_except("rights", F.transform(lefts, lambda e: e["left_end"]))
+    counted = parts.withColumns({"open": F.filter(counts, lambda e: e["n"] > 0), "bare": bare}).withColumn(
+        "first", F.get("open", F.lit(0)))
+    led_by = F.size("open") > 0
+    return counted.filter(led_by | (F.size("bare") > 0)).select(
+        *by,
+        F.when(led_by, F.aggregate("open", F.lit(0), lambda acc, e: acc + e["n"])).otherwise(F.size("bare")).alias("n_splits"),
+        F.when(led_by, F.col("first.left_end")).otherwise(0).alias("left_end"),
+        F.when(led_by, F.array_min(F.array_except(behind(F.col("first.left_end")), "first.closed")))
+        .otherwise(F.array_min("bare")).alias("right_start"), "words", "chunk")
 
 
 def _word_at(chunk: Column, k: Column) -> Column:
@@ -241,13 +264,8 @@ def evaluate_formulas(sections: DataFrame, boundaries: DataFrame, dictionary: Da
     than two boundaries, or bodies, is no structure."""
     by = ["doc_id", "section_no"]
     headed = sections.filter("raw_header <> ''").select(*by, "body")
-    starts = headed.select(*by, F.explode(F.aggregate(
-        raw_chunks(F.col("body")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, c: F.struct((acc["at"] + F.length(c) + 1).alias("at"),
-                                F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: F.transform(acc["out"], lambda x, i: F.struct(i.alias("chunk_index"), x.alias("at"))),
-    )).alias("c")).select(*by, "c.*")
+    starts = comma_chunks(headed.withColumnRenamed("body", "text"), by).select(
+        *by, "chunk_index", F.col("start").alias("at"))
     single = boundaries.filter("n_splits = 1").join(starts, [*by, "chunk_index"]).select(
         *by,
         (F.col("at") + _word_at(F.col("chunk"), F.col("left_end"))).alias("middle_start"),
