@@ -173,11 +173,11 @@ _BLOCK = 512
 
 
 def _bracket_marks(pieces: Column) -> Column:
-    """One character per comma piece: 1 if brackets are open behind it, else 0."""
+    """One character per comma piece: 1 if brackets are open before it, else 0."""
 
     def step(acc, p):
-        return let(_depth_after(p, acc["depth"]), lambda depth: F.struct(
-            depth.alias("depth"), F.concat(acc["marks"], F.when(depth > 0, "1").otherwise("0")).alias("marks")))
+        return F.struct(_depth_after(p, acc["depth"]).alias("depth"),
+                        F.concat(acc["marks"], F.when(acc["depth"] > 0, "1").otherwise("0")).alias("marks"))
 
     def block(acc, b):
         return let(
@@ -196,7 +196,7 @@ def raw_chunks(c: Column | str) -> Column:
     """Pieces between the commas that stand outside brackets and not between two digits.
 
     Text without brackets is split by one regular expression.  Otherwise the comma pieces are
-    marked block by block with whether brackets are open behind them, and joined again by a comma
+    marked block by block with whether brackets are open before them, and joined again by a comma
     or by the cut mark.  Nothing that grows with the text is copied per piece, so both passes are
     linear up to millions of commas."""
 
@@ -204,7 +204,7 @@ def raw_chunks(c: Column | str) -> Column:
         return let(F.split(_bracket_marks(pieces), ""), lambda open_: F.split(F.array_join(F.transform(
             pieces, lambda p, i: F.concat(
                 F.when(i == 0, "").when(
-                    (F.get(open_, i - 1) == "1")
+                    (F.get(open_, i) == "1")
                     | (F.get(pieces, i - 1).rlike(r"(?U)\d\z") & p.rlike(r"(?U)^\d")), ",").otherwise(_CUT), p)), ""), _CUT))
 
     return let(F.coalesce(col(c), F.lit("")), lambda text: F.when(

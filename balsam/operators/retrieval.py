@@ -6,11 +6,13 @@ Documents: row, ingredient_kor_name, ingredient_eng_name, cas_no, synonym, conte
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys
 from ..functions.settle import settle
@@ -61,17 +63,131 @@ def _unit(c: Column) -> Column:
         lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
 
-# Signed axes that serve as cell centres: twice this many cells.
-AXES = 8
+def _units(df: DataFrame, key: str) -> DataFrame:
+    """Unit vectors; rows whose vector is null, zero or not finite have no direction and drop out."""
+    units = df.select(key, _unit(F.col("vector")).alias("unit"))
+    return units.filter(F.exists("unit", lambda x: x != 0) & ~F.exists("unit", F.isnan))
 
 
-def _cells(unit: Column) -> Column:
-    """Candidate cells of a unit vector: the first signed axes with the cosine to each."""
-    head = F.slice(unit, 1, AXES)
-    return F.concat(
-        F.transform(head, lambda x, i: F.struct((i * 2).alias("cell"), x.alias("cos"))),
-        F.transform(head, lambda x, i: F.struct((i * 2 + 1).alias("cell"), (-x).alias("cos"))),
-    )
+# The tree of pivots is fitted on this many documents at most; bounds are taken over all of them.
+SAMPLE = 4096
+# Pivots of each of the two levels: at most FANOUT * FANOUT leaves, whatever the number of documents.
+FANOUT = 24
+# Every leaf is cut into rings of about equal numbers of documents by their angle to its pivot.
+RINGS = 8
+
+
+def _spread(points: np.ndarray, n: int) -> np.ndarray:
+    """Pivots taken from the points: each next one is the farthest from those before it."""
+    chosen, near = [0], points @ points[0]
+    while len(chosen) < min(n, len(points)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, points @ points[chosen[-1]])
+    return points[chosen]
+
+
+class PivotTree:
+    """Two levels of pivots: `roots`, and the `leaves` under each, numbered through in order."""
+
+    def __init__(self, sample: np.ndarray):
+        self.roots = _spread(sample, FANOUT)
+        near = (sample @ self.roots.T).argmax(axis=1)
+        under = [_spread(sample[near == r], FANOUT) for r in range(len(self.roots))]
+        self.leaves = np.vstack(under)
+        self.first = np.concatenate(([0], np.cumsum([len(u) for u in under])))
+        self.parent = np.repeat(np.arange(len(under)), [len(u) for u in under])
+
+    def place(self, x: np.ndarray):
+        """Leaf of every vector and its angles to the root's and the leaf's pivot."""
+        to_roots = x @ self.roots.T
+        root = to_roots.argmax(axis=1)
+        to_leaves = np.where(self.parent[None, :] == root[:, None], x @ self.leaves.T, -2.0)
+        leaf = to_leaves.argmax(axis=1)
+        at = np.arange(len(x))
+        return leaf, _angle(to_roots[at, root]), _angle(to_leaves[at, leaf])
+
+
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _with(df: DataFrame, more: str) -> T.StructType:
+    return T.StructType([*df.schema, *T.StructType.fromDDL(more)])
+
+
+def _fit_tree(docs: DataFrame) -> PivotTree | None:
+    """Tree from the documents of least hash; a table of few documents gives all of them."""
+    sample = docs.select("unit").orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toPandas()
+    return PivotTree(np.stack(sample["unit"].to_numpy())) if len(sample) else None
+
+
+class Index(NamedTuple):
+    """Documents with their block, and the blocks with their interval of angles."""
+
+    tree: PivotTree | None
+    docs: DataFrame  # row, unit, block
+    blocks: DataFrame  # leaf, block, lo, hi: angles to the leaf's pivot
+    bounds: dict[int, tuple[float, float, float]]  # leaf: least and largest angle to the root, largest to the leaf
+
+
+def vector_index(docs: DataFrame, block_rows: int = 4096) -> Index:
+    """Put every document into a block of one ring of one leaf.
+
+    A ring of more than `block_rows` documents (equal vectors, say) is dealt to several blocks by
+    hash.  The driver holds the tree and three numbers a leaf; both are bounded by the fan-out."""
+    units = _units(docs, "row")
+    tree = _fit_tree(units)
+    if tree is None:
+        return Index(None, units.withColumn("block", F.lit("")), units.select("row").limit(0), {})
+
+    def place(batches):
+        for batch in batches:
+            if len(batch):
+                leaf, far, near = tree.place(np.stack(batch["unit"].to_numpy()))
+                yield batch.assign(leaf=leaf.astype(np.int32), root_angle=far, angle=near)
+
+    placed = settle(units.mapInPandas(
+        place, _with(units, "leaf int, root_angle double, angle double")))
+    shares = [i / RINGS for i in range(1, RINGS)]
+    leaves = placed.groupBy("leaf").agg(
+        F.percentile_approx("angle", shares).alias("cuts"), F.min("root_angle").alias("root_lo"),
+        F.max("root_angle").alias("root_hi"), F.max("angle").alias("radius")).collect()
+    cuts = placed.sparkSession.createDataFrame([(x.leaf, x.cuts) for x in leaves], "leaf int, cuts array<double>")
+    ringed = placed.join(F.broadcast(cuts), "leaf").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("angle"))))
+    rings = ringed.groupBy("leaf", "ring").agg(
+        F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.ceil(F.count("*") / block_rows).cast("int").alias("pieces"))
+    name = lambda piece: F.concat_ws(":", "leaf", "ring", piece)
+    blocks = settle(rings.select("leaf", "ring", "lo", "hi", "pieces"))
+    dealt = ringed.join(blocks.select("leaf", "ring", "pieces"), ["leaf", "ring"]).select(
+        "row", "unit", name(F.pmod(F.xxhash64("row"), "pieces")).alias("block"))
+    pieces = blocks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
+        "leaf", "lo", "hi", name(F.col("piece")).alias("block"))
+    return Index(tree, dealt, pieces, {x.leaf: (x.root_lo, x.root_hi, x.radius) for x in leaves})
+
+
+def block_visits(queries: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """(query_id, unit, block): the blocks that may hold a document within the threshold of a query.
+
+    By the triangle inequality on angles a document within `limit` of a query has an angle to any
+    pivot within `limit` of the query's.  That rules out leaves by the root's pivot and by their
+    own, and then rings of a leaf; nothing that is ruled out can be a hit."""
+    units = _units(queries, "query_id")
+    tree, limit = index.tree, float(np.arccos(threshold)) + 1e-7
+    leaves = np.array(sorted(index.bounds), dtype=np.int64)
+    lo, hi, radius = (np.array([index.bounds[x][i] for x in leaves]) for i in range(3))
+
+    def visit(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["unit"].to_numpy())
+            root, leaf = _angle(x @ tree.roots.T)[:, tree.parent[leaves]], _angle(x @ tree.leaves[leaves].T)
+            q, at = np.nonzero((root >= lo - limit) & (root <= hi + limit) & (leaf <= radius + limit))
+            yield batch.iloc[q].assign(leaf=leaves[at].astype(np.int32), at=leaf[q, at])
+
+    seen = units.mapInPandas(visit, _with(units, "leaf int, at double"))
+    return seen.join(index.blocks, "leaf").filter(
+        (F.col("at") >= F.col("lo") - limit) & (F.col("at") <= F.col("hi") + limit)).select("query_id", "unit", "block")
 
 
 def _best_of_block(k: int, threshold: float):
@@ -103,46 +219,23 @@ def vector_retrieve(
     The reference takes max(k, 8) candidates and then applies the threshold and k; on a list
     sorted by score that is the same as threshold first, then k.
 
-    Documents live in the cell of their nearest signed axis.  By the triangle inequality on
-    angles a cell can hold a hit only if angle(query, axis) <= angle limit + cell radius, so a
-    query visits just those cells, and nothing is approximate.  Cells are cut into blocks of
-    about `block_rows` documents, and the queries of a block likewise, so a crowded cell becomes
-    many small tasks.  A block scores with one matrix product and emits at most k rows a query."""
-    d = docs.select("row", _unit(F.col("vector")).alias("unit")).filter("unit IS NOT NULL").withColumn(
-        "__near", F.array_max(F.transform(_cells(F.col("unit")), lambda c: F.struct(
-            c["cos"].alias("cos"), c["cell"].alias("cell"))))
-    ).select("row", "unit", F.col("__near.cell").alias("cell"), F.col("__near.cos").alias("cos"))
-    # At most two rows per axis, whatever the number of documents.
-    cells = d.groupBy("cell").agg(
-        F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("radius"), F.count("*").alias("n_docs")
-    ).withColumn("doc_blocks", F.ceil(F.col("n_docs") / block_rows).cast("int"))
-    limit = float(np.arccos(threshold)) + 1e-9
-    q = (
-        queries.select("query_id", _unit(F.col("vector")).alias("unit"))
-        .withColumn("__c", F.explode(_cells(F.col("unit"))))
-        .select("query_id", "unit", "__c.cell", F.acos(F.greatest(F.least("__c.cos", F.lit(1.0)),
-                                                                   F.lit(-1.0))).alias("angle"))
-        .join(cells, "cell").filter(F.col("angle") <= F.col("radius") + limit)
-    )
-    visits = q.groupBy("cell").agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias("query_blocks"))
-    plan = cells.join(visits, "cell").select("cell", "doc_blocks", "query_blocks")
-    left = (
-        q.select("cell", "query_id", "unit").join(plan, "cell")
-        .withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
-        .withColumn("doc_block", F.explode(F.sequence(F.lit(0), F.col("doc_blocks") - 1)))
-    )
-    right = (
-        d.select("cell", "row", "unit").join(plan, "cell")
-        .withColumn("doc_block", F.pmod(F.xxhash64("row"), F.col("doc_blocks")).cast("int"))
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    )
-    by = ["cell", "query_block", "doc_block"]
-    hits = (
-        left.select(*by, "query_id", "unit").groupBy(*by)
-        .cogroup(right.select(*by, "row", "unit").groupBy(*by))
-        .applyInPandas(_best_of_block(k, threshold), f"query_id {queries.schema['query_id'].dataType.simpleString()}, row long, score double")
-    )
+    Documents live in the blocks of a tree of pivots taken from the data (`vector_index`), and a
+    query visits the blocks that `block_visits` leaves.  The queries of a block are cut into pieces
+    likewise, so a crowded place becomes many small tasks.  A task scores with one matrix product
+    and emits at most k rows a query."""
+    result = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row long, score double"
+    index = vector_index(docs, block_rows)
+    if index.tree is None:
+        hits = queries.sparkSession.createDataFrame([], result)
+    else:
+        visits = settle(block_visits(queries, index, threshold))
+        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("pieces"))
+        left = visits.join(counts, "block").withColumn("piece", F.pmod(F.xxhash64("query_id"), "pieces").cast("int"))
+        right = index.docs.join(counts, "block").withColumn(
+            "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        by = ["block", "piece"]
+        hits = left.select(*by, "query_id", "unit").groupBy(*by).cogroup(
+            right.select(*by, "row", "unit").groupBy(*by)).applyInPandas(_best_of_block(k, threshold), result)
     best = top_k(hits, "query_id", [F.desc("score"), "row"], k, rank_col="rank")
     return best.select(
         "query_id", "row", F.bround(F.col("score") * 100, 2).alias("match_score"), "rank",
