@@ -132,6 +132,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = settle(label.join(hook, label["at"] == hook.v, "left").select("id", F.coalesce("to", "at").alias("at")))
         discard(hook, edges, label)
         edges, label = fewer, moved
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError("edges are left after 1,000 rounds")
     least = label.groupBy("at").agg(F.min("id").alias("component_id"))
     out = settle(label.join(least, "at").select("id", "component_id"))
     discard(edges, label)
