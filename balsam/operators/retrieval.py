@@ -73,7 +73,7 @@ def _units(df: DataFrame, key: str) -> DataFrame:
 SAMPLE = 4096
 # Pivots of each of the two levels: at most FANOUT * FANOUT leaves, whatever the number of documents.
 FANOUT = 24
-# Every leaf is cut into rings of about equal numbers of documents by their angle to its pivot.
+# A leaf of more than one block is cut into rings of about equal numbers of documents by their angle to its pivot.
 RINGS = 8
 
 
@@ -89,10 +89,10 @@ def _spread(points: np.ndarray, n: int) -> np.ndarray:
 class PivotTree:
     """Two levels of pivots: `roots`, and the `leaves` under each, numbered through in order."""
 
-    def __init__(self, sample: np.ndarray):
-        self.roots = _spread(sample, FANOUT)
+    def __init__(self, sample: np.ndarray, fanout: int = FANOUT):
+        self.roots = _spread(sample, fanout)
         near = (sample @ self.roots.T).argmax(axis=1)
-        under = [_spread(sample[near == r], FANOUT) for r in range(len(self.roots))]
+        under = [_spread(sample[near == r], fanout) for r in range(len(self.roots))]
         self.leaves = np.vstack(under)
         self.first = np.concatenate(([0], np.cumsum([len(u) for u in under])))
         self.parent = np.repeat(np.arange(len(under)), [len(u) for u in under])
@@ -115,10 +115,10 @@ def _with(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema, *T.StructType.fromDDL(more)])
 
 
-def _fit_tree(docs: DataFrame) -> PivotTree | None:
+def _fit_tree(docs: DataFrame, fanout: int) -> PivotTree | None:
     """Tree from the documents of least hash; a table of few documents gives all of them."""
     sample = docs.select("unit").orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toPandas()
-    return PivotTree(np.stack(sample["unit"].to_numpy())) if len(sample) else None
+    return PivotTree(np.stack(sample["unit"].to_numpy()), fanout) if len(sample) else None
 
 
 class Index(NamedTuple):
@@ -136,7 +136,8 @@ def vector_index(docs: DataFrame, block_rows: int = 4096) -> Index:
     A ring of more than `block_rows` documents (equal vectors, say) is dealt to several blocks by
     hash.  The driver holds the tree and three numbers a leaf; both are bounded by the fan-out."""
     units = _units(docs, "row")
-    tree = _fit_tree(units)
+    # Sixteen leaves for every full block of documents, so that small tables are not cut into crumbs.
+    tree = _fit_tree(units, int(np.clip(np.sqrt(16 * docs.count() / block_rows), 2, FANOUT)))
     if tree is None:
         return Index(None, units.withColumn("block", F.lit("")), units.select("row").limit(0), {})
 
@@ -150,9 +151,9 @@ def vector_index(docs: DataFrame, block_rows: int = 4096) -> Index:
         place, _with(units, "leaf int, root_angle double, angle double")))
     shares = [i / RINGS for i in range(1, RINGS)]
     leaves = placed.groupBy("leaf").agg(
-        F.percentile_approx("angle", shares).alias("cuts"), F.min("root_angle").alias("root_lo"),
+        F.percentile_approx("angle", shares).alias("cuts"), F.count("*").alias("n"), F.min("root_angle").alias("root_lo"),
         F.max("root_angle").alias("root_hi"), F.max("angle").alias("radius")).collect()
-    cuts = placed.sparkSession.createDataFrame([(x.leaf, x.cuts) for x in leaves], "leaf int, cuts array<double>")
+    cuts = placed.sparkSession.createDataFrame([(x.leaf, x.cuts if x.n > block_rows else []) for x in leaves], "leaf int, cuts array<double>")
     ringed = placed.join(F.broadcast(cuts), "leaf").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("angle"))))
     rings = ringed.groupBy("leaf", "ring").agg(
         F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.ceil(F.count("*") / block_rows).cast("int").alias("pieces"))
