@@ -10,7 +10,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +76,9 @@ SAMPLE = 4096
 FANOUT = 24
 # A leaf of more than one block is cut into rings of about equal numbers of documents by their angle to its pivot.
 RINGS = 8
+# Bytes of vectors that travel as one row, and the queries of a pack that are scored at a time.
+PACK_BYTES = 4 << 20
+SCORE_ROWS = 256
 
 
 def _spread(points: np.ndarray, n: int) -> np.ndarray:
@@ -166,47 +170,108 @@ def vector_index(docs: DataFrame, block_rows: int = 4096) -> Index:
     return Index(tree, dealt, pieces, {x.leaf: (x.root_lo, x.root_hi, x.radius) for x in leaves})
 
 
-def block_visits(queries: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """(query_id, unit, block): the blocks that may hold a document within the threshold of a query.
+def _pack_rows(index: Index) -> int:
+    """Vectors that travel as one packed row."""
+    return max(1, PACK_BYTES // (8 * index.tree.roots.shape[1]))
+
+
+def query_packs(queries: DataFrame, index: Index, threshold: float, per: int) -> DataFrame:
+    """(pack, ids, vectors, leaves): queries of about one place packed up to `per` a row, with the leaves they may visit.
 
     By the triangle inequality on angles a document within `limit` of a query has an angle to any
     pivot within `limit` of the query's.  That rules out leaves by the root's pivot and by their
-    own, and then rings of a leaf; nothing that is ruled out can be a hit."""
+    own; of each leaf left, the least and largest angle of a visiting query to its pivot are kept."""
     units = _units(queries, "query_id")
+    kind = queries.schema["query_id"].dataType.simpleString()
     tree, limit = index.tree, float(np.arccos(threshold)) + 1e-7
     leaves = np.array(sorted(index.bounds), dtype=np.int64)
     lo, hi, radius = (np.array([index.bounds[x][i] for x in leaves]) for i in range(3))
 
-    def visit(batches):
+    def place(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["unit"].to_numpy())
-            root, leaf = _angle(x @ tree.roots.T)[:, tree.parent[leaves]], _angle(x @ tree.leaves[leaves].T)
-            q, at = np.nonzero((root >= lo - limit) & (root <= hi + limit) & (leaf <= radius + limit))
-            yield batch.iloc[q].assign(leaf=leaves[at].astype(np.int32), at=leaf[q, at])
+            if len(batch):
+                yield batch.assign(leaf=tree.place(np.stack(batch["unit"].to_numpy()))[0].astype(np.int32))
+
+    def visited(x):
+        least, most = np.full(len(leaves), np.inf), np.full(len(leaves), -np.inf)
+        for i in range(0, len(x), SCORE_ROWS):
+            part = x[i : i + SCORE_ROWS]
+            root, leaf = _angle(part @ tree.roots.T)[:, tree.parent[leaves]], _angle(part @ tree.leaves[leaves].T)
+            seen = (root >= lo - limit) & (root <= hi + limit) & (leaf <= radius + limit)
+            least = np.minimum(least, np.where(seen, leaf, np.inf).min(axis=0))
+            most = np.maximum(most, np.where(seen, leaf, -np.inf).max(axis=0))
+        return [{"leaf": int(leaves[i]), "least": least[i], "most": most[i]} for i in np.flatnonzero(most >= least)]
+
+    def pack(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for i in range(0, len(batch), per):
+                some = batch.iloc[i : i + per]
+                x, n = np.stack(some["unit"].to_numpy()), n + 1
+                yield pd.DataFrame({"pack": [f"{part}:{n}"], "ids": [some["query_id"].to_numpy()],
+                                    "vectors": [x.tobytes()], "leaves": [visited(x)]})
+
+    placed = settle(units.mapInPandas(place, _with(units, "leaf int")))
+    parts = max(1, -(-placed.count() // per))
+    # Written once: a range exchange dealt anew could cut elsewhere.
+    return settle(placed.repartitionByRange(parts, "leaf", F.xxhash64("query_id")).select("query_id", "unit").mapInPandas(
+        pack, f"pack string, ids array<{kind}>, vectors binary, leaves array<struct<leaf:int,least:double,most:double>>"))
+
+
+def pack_visits(packs: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """(pack, block): the blocks that may hold a document within the threshold of a query of the pack.
+
+    Rings of a visited leaf are ruled out by the same inequality; what is ruled out cannot be a hit."""
+    limit = float(np.arccos(threshold)) + 1e-7
+    return packs.select("pack", F.inline("leaves")).join(index.blocks, "leaf").filter(
+        (F.col("most") >= F.col("lo") - limit) & (F.col("least") <= F.col("hi") + limit)).select("pack", "block")
+
+
+def block_visits(queries: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """(query_id, block): `pack_visits` of every query by itself."""
+    packs = query_packs(queries, index, threshold, 1)
+    return pack_visits(packs, index, threshold).join(packs.select("pack", F.get("ids", F.lit(0)).alias("query_id")), "pack").drop("pack")
+
+
+def _bundles(index: Index, per: int) -> tuple[DataFrame, DataFrame]:
+    """(block, bundle) and (bundle, rows, vectors): blocks of neighbouring leaves packed to about `per` documents a row."""
+    sizes = index.docs.groupBy("block").agg(F.count("*").alias("n"))
+    # One row a block: a hundredth of a percent of the documents once blocks are full.
+    before = Window.orderBy("leaf", "block").rowsBetween(Window.unboundedPreceding, -1)
+    named = settle(index.blocks.join(sizes, "block").select(
+        "block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / per).cast("int").alias("bundle")))
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row")
+        return pd.DataFrame({"bundle": [key[0]], "rows": [rows["row"].to_numpy()],
+                             "vectors": [np.stack(rows["unit"].to_numpy()).tobytes()]})
 
-    seen = units.mapInPandas(visit, _with(units, "leaf int, at double"))
-    return seen.join(index.blocks, "leaf").filter(
-        (F.col("at") >= F.col("lo") - limit) & (F.col("at") <= F.col("hi") + limit)).select("query_id", "unit", "block")
+    packed = index.docs.join(named, "block").select("bundle", "row", "unit").groupBy("bundle").applyInPandas(
+        pack, "bundle int, rows array<bigint>, vectors binary")
+    return named, packed
 
 
-def _best_of_block(k: int, threshold: float):
-    def score(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _best_of_bundle(k: int, threshold: float):
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "row": [], "score": []})
-        q, d = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-        rows = right["row"].to_numpy()
-        order = np.argsort(rows, kind="stable")
-        rows, d = rows[order], d[order]
-        out_q, out_r, out_s = [], [], []
-        for qid, scores in zip(left["query_id"].to_numpy(), q @ d.T):
-            hits = np.flatnonzero(scores >= threshold - 1e-12)
-            best = hits[np.argsort(-scores[hits], kind="stable")[:k]]
-            out_q.extend([qid] * len(best))
-            out_r.extend(rows[best])
-            out_s.extend(scores[best])
-        return pd.DataFrame({"query_id": out_q, "row": out_r, "score": out_s})
+        ids, rows = np.asarray(left["ids"].iloc[0]), np.asarray(right["rows"].iloc[0])
+        q = np.frombuffer(left["vectors"].iloc[0]).reshape(len(ids), -1)
+        d = np.frombuffer(right["vectors"].iloc[0]).reshape(len(rows), -1)
+        found = []
+        for i in range(0, len(q), SCORE_ROWS):
+            scores = q[i : i + SCORE_ROWS] @ d.T
+            least = np.full(len(scores), threshold)
+            if len(rows) > k:
+                least = np.maximum(least, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
+            at, doc = np.nonzero(scores >= least[:, None] - 1e-12)
+            # Equal vectors tie, however the product rounds at its edges.
+            value = np.round(scores[at, doc], 12)
+            order = np.lexsort((doc, -value, at))
+            at, doc, value = at[order], doc[order], value[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            found.append((ids[i + at[place < k]], rows[doc[place < k]], value[place < k]))
+        return pd.DataFrame({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(("query_id", "row", "score"))})
 
     return score
 
@@ -220,23 +285,22 @@ def vector_retrieve(
     The reference takes max(k, 8) candidates and then applies the threshold and k; on a list
     sorted by score that is the same as threshold first, then k.
 
-    Documents live in the blocks of a tree of pivots taken from the data (`vector_index`), and a
-    query visits the blocks that `block_visits` leaves.  The queries of a block are cut into pieces
-    likewise, so a crowded place becomes many small tasks.  A task scores with one matrix product
-    and emits at most k rows a query."""
+    Documents live in the blocks of a tree of pivots taken from the data (`vector_index`).  Queries of
+    one place travel packed as one row, as do the documents of neighbouring blocks; a pair of the two
+    meets only where `pack_visits` leaves a block.  So vectors are sent once a pair of packs, not once
+    a query and block, and a task holds two packs and emits at most k rows a query."""
     result = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row long, score double"
     index = vector_index(docs, block_rows)
     if index.tree is None:
         hits = queries.sparkSession.createDataFrame([], result)
     else:
-        visits = settle(block_visits(queries, index, threshold))
-        counts = visits.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("pieces"))
-        left = visits.join(counts, "block").withColumn("piece", F.pmod(F.xxhash64("query_id"), "pieces").cast("int"))
-        right = index.docs.join(counts, "block").withColumn(
-            "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        by = ["block", "piece"]
-        hits = left.select(*by, "query_id", "unit").groupBy(*by).cogroup(
-            right.select(*by, "row", "unit").groupBy(*by)).applyInPandas(_best_of_block(k, threshold), result)
+        per = _pack_rows(index)
+        packs = query_packs(queries, index, threshold, per)
+        named, bundles = _bundles(index, per)
+        pairs = settle(pack_visits(packs, index, threshold).join(named, "block").select("pack", "bundle").distinct())
+        by = ["pack", "bundle"]
+        hits = packs.select("pack", "ids", "vectors").join(pairs, "pack").groupBy(*by).cogroup(
+            bundles.join(pairs, "bundle").groupBy(*by)).applyInPandas(_best_of_bundle(k, threshold), result)
     best = top_k(hits, "query_id", [F.desc("score"), "row"], k, rank_col="rank")
     return best.select(
         "query_id", "row", F.bround(F.col("score") * 100, 2).alias("match_score"), "rank",

@@ -60,3 +60,14 @@ def test_no_documents_no_vectors_and_zero_vectors(spark):
     docs = frame(spark, [[0.0, 0.0], None, [2.0, 0.0]], "row")
     got = retrieval.vector_retrieve(some, docs).collect()
     assert [(r.query_id, r["rank"], r.row, r.match_score) for r in got] == [(0, 1, 2, 100.0)]
+
+
+def test_vectors_travel_once_a_pair_of_packs(spark, clustered, monkeypatch):
+    docs, queries = clustered
+    few, index = frame(spark, queries, "query_id"), retrieval.vector_index(frame(spark, docs, "row"), 256)
+    packs = retrieval.query_packs(few, index, 0.2, 30)
+    assert packs.count() <= 6 and sorted(i for r in packs.collect() for i in r.ids) == list(range(len(queries)))
+    assert "vectors" not in retrieval.pack_visits(packs, index, 0.2).columns
+    monkeypatch.setattr(retrieval, "PACK_BYTES", 30 * 8 * docs.shape[1])
+    got = retrieval.vector_retrieve(few, frame(spark, docs, "row"), 7, 0.2, 256).collect()
+    assert {(r.query_id, r["rank"]): r.row for r in got} == brute(queries, docs, 7, 0.2)
