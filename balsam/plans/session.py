@@ -4,8 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+STATIC, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Under these names a session keeps what the cluster had set.
+BEFORE = {STATIC: "balsam.cluster.static", MEASURED: "balsam.cluster.measured"}
+# A size that is only estimated counts compressed files and no rows that explode makes.
+ESTIMATED_LIMIT = "1MB"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Fix the time zone to UTC, as the timestamp rules need; all else stays as the cluster has it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, kept in BEFORE.items():
+        value = spark.conf.get(kept, None)
+        if value is not None:
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+            spark.conf.unset(kept)
+    return spark
+
+
+def prepare_tables(spark: SparkSession) -> SparkSession:
+    """`prepare`, and broadcast what is estimated only if it is tiny; what a shuffle measured, as the cluster has it."""
+    prepare(spark)
+    static, measured = spark.conf.get(STATIC), spark.conf.get(MEASURED, None)
+    if not static.startswith("-"):
+        spark.conf.set(BEFORE[STATIC], static)
+        spark.conf.set(BEFORE[MEASURED], measured or "")
+        spark.conf.set(STATIC, ESTIMATED_LIMIT)
+        spark.conf.set(MEASURED, measured or static)
     return spark
