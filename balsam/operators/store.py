@@ -433,7 +433,11 @@ def cached_search(queries: DataFrame, searches: DataFrame, results: DataFrame, a
     )
 
 
-def clamp_limit(c: Column | str, low: int = 1, high: int = 10) -> Column:
+# Fixed value: rows a search shows at most.
+MAX_LIMIT = 10
+
+
+def clamp_limit(c: Column | str, low: int = 1, high: int = MAX_LIMIT) -> Column:
     return F.greatest(F.lit(low), F.least(F.col(c) if isinstance(c, str) else c, F.lit(high)))
 
 
@@ -447,7 +451,9 @@ def resolve_searches(
     (query_id, product_id, rank), then an empty search_cache miss.  A later stage only sees the
     queries that no earlier stage answered."""
     asked = queries.withColumn("result_limit", clamp_limit("result_limit"))
-    cached = cached_search(asked, searches, results, as_of)
+    # A result's place depends on its key alone, so a key is cut to the largest limit before any query meets it.
+    shown = top_k(results, "query_key", [F.col("rank").asc_nulls_last(), "product_id"], MAX_LIMIT)
+    cached = cached_search(asked, searches, shown, as_of)
     first = cached.select("query_id", "product_id", "rank", F.lit("search_cache").alias("provider"),
                           F.lit(True).alias("cache_hit"))
     missed = asked.join(cached.select("query_id").distinct(), "query_id", "left_anti")
@@ -468,7 +474,7 @@ def resolve_searches(
     # Ranks may have gaps, so the cut counts rows; the largest allowed limit bounds it.
     cut = top_k(
         out.join(asked.select("query_id", "result_limit"), "query_id"), "query_id",
-        [F.col("rank").asc_nulls_last(), "product_id"], 10, rank_col="shown_at")
+        [F.col("rank").asc_nulls_last(), "product_id"], MAX_LIMIT, rank_col="shown_at")
     return cut.filter("shown_at <= result_limit").drop("result_limit")
 
 
