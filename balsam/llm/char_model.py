@@ -18,13 +18,15 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balsam.llm.common import chunks, discard, mix64, settle
+from balsam.llm.common import CHUNK_BYTES, chunks, discard, mix64, settle
 
 ORDER, BITS = 5, 21
 #: N-grams of two characters and more that stand once are not stored: a text does not vouch for itself.
 LEAST_COUNT = 2
 #: Bytes of text of one language that are scored together, give or take one text.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are counted at once, and n-grams of such runs that wait to be added up (memory only).
+GRAM_BYTES, MERGED_GRAMS = 1 << 19, 1 << 18
 #: Characters of the corpus for each shard of the model.
 SHARD_CHARS = 32 << 20
 _CHAR = (1 << BITS) - 1
@@ -42,15 +44,24 @@ def points_of(x: np.ndarray) -> np.ndarray:
 
 def packed_grams(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-gram (hi, lo) of ORDER characters that ends at each character, and the texts' offsets among them."""
-    points = points_of(x)
+    points = points_of(x).astype(np.int64)
     bounds = np.append(0, np.cumsum((x & 0xC0) != 0x80))[at]
-    lead = ORDER - 1
-    padded = np.full(len(points) + lead * (len(at) - 1), _START, np.int64)
-    texts = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
-    place = np.arange(len(points)) + lead * (texts + 1)
-    padded[place] = points
-    back = lambda i: padded[place - i] << np.int64(BITS * (i % 3))
-    return back(3) | back(4), back(0) | back(1) | back(2), bounds
+
+    def back(i: int) -> np.ndarray:
+        out = np.full(len(points), _START, np.int64)
+        out[i:] = points[: max(len(points) - i, 0)]
+        for j in range(i):  # what stands before a text is no character of the one before it
+            early = bounds[:-1] + j
+            out[early[early < bounds[1:]]] = _START
+        out <<= np.int64(BITS * (i % 3))
+        return out
+
+    hi = back(3)
+    hi |= back(4)
+    lo = back(1)
+    lo |= back(2)
+    lo |= points
+    return hi, lo, bounds
 
 
 def shorter(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +78,34 @@ def gram_hash(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return mix64(mix64(hi.astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25) + lo.astype(np.uint64))
 
 
-def distinct_grams(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct (hi, lo), how often each stands (or the sums of `counts`), and the place of every row among them."""
-    _, at, which, n = np.unique(gram_hash(hi, lo), return_index=True, return_inverse=True, return_counts=True)
-    if not (np.array_equal(hi[at][which], hi) and np.array_equal(lo[at][which], lo)):  # two n-grams share a hash
-        order = np.lexsort((lo, hi))
-        new = np.append(True, (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0))
-        at, which = order[new], np.empty(len(hi), np.int64)
-        which[order] = np.cumsum(new) - 1
-        n = np.bincount(which)
-    if counts is not None:
-        n = np.bincount(which, counts, len(at)).astype(np.int64)
-    return hi[at], lo[at], n, which
+def distinct_grams(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray | None = None, places: bool = True) -> tuple[np.ndarray, ...]:
+    """Distinct (hi, lo), how often each stands (or the sums of `counts`), and the place of every row among them (empty
+    unless `places`).  Rows are sorted by their hashes, whose last bits give way to the row's number."""
+    n = len(hi)
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    keyed = gram_hash(hi, lo)
+    keyed &= ~low
+    keyed |= np.arange(n, dtype=np.uint64)
+    keyed.sort(kind="quicksort" if counts is None else "stable")  # what is added up comes in sorted runs
+    order = (keyed & low).astype(np.int64)
+    keyed &= ~low
+    shi, slo = hi[order], lo[order]
+    new = np.ones(n, bool)
+    new[1:] = (shi[1:] != shi[:-1]) | (slo[1:] != slo[:-1])
+    mixed = new[1:] & (keyed[1:] == keyed[:-1])
+    if mixed.any():  # different n-grams share what is left of a hash: these runs are sorted by the n-grams themselves
+        run = np.cumsum(np.append(0, keyed[1:] != keyed[:-1]))
+        rows = np.flatnonzero(np.isin(run, run[1:][mixed]))
+        order[rows] = order[rows][np.lexsort((slo[rows], shi[rows], run[rows]))]
+        shi, slo = hi[order], lo[order]
+        new[1:] = (shi[1:] != shi[:-1]) | (slo[1:] != slo[:-1])
+    del keyed
+    starts = np.flatnonzero(new)
+    sums = np.diff(np.append(starts, n)) if counts is None or not n else np.add.reduceat(counts[order], starts)
+    which = np.empty(n if places else 0, np.int32 if n < 1 << 31 else np.int64)
+    if places:
+        which[order] = np.cumsum(new, dtype=which.dtype) - 1
+    return shi[starts], slo[starts], sums, which
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -205,25 +232,32 @@ class Dealer:
 class Block:
     """The distinct n-grams of a block's texts, shard by shard and in order within; the same texts give the same order."""
 
-    def __init__(self, lang: int, shards: int):
-        self.lang, self.shards, self.parts = lang, shards, []
+    def __init__(self, lang: int, shards: int, places: bool = True):
+        self.lang, self.shards, self.wanted, self.parts = lang, shards, places, []
 
     def add(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """First and end row, bytes, offsets and offsets in characters of each chunk that is added."""
-        for first, end, x, at in chunks(texts):
+        for first, end, x, at in chunks(texts, CHUNK_BYTES if self.wanted else GRAM_BYTES):
             hi, lo, bounds = packed_grams(x, at)
-            *part, which = distinct_grams(hi | np.int64(self.lang << 2 * BITS), lo)
-            self.parts.append((*part, which.astype(np.int32)))
+            hi |= np.int64(self.lang << 2 * BITS)
+            self.parts.append(distinct_grams(hi, lo, places=self.wanted))
+            del hi, lo
+            if not self.wanted and sum(len(p[0]) for p in self.parts[1:]) > max(len(self.parts[0][0]), MERGED_GRAMS):
+                self.parts = [distinct_grams(*self._joined(), places=False)]
             yield first, end, x, at, bounds
 
+    def _joined(self) -> list[np.ndarray]:
+        return [np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(3)]
+
     def close(self) -> None:
-        """Set hi, lo, n, the shards' offsets, and for each chunk the place of every character's n-gram."""
-        joined = [np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(3)]
-        hi, lo, n, which = distinct_grams(*joined)
+        """Set hi, lo, n, the shards' offsets, and for each chunk the place of every character's n-gram, if wanted."""
+        hi, lo, n, which = distinct_grams(*self._joined(), places=self.wanted)
         shard = (gram_hash(hi, lo) % np.uint64(self.shards)).astype(np.int64)
         order = np.lexsort((lo, hi, shard))
         self.hi, self.lo, self.n = hi[order], lo[order], n[order]
         self.offsets = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        if not self.wanted:
+            return
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         cuts = np.cumsum([0] + [len(p[0]) for p in self.parts])
@@ -248,9 +282,9 @@ def count_grams(docs: DataFrame, languages: Broadcast, shards: int) -> DataFrame
             for lang, number, rows in dealer.deal(batch):
                 if lang in held and held[lang][0] != number:
                     yield from out(*held.pop(lang))
-                block = held.setdefault(lang, (number, Block(lang, shards)))[1]
+                block = held.setdefault(lang, (number, Block(lang, shards, places=False)))[1]
                 for _ in block.add(rows.column(1)):
-                    block.parts[-1] = (*block.parts[-1][:3], np.zeros(0, np.int32))  # places are not wanted here
+                    pass
         for number, block in held.values():
             yield from out(number, block)
 
@@ -268,7 +302,7 @@ def count_grams(docs: DataFrame, languages: Broadcast, shards: int) -> DataFrame
 def _sum_shard(rows: pa.Table) -> pa.Table:
     """The n-grams (shard, hi, lo, n) of all COUNTED rows of a shard."""
     parts = [unpack(g, 3, n) for n, g in zip(rows.column("n").to_pylist(), rows.column("grams").to_pylist(), strict=True)]
-    hi, lo, n, _ = distinct_grams(*np.concatenate(parts, axis=1))
+    hi, lo, n, _ = distinct_grams(*np.concatenate(parts, axis=1), places=False)
     return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()] * len(hi), pa.int32()), "hi": hi, "lo": lo, "n": n})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from balsam.functions.settle import settle
 
-__all__ = ["chunks", "components", "documents", "mix64", "settle", "discard", "word_hashes", "word_spans"]
+__all__ = ["chunks", "components", "documents", "mix64", "release_shuffles", "settle", "discard", "word_hashes", "word_spans"]
 
 #: Bytes of text that a task works on at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -32,6 +33,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text or binary column (null: empty) and its n + 1 offsets."""
     kind = pa.large_string() if pa.types.is_string(column.type) else column.type

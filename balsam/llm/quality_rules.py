@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balsam.llm.char_model import SHARD_CHARS, Block, Dealer, count_grams, derive_model, learn_languages, score_blocks
-from balsam.llm.common import chunks, discard, mix64, settle, word_hashes, word_spans
+from balsam.llm.common import chunks, discard, mix64, release_shuffles, settle, word_hashes, word_spans
 
 #: A document is out of its language's band beyond so many standard deviations of its side from the median; a side's
 #: standard deviation is read off its outer tenth.
@@ -88,7 +88,10 @@ def _measure(docs: DataFrame, columns: list[str], stored: bool) -> DataFrame:
     languages = docs.sparkSession.sparkContext.broadcast(learned)
     counted = settle(count_grams(source, languages, shards))
     model = derive_model(counted, fitted)
-    scores = score_blocks(counted, model.scores)
+    scores = settle(score_blocks(counted, model.scores))
+    model.discard()
+    discard(counted)
+    release_shuffles(docs.sparkSession)  # before the texts travel
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(languages.value)
@@ -132,8 +135,7 @@ def _measure(docs: DataFrame, columns: list[str], stored: bool) -> DataFrame:
     dealt = source.mapInArrow(deal, "block bigint, fitted int, rows binary")
     out = dealt.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(run, schema)
     out = settle(out.select(F.col("fitted").alias("__fitted"), *[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], *added))
-    model.discard()
-    discard(counted, *([] if stored else [source]))
+    discard(scores, *([] if stored else [source]))
     return out
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from balsam.functions.settle import checkpoint_dir
 from balsam.llm import (
     bpe, char_model, embedding_dedup, line_dedup, minhash, mixing, pii, quality_rules, rule_ensemble, sharding, suffix_dedup,
 )
@@ -382,6 +386,39 @@ def test_grams_that_share_a_hash_stay_apart(monkeypatch):
     assert (a[which] == hi).all() and (b[which] == lo).all() and len(a) == 4 and n.sum() == 5 and n[which[0]] == 2
 
 
+def test_counting_holds_no_more_than_a_few_runs_of_grams():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(4_000)]
+    texts = pa.array([" ".join(rng.choice(words, 75_000)) for _ in range(20)])  # 0.5 MB each
+    block = char_model.Block(0, 8)
+    block.wanted = False
+    tracemalloc.start()
+    try:
+        for _ in block.add(texts):
+            pass
+        block.close()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert block.n.sum() == sum(len(t) for t in texts.to_pylist())
+    assert peak < 64 << 20
+
+
+def test_only_scores_are_on_disk_when_the_texts_travel(spark, monkeypatch):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    tables, seen = lambda: set(glob.glob(f"{folder}/settled-*")), []
+    before, plain = tables(), quality_rules.settle
+
+    def watched(df):
+        if "log_perplexity" in df.columns:
+            seen.append(len(tables() - before))
+        return plain(df)
+
+    monkeypatch.setattr(quality_rules, "settle", watched)
+    assert quality_rules.apply_rules(docs_of(spark), stored=True).count() > 0
+    assert seen == [1]
+
+
 def test_perplexity_bands_reject_planted_texts_on_both_sides_and_keep_wrong_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     whole = {r.doc_id: r for r in docs.collect()}
