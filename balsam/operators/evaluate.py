@@ -66,12 +66,24 @@ def _count_correct() -> Column:
     return F.coalesce("match_count", F.lit(0)) == F.coalesce("expected_match_count", F.lit(0))
 
 
-def regulation_metrics() -> dict[str, Column]:
+def counted_equal(counts: Column, wanted: Column) -> Column:
+    """(value, n) entries, added up by value, are the values of a list with their multiplicities, in any order."""
+    values = F.array_distinct(F.concat(F.transform(counts, lambda c: c["value"]), wanted))
+    return F.forall(values, lambda v: F.aggregate(
+        F.filter(counts, lambda c: c["value"].eqNullSafe(v)), F.lit(0).cast("bigint"), lambda total, c: total + c["n"],
+    ) == F.size(F.filter(wanted, lambda w: w.eqNullSafe(v))))
+
+
+def regulation_metrics(counted: bool = False) -> dict[str, Column]:
+    """Lists of matches against the gold; `counted`: type_counts (value, n) stands for the list of types, and the other
+    lists hold each value once, which their metrics cannot tell from all."""
+    types = F.coalesce("type_counts", F.array().cast("array<struct<value:string,n:bigint>>")) if counted else None
     flags = F.coalesce("decision_basis_flags", F.array().cast("array<boolean>"))
     return {
         "count_correct": _count_correct(),
         "names_correct": set_equal(_list("matched_names"), _list("expected_names")),
-        "types_correct": multiset_equal(_list("regulation_types"), _list("expected_regulation_types")),
+        "types_correct": counted_equal(types, _list("expected_regulation_types")) if counted else multiset_equal(
+            _list("regulation_types"), _list("expected_regulation_types")),
         "source_correct": _all_equal(_list("source_ids"), F.col("expected_source_id")),
         "basis_correct": (F.size(flags) == 0) | (
             F.forall(flags, lambda f: f) == F.coalesce("expected_has_decision_basis", F.lit(True))),

@@ -80,6 +80,30 @@ def match_regulations(
     return _match(items, regulation_index(registry, seq), list(owner), seq)
 
 
+def regulation_totals(
+    items: DataFrame, registry: DataFrame, basis: Column, owner: Sequence[str] = ("product_id",), seq: str = "seq"
+) -> DataFrame:
+    """What `match_regulations` lists per owner, added up: match_count, type_counts (value, n), and the different
+    matched_names, source_ids, match_types and decision_basis_flags (`basis` of each match).
+
+    Rows of the registry are added up per key first, so an item meets one row however many share its name."""
+    parts = {"matched_names": F.col("matched_name"), "source_ids": F.col("source_id"), "match_types": F.col("match_type"),
+             "decision_basis_flags": basis}
+    index = regulation_index(registry, seq)
+    types = index.groupBy("key", "regulation_type").agg(
+        F.count("*").alias("n"), *[F.collect_set(c).alias(name) for name, c in parts.items()])
+
+    def union(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+
+    counted = F.struct(F.col("regulation_type").alias("value"), "n")
+    per_key = types.groupBy("key").agg(
+        F.sum("n").alias("n"), F.collect_list(F.when(F.col("regulation_type").isNotNull(), counted)).alias("type_counts"),
+        *map(union, parts))
+    return _items(items, list(owner)).select(*owner, "key").join(per_key, "key").groupBy(*owner).agg(
+        F.sum("n").alias("match_count"), F.flatten(F.collect_list("type_counts")).alias("type_counts"), *map(union, parts))
+
+
 def match_allergens(
     items: DataFrame, registry: DataFrame, owner: Sequence[str] = ("product_id",), seq: str = "seq"
 ) -> DataFrame:

@@ -329,12 +329,6 @@ def _(t):
     return evaluate.evaluate(outputs, gold, evaluate.routing_metrics())
 
 
-def _matches(t, fn, registry):
-    from ..operators import matching
-
-    return getattr(matching, fn)(t.items, registry)
-
-
 @query("evaluate_regulation", f"""
 WITH {_REG_INDEX}, {_ITEMS},
 m AS (SELECT product_id, count(*) AS n, bool_and(matched_name = 'red bolt Brand#1') AS named,
@@ -348,19 +342,16 @@ c AS (SELECT product_id AS case_id, coalesce(n, 0) = 5 AS count_correct, coalesc
       FROM {{requests}} LEFT JOIN m USING (product_id))
 SELECT *, count_correct AND names_correct AND types_correct AND source_correct AND basis_correct AS case_correct FROM c""")
 def _(t):
-    m = _matches(t, "match_regulations", t.regulations)
-    outputs = m.groupBy(F.col("product_id").alias("case_id")).agg(
-        F.count("*").alias("match_count"), F.collect_list("matched_name").alias("matched_names"),
-        F.collect_list("regulation_type").alias("regulation_types"), F.collect_list("source_id").alias("source_ids"),
-        F.collect_list("match_type").alias("match_types"),
-        F.collect_list(quality.has_basis()).alias("decision_basis_flags"))
+    from ..operators.matching import regulation_totals
+
+    outputs = regulation_totals(t.items, t.regulations, quality.has_basis()).withColumnRenamed("product_id", "case_id")
     gold = t.requests.select(
         F.col("product_id").alias("case_id"), F.lit(5).alias("expected_match_count"),
         F.array(F.lit("red bolt Brand#1")).alias("expected_names"),
         F.array(F.lit("restricted")).alias("expected_regulation_types"),
         F.lit("SRC-1").alias("expected_source_id"), F.lit(True).alias("expected_has_decision_basis"))
-    return evaluate.evaluate(outputs, gold, evaluate.regulation_metrics()).select(
-        "case_id", *evaluate.regulation_metrics(), "case_correct")
+    metrics = evaluate.regulation_metrics(counted=True)
+    return evaluate.evaluate(outputs, gold, metrics).select("case_id", *metrics, "case_correct")
 
 
 # Gold that repeats the outputs for even products and differs for odd ones.

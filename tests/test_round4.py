@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from balsam.operators import store
+from balsam.operators import evaluate, matching, quality, store
 from balsam.plans import session
 
 
@@ -42,3 +44,33 @@ def test_cached_results_are_cut_per_key_before_queries_meet_them(spark, monkeypa
     out = store.resolve_searches(asked, products, searches, results, states, "2020-01-01 00:00:00").collect()
     assert met == [10] and len(out) == 400
     assert sorted(r.product_id for r in out if r.query_id == 7) == list(range(290, 300))
+
+
+def test_regulation_totals_meet_one_row_per_item_and_agree_with_the_lists(spark):
+    registry = spark.sql("""SELECT id AS seq, 'Red Bolt' AS ingredient_kor_name, IF(id % 4 = 0, '', concat('c', id % 2)) AS chemical_name,
+        CASE id % 3 WHEN 0 THEN 'restricted' WHEN 1 THEN 'prohibited' END AS regulation_type, 'x' AS category, '1' AS cas_no, id AS source_row,
+        concat('S', id % 2) AS source_id, IF(id % 5 = 0, '1%', NULL) AS max_concentration, '' AS product_scope,
+        CAST(NULL AS STRING) AS use_conditions, '' AS warning_text FROM range(40)""")
+    items = spark.sql("""SELECT id % 5 AS product_id, id AS position, element_at(array('red bolt', 'C1', 'c0', 'none'), CAST(id % 4 + 1 AS INT)) AS name
+        FROM range(17)""")
+    lists = matching.match_regulations(items, registry).withColumn("basis", quality.has_basis()).collect()
+    totals = {r.product_id: r for r in matching.regulation_totals(items, registry, quality.has_basis()).collect()}
+    assert totals.keys() == {r.product_id for r in lists} and len(totals) == 5
+    for product, r in totals.items():
+        own = [m for m in lists if m.product_id == product]
+        counts = Counter()
+        for c in r.type_counts:
+            counts[c.value] += c.n
+        assert r.match_count == len(own) and counts == Counter(m.regulation_type for m in own if m.regulation_type)
+        assert sorted(r.matched_names) == sorted({m.matched_name for m in own}) and sorted(r.source_ids) == sorted({m.source_id for m in own})
+        assert sorted(r.match_types) == sorted({m.match_type for m in own}) and set(r.decision_basis_flags) == {m.basis for m in own}
+        assert len(r.type_counts) <= 2 * 4  # two types a key, however many rows of the registry share it
+
+
+def test_counted_lists_compare_as_multisets(spark):
+    kind = "array<struct<value:string,n:bigint>>"
+    cases = [([("a", 1), ("a", 1), ("b", 1)], ["b", "a", "a"], True), ([("a", 1)], ["a", "a"], False), ([("a", 1)], ["a", "b"], False),
+             ([("a", 1), ("b", 1)], ["a"], False), ([], [], True), ([], ["a"], False), ([("a", 3_000_000_000)], ["a"], False)]
+    got = spark.createDataFrame([(i, c, w) for i, (c, w, _) in enumerate(cases)], f"i int, c {kind}, w array<string>").select(
+        "i", evaluate.counted_equal(F.col("c"), F.col("w")).alias("same")).collect()
+    assert {r.i: r.same for r in got} == {i: same for i, (_, _, same) in enumerate(cases)}
