@@ -74,3 +74,20 @@ def test_counted_lists_compare_as_multisets(spark):
     got = spark.createDataFrame([(i, c, w) for i, (c, w, _) in enumerate(cases)], f"i int, c {kind}, w array<string>").select(
         "i", evaluate.counted_equal(F.col("c"), F.col("w")).alias("same")).collect()
     assert {r.i: r.same for r in got} == {i: same for i, (_, _, same) in enumerate(cases)}
+
+
+def test_shuffle_partitions_grow_with_the_files_and_tasks_do_not(spark, tmp_path, monkeypatch):
+    before = [spark.conf.get(n, None) for n in session.BEFORE]
+    monkeypatch.setattr(session, "INPUT_BYTES", 1_000)
+    (tmp_path / "small.parquet").write_bytes(b"x" * 900)
+    (tmp_path / "large.parquet").mkdir()
+    (tmp_path / "large.parquet" / "part").write_bytes(b"x" * 999_100)
+    try:
+        for _ in range(2):
+            session.prepare_tables(spark, str(tmp_path))
+            assert spark.conf.get(session.PARTITIONS) == "1000" and spark.conf.get(session.ADVISORY) == str(session.TASK_BYTES)
+        rows = spark.range(3_000_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("name")).repartition("id")
+        assert rows.rdd.getNumPartitions() > 12  # 200 MB of names; no task takes more than 8
+    finally:
+        session.prepare(spark)
+    assert [spark.conf.get(n, None) for n in session.BEFORE] == before
