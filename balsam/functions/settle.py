@@ -31,3 +31,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the session's shuffle partitions, for work that is costly per row.
+
+    A compressed file of many rows is read by as many tasks as it has row groups, however many cores wait."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
-from ..functions.text import collapse, strip
+from ..functions.settle import spread
+from ..functions.text import collapse, let, strip
 from ..operators.windows import keep_first
 
 CORRUPT = "_corrupt_record"
@@ -169,26 +170,26 @@ def read_manifest(spark: SparkSession, path: str, **rules) -> tuple[DataFrame, D
 def html_text(c: Column | str) -> Column:
     """Text of an HTML fragment: tags out, all entities decoded, white space collapsed.
 
-    Only texts that hold an entity go to Python."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
-    return collapse(F.when(out.contains("&"), _unescape(F.when(out.contains("&"), out))).otherwise(out))
+    The fragment is an expression that is costly to find, so it goes to Python whole: testing it for
+    entities first would find it again for each test."""
+    return collapse(_unescape(F.regexp_replace(c, "<[^>]*>", "")))
 
 
 @F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x).replace("\xa0", " "), na_action="ignore")
+    return s.map(lambda x: html.unescape(x).replace("\xa0", " ") if "&" in x else x, na_action="ignore")
 
 
 def attribute(c: str, name: str, tag: str) -> Column:
     """First value of an attribute of a tag (a pattern for the tag's own text)."""
     found = F.regexp_extract(c, rf"(?is)<{tag}[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return F.nullif(strip(found), F.lit(""))
+    return let(strip(found), lambda x: F.nullif(x, F.lit("")))
 
 
 def class_text(c: str, cls: str) -> Column:
     """Text of the first element that has a class."""
     mark = rf"(?is)<([a-z0-9]+)[^>]*?\bclass\s*=\s*[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"
-    return F.nullif(html_text(F.regexp_extract(c, mark, 2)), F.lit(""))
+    return let(html_text(F.regexp_extract(c, mark, 2)), lambda x: F.nullif(x, F.lit("")))
 
 
 def extract_page_fields(
@@ -204,7 +205,8 @@ def extract_page_fields(
         return F.when(u.rlike("^(?i:https?)://"), u).when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(
             u.startswith("/"), F.concat(F.lit(base_url), u)).otherwise(F.concat(F.lit(base_url + "/"), u))
 
-    rows = pages.withColumns({f"__{k}": v for k, v in rules.items()})
+    # Small compressed files are read by few tasks; the patterns of a row take far longer than to deal it.
+    rows = spread(pages).withColumns({f"__{k}": v for k, v in rules.items()})
     url = absolute(F.col("__product_url"))
     sale = keys.parse_price("__sale_price")
     keep = [c for c in pages.columns if c != html]
