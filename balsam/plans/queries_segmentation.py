@@ -3,6 +3,7 @@ sections cut out of a text must be those rows again; that is what the SQL side s
 
 from pyspark.sql import functions as F
 
+from ..functions.settle import settle
 from ..operators import hierarchy, segmentation
 from . import views  # noqa: F401
 from .duck import clean, comma_chunks
@@ -369,7 +370,7 @@ SELECT DISTINCT key FROM (SELECT replace(p_name, ' ', '') AS key FROM {part} UNI
 
 
 def _formula_sections(t):
-    return hierarchy.build_sections(hierarchy.comma_chunks(t.formula_docs))
+    return settle(hierarchy.build_sections(hierarchy.comma_chunks(t.formula_docs)))
 
 
 @query("formula_boundaries", """
@@ -393,7 +394,7 @@ SELECT doc_id, CASE WHEN marks < 2 THEN 'none' WHEN (SELECT min(known) FROM body
 FROM d""")
 def _(t):
     sections = _formula_sections(t)
-    bounds = hierarchy.formula_boundaries(sections, t.formula_dictionary)
+    bounds = settle(hierarchy.formula_boundaries(sections, t.formula_dictionary))
     return hierarchy.evaluate_formulas(sections, bounds, t.formula_dictionary).select(
         "doc_id", "outcome", F.when(F.col("subsections").isNotNull(), F.size("subsections")).alias("n_bodies"))
 

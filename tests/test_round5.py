@@ -12,3 +12,9 @@ def test_card_fields_are_found_once_and_by_many_tasks(spark):
     for mark in ("tx_name", "tx_brand", "tx_org", "tx_cur"):
         assert text.count(f"{mark}(?:") == 1
     assert "RoundRobinPartitioning" in text
+
+
+def test_sections_of_formulas_are_built_once(spark):
+    df = contract.queries()["evaluate_formulas"](spark, SF_DIR)
+    # Sections and boundaries are read again where they are used, not built again from the parts.
+    assert "p_partkey" not in df._jdf.queryExecution().executedPlan().toString()
