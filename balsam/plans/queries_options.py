@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.settle import settle
 from ..operators import hierarchy, options, segmentation
 from . import views  # noqa: F401
 from .queries_segmentation import _CANON, _GOOD
@@ -20,7 +21,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 
 
 def _parsers(t):
-    rows = t.parser_rows
+    rows = settle(t.parser_rows)
     p = rows.select("product_id", "position", "option_id", F.col("p_status").alias("status"),
                     F.array("item", F.lit("x")).alias("ingredients"))
     c = rows.filter("NOT lost AND product_id % 50 > 0").select(
@@ -60,7 +61,7 @@ FROM (SELECT r.product_id, option_id, item, CASE WHEN reason LIKE 'candidate_inc
       FROM {{parser_rows}} r JOIN chosen USING (product_id) WHERE reason <> 'duplicate_option_id_detected')""")
 def _(t):
     p, c = _parsers(t)
-    selection = options.select_safe_result(p, c).filter("reason <> 'duplicate_option_id_detected'")
+    selection = settle(options.select_safe_result(p, c).filter("reason <> 'duplicate_option_id_detected'"))
     canonical = p.join(selection, "product_id", "left_semi").select(
         "product_id", F.col("option_id").alias("option_key"), F.lit("n").alias("option_name")).distinct()
     return options.effective_options(canonical, p, c, selection).select(

@@ -18,3 +18,8 @@ def test_sections_of_formulas_are_built_once(spark):
     df = contract.queries()["evaluate_formulas"](spark, SF_DIR)
     # Sections and boundaries are read again where they are used, not built again from the parts.
     assert "p_partkey" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_effective_options_choose_a_parser_once(spark):
+    df = contract.queries()["effective_options"](spark, SF_DIR)
+    assert "l_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
