@@ -6,14 +6,17 @@ from pyspark.sql import SparkSession
 
 STATIC, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 PARTITIONS, ADVISORY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Under these names a session keeps what the cluster had set.
 BEFORE = {STATIC: "balsam.cluster.static", MEASURED: "balsam.cluster.measured",
-          PARTITIONS: "balsam.cluster.partitions", ADVISORY: "balsam.cluster.advisory"}
+          PARTITIONS: "balsam.cluster.partitions", ADVISORY: "balsam.cluster.advisory", BATCH: "balsam.cluster.batch"}
 # A size that is only estimated counts compressed files and no rows that explode makes.
 ESTIMATED_LIMIT = "1MB"
 # Bytes of input files for each shuffle partition that a stage starts with, and compressed bytes that are joined to one task:
 # sorts of a chain of joins hold a hundred times as much.
 INPUT_BYTES, TASK_BYTES = 1 << 20, 8 << 20
+# Rows that a Python worker holds at once: a document's keys and spans take some hundred times their bytes as Python objects.
+BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,8 +40,12 @@ def prepare_tables(spark: SparkSession, folder: str | None = None) -> SparkSessi
     """`prepare`, and broadcast what is estimated only if it is tiny; what a shuffle measured, as the cluster has it.
 
     Shuffles start with partitions in proportion to the files of `folder`, and tasks take no more than TASK_BYTES of them
-    where they can be told apart, so a task's memory does not grow with the tables."""
+    where they can be told apart, so a task's memory does not grow with the tables. Python workers get BATCH_ROWS at once."""
     prepare(spark)
+    batch = int(spark.conf.get(BATCH))
+    if not 0 < batch <= BATCH_ROWS:
+        spark.conf.set(BEFORE[BATCH], str(batch))
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     static, measured = spark.conf.get(STATIC), spark.conf.get(MEASURED, None)
     if not static.startswith("-"):
         spark.conf.set(BEFORE[STATIC], static)

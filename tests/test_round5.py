@@ -23,3 +23,14 @@ def test_sections_of_formulas_are_built_once(spark):
 def test_effective_options_choose_a_parser_once(spark):
     df = contract.queries()["effective_options"](spark, SF_DIR)
     assert "l_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_workers_hold_few_rows_and_the_cluster_keeps_its_setting(spark):
+    from balsam.plans import session
+
+    before = session.prepare(spark).conf.get(session.BATCH)
+    session.prepare_tables(spark)
+    assert int(spark.conf.get(session.BATCH)) <= 1000
+    session.prepare_tables(spark)
+    session.prepare(spark)
+    assert spark.conf.get(session.BATCH) == before
