@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 
 # The characters that count as white space (Unicode space separators plus the
 # control characters U+0009-U+000D, U+001C-U+001F and U+0085), ready for a character class.
-SPACE_CHARS = (
+SPACE_RANGES = (
     "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The small ones one by one: Java looks those up and walks a class's ranges.
+SPACE_CHARS = SPACE_RANGES.replace("\t-\r\x1c- ", "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
 SPACE = f"[{SPACE_CHARS}]"
 SPACES = f"{SPACE}+"
 
@@ -36,6 +38,8 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column | str, chars: str = SPACE_CHARS) -> Column:
     """Trim a character class from both ends."""
+    if chars == SPACE_CHARS:  # no other class holds every line end, where `$` would stop
+        return F.regexp_extract(col(c), f"(?s)^{SPACE}*+(.*[^{SPACE_CHARS}])", 1)
     return F.regexp_replace(col(c), f"^[{chars}]+|[{chars}]+$", "")
 
 
@@ -55,7 +59,7 @@ def blank_to_null(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(strip(c), F.lit("")) == ""
+    return F.coalesce(~col(c).rlike(f"[^{SPACE_CHARS}]"), F.lit(True))
 
 
 def _non_ascii(c: Column) -> Column:
@@ -140,11 +144,15 @@ def first_occurrences(arr: Column, key=None) -> Column:
     """Order-preserving distinct of an array by a key expression (not null)."""
     if key is None:
         return F.array_distinct(arr)
-    keyed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    # Equal keys stand side by side once sorted; the first of each run goes back to its place.
-    return let(F.array_sort(keyed), lambda s: F.transform(F.array_sort(F.transform(
-        F.filter(s, lambda e, n: (n == 0) | (F.get(s, n - 1)["k"] != e["k"])),
-        lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"]))
+
+    def firsts(a: Column, k: Column) -> Column:
+        keyed = F.sort_array(F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+        # Equal keys stand side by side once sorted; the first of each run goes back to its place.
+        return let(keyed, lambda s: F.transform(F.sort_array(F.transform(
+            F.filter(s, lambda e, n: (n == 0) | (F.get(s, n - 1)["k"] != e["k"])), lambda e: e["i"])), lambda i: F.get(a, i)))
+
+    return let(arr, lambda a: let(F.transform(a, key), lambda k: F.when(
+        F.size(F.array_distinct(k)) == F.size(k), a).otherwise(firsts(a, k))))
 
 
 # --- splitting ---------------------------------------------------------------------------
@@ -237,10 +245,12 @@ _FOLDS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ"
 def casefolded(x: Column) -> Column:
     """A key that two texts share if their case folds are equal: small letters, one sigma, one long s,
     sharp s and ligatures spelled out."""
-    out = F.translate(F.lower(x), "ςſẞ", "σsß")
+    small = F.lower(x)
+    out = F.translate(small, "ςſẞ", "σsß")
     for letter, spelled in _FOLDS.items():
         out = F.replace(out, F.lit(letter), F.lit(spelled))
-    return out
+    # As many bytes as characters: ASCII, which lower-casing folds.
+    return F.when(F.octet_length(x) == F.length(x), small).otherwise(out)
 
 
 def section_ingredients(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.settle import settle
 from ..functions.text import (
-    EDGE_CHARS, SPACE, SPACES, casefolded, first_occurrences, fold, is_blank, let, raw_chunks, strip,
+    EDGE_CHARS, SPACE, SPACE_CHARS, SPACES, casefolded, first_occurrences, fold, is_blank, let, raw_chunks, strip,
 )
 from .segmentation import canonicalize_options
 
@@ -27,7 +27,8 @@ CHUNK_HEADER = (
     r"|\([^\[\]()\],:\r\n]{1,80}\]"
     r"|\{[^{}\[\]()\],:\r\n]{1,80}\]"
 )
-_HEADER = f"(?U)(?:{CHUNK_HEADER})"
+# The text before the first header, and that header.
+_HEADER = f"(?Us)^(.*?)({CHUNK_HEADER})"
 # Numbered formulas, and the thresholds of the formula rules.
 NUMBER_MARK = r"(?U)(?<![0-9A-Za-z가-힣.])(\d{1,2})\.(?=\s)"
 MIN_NUMBERED = 3
@@ -75,10 +76,12 @@ def with_chunk_headers(chunks: DataFrame) -> DataFrame:
         "t_start", F.when(F.col("trimmed") == "", F.col("start")).otherwise(F.col("start") + left))
     return rows.withColumns({
         "t_end": F.col("t_start") + F.length("trimmed"),
-        "header": F.regexp_extract("trimmed", _HEADER, 0),
-        "before": F.get(F.split("trimmed", _HEADER, 2), F.lit(0)),
+        "header": F.regexp_extract("trimmed", _HEADER, 2),
     }).withColumns({
         "has_header": F.col("header") != "",
+        # Not split: that compiles its pattern for each row.
+        "before": F.when(F.col("header") != "", F.regexp_extract("trimmed", _HEADER, 1)).otherwise(F.col("trimmed")),
+    }).withColumns({
         "h_start": F.col("t_start") + F.length("before"),
         "after": F.substr("trimmed", F.length("before") + F.length("header") + 1, F.length("trimmed")),
     }).withColumn("h_end", F.col("h_start") + F.length("header"))
@@ -196,7 +199,7 @@ def formula_boundaries(sections: DataFrame, dictionary: DataFrame) -> DataFrame:
     by = ["doc_id", "section_no", "chunk_index"]
     chunks = sections.filter("raw_header <> ''").select(
         "doc_id", "section_no", F.posexplode(raw_chunks(F.col("body"))).alias("chunk_index", "chunk")
-    ).withColumns({"words": words, "keys": F.filter(F.split(fold("chunk"), SPACES), lambda x: x != "")})
+    ).withColumns({"words": words, "keys": F.regexp_extract_all(fold("chunk"), F.lit(f"[^{SPACE_CHARS}]+"), F.lit(0))})
     n = F.size("words")
     # A code such as (ci 77019) may follow the name: room for the longest one in the chunk.
     codes = F.regexp_extract_all(F.array_join("keys", ""), F.lit(_CODE_SUFFIX.rstrip("$")), F.lit(0))

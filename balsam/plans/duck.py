@@ -1,7 +1,8 @@
 """DuckDB expressions for the key policies, used only in oracle texts."""
 
-from ..functions.text import SPACE_CHARS, SPACES
+from ..functions.text import SPACE_RANGES as SPACE_CHARS
 
+SPACES = f"[{SPACE_CHARS}]+"
 
 
 def clean(x: str) -> str:
