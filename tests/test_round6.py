@@ -28,3 +28,13 @@ def test_chunk_headers_compile_no_pattern_per_row(spark):
     got = {r.doc_id: (r.before, r.header, r.after, r.h_start) for r in rows.collect()}
     assert got == {0: ("plain", "", "", 5), 1: ("", "[one]", " two [three]", 0), 2: ("a\nb", "★ c :", " d", 3),
                    3: ("x#A1 y ", "#B2", " z", 7), 4: ("😀 ", "{bad]", " tail", 2), 5: ("", "", "", 0)}
+
+
+def test_places_of_related_products_stay_one_row(spark):
+    import re
+
+    import __spark_entry__ as contract
+
+    df = contract.queries()["related_products"](spark, "/root/testdata/sf0.001")
+    # Spellings meet a place as arrays: no rows of a place are dealt again by its columns.
+    assert not re.search(r"hashpartitioning\(request_id#\d+L?, rank#", df._jdf.queryExecution().executedPlan().toString())
