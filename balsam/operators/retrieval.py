@@ -76,9 +76,13 @@ SAMPLE = 4096
 FANOUT = 24
 # A leaf of more than one block is cut into rings of about equal numbers of documents by their angle to its pivot.
 RINGS = 8
-# Bytes of vectors that travel as one row, and the queries of a pack that are scored at a time.
-PACK_BYTES = 4 << 20
+# Bytes of vectors that meet at once, bytes of them in one row (larger rows fill an executor's heap before they are
+# collected), and the queries of a pack that are scored at a time.
+PACK_BYTES = 8 << 20
+ROW_BYTES = 256 << 10
 SCORE_ROWS = 256
+# Neighbouring documents whose best score stands for them when the k-th best score of a query is bounded.
+GROUP = 32
 
 
 def _spread(points: np.ndarray, n: int) -> np.ndarray:
@@ -170,20 +174,22 @@ def vector_index(docs: DataFrame, block_rows: int = 4096) -> Index:
     return Index(tree, dealt, pieces, {x.leaf: (x.root_lo, x.root_hi, x.radius) for x in leaves})
 
 
-def _pack_rows(index: Index) -> int:
-    """Vectors that travel as one packed row."""
-    return max(1, PACK_BYTES // (8 * index.tree.roots.shape[1]))
+def _rows_of(size: int, index: Index) -> int:
+    """Vectors of the index in so many bytes."""
+    return max(1, size // (8 * index.tree.roots.shape[1]))
 
 
 def query_packs(queries: DataFrame, index: Index, threshold: float, per: int) -> DataFrame:
-    """(pack, ids, vectors, leaves): queries of about one place packed up to `per` a row, with the leaves they may visit.
+    """(pack, ids, vectors, leaves): queries of about one place in packs of up to `per`, with the leaves they may visit.
+
+    A pack is one row or more of ROW_BYTES at most, however few rows a Python worker gets at once.
 
     By the triangle inequality on angles a document within `limit` of a query has an angle to any
     pivot within `limit` of the query's.  That rules out leaves by the root's pivot and by their
     own; of each leaf left, the least and largest angle of a visiting query to its pivot are kept."""
     units = _units(queries, "query_id")
     kind = queries.schema["query_id"].dataType.simpleString()
-    tree, limit = index.tree, float(np.arccos(threshold)) + 1e-7
+    tree, limit, piece = index.tree, float(np.arccos(threshold)) + 1e-7, _rows_of(ROW_BYTES, index)
     leaves = np.array(sorted(index.bounds), dtype=np.int64)
     lo, hi, radius = (np.array([index.bounds[x][i] for x in leaves]) for i in range(3))
 
@@ -205,11 +211,13 @@ def query_packs(queries: DataFrame, index: Index, threshold: float, per: int) ->
     def pack(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i in range(0, len(batch), per):
-                some = batch.iloc[i : i + per]
-                x, n = np.stack(some["unit"].to_numpy()), n + 1
-                yield pd.DataFrame({"pack": [f"{part}:{n}"], "ids": [some["query_id"].to_numpy()],
+            i = 0
+            while i < len(batch):
+                some = batch.iloc[i : i + min(piece, per - n % per)]
+                x = np.stack(some["unit"].to_numpy())
+                yield pd.DataFrame({"pack": [f"{part}:{n // per}"], "ids": [some["query_id"].to_numpy()],
                                     "vectors": [x.tobytes()], "leaves": [visited(x)]})
+                n, i = n + len(some), i + len(some)
 
     placed = settle(units.mapInPandas(place, _with(units, "leaf int")))
     parts = max(1, -(-placed.count() // per))
@@ -234,37 +242,50 @@ def block_visits(queries: DataFrame, index: Index, threshold: float) -> DataFram
 
 
 def _bundles(index: Index, per: int) -> tuple[DataFrame, DataFrame]:
-    """(block, bundle) and (bundle, rows, vectors): blocks of neighbouring leaves packed to about `per` documents a row."""
+    """(block, bundle) and (bundle, rows, vectors): blocks of neighbouring leaves in bundles of about `per` documents,
+    each of them one row or more of ROW_BYTES at most."""
     sizes = index.docs.groupBy("block").agg(F.count("*").alias("n"))
     # One row a block: a hundredth of a percent of the documents once blocks are full.
     before = Window.orderBy("leaf", "block").rowsBetween(Window.unboundedPreceding, -1)
     named = settle(index.blocks.join(sizes, "block").select(
         "block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / per).cast("int").alias("bundle")))
 
+    piece = _rows_of(ROW_BYTES, index)
+
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
-        return pd.DataFrame({"bundle": [key[0]], "rows": [rows["row"].to_numpy()],
-                             "vectors": [np.stack(rows["unit"].to_numpy()).tobytes()]})
+        pieces = [rows.iloc[i : i + piece] for i in range(0, len(rows), piece)]
+        return pd.DataFrame({"bundle": key[0], "rows": [p["row"].to_numpy() for p in pieces],
+                             "vectors": [np.stack(p["unit"].to_numpy()).tobytes() for p in pieces]})
 
     packed = index.docs.join(named, "block").select("bundle", "row", "unit").groupBy("bundle").applyInPandas(
         pack, "bundle int, rows array<bigint>, vectors binary")
     return named, packed
 
 
+def _at_least(scores: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """A bound per row that the row's k-th best score reaches: k groups of columns hold a score of at least the k-th best maximum."""
+    least, groups = np.full(len(scores), threshold), scores.shape[1] // GROUP
+    if groups > k:
+        best = scores[:, : groups * GROUP].reshape(len(scores), GROUP, groups).max(axis=1)
+        least = np.maximum(least, np.partition(best, groups - k, axis=1)[:, groups - k])
+    return least
+
+
 def _best_of_bundle(k: int, threshold: float):
+    def vectors(packed: pd.DataFrame, ids: str) -> tuple[np.ndarray, np.ndarray]:
+        names = np.concatenate([np.asarray(x) for x in packed[ids]])
+        return names, np.frombuffer(b"".join(packed["vectors"])).reshape(len(names), -1)
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "row": [], "score": []})
-        ids, rows = np.asarray(left["ids"].iloc[0]), np.asarray(right["rows"].iloc[0])
-        q = np.frombuffer(left["vectors"].iloc[0]).reshape(len(ids), -1)
-        d = np.frombuffer(right["vectors"].iloc[0]).reshape(len(rows), -1)
+        (ids, q), (rows, d) = vectors(left, "ids"), vectors(right, "rows")
+        order = np.argsort(rows)
+        rows, d = rows[order], d[order]
         found = []
         for i in range(0, len(q), SCORE_ROWS):
             scores = q[i : i + SCORE_ROWS] @ d.T
-            least = np.full(len(scores), threshold)
-            if len(rows) > k:
-                least = np.maximum(least, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
-            at, doc = np.nonzero(scores >= least[:, None] - 1e-12)
+            at, doc = np.nonzero(scores >= _at_least(scores, k, threshold)[:, None] - 1e-12)
             # Equal vectors tie, however the product rounds at its edges.
             value = np.round(scores[at, doc], 12)
             order = np.lexsort((doc, -value, at))
@@ -286,21 +307,25 @@ def vector_retrieve(
     sorted by score that is the same as threshold first, then k.
 
     Documents live in the blocks of a tree of pivots taken from the data (`vector_index`).  Queries of
-    one place travel packed as one row, as do the documents of neighbouring blocks; a pair of the two
+    one place travel packed, as do the documents of neighbouring blocks; a pair of the two
     meets only where `pack_visits` leaves a block.  So vectors are sent once a pair of packs, not once
-    a query and block, and a task holds two packs and emits at most k rows a query."""
+    a query and block, and a task scores about one pair, which holds two packs and emits at most k rows
+    a query, however many vectors there are."""
     result = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row long, score double"
     index = vector_index(docs, block_rows)
     if index.tree is None:
         hits = queries.sparkSession.createDataFrame([], result)
     else:
-        per = _pack_rows(index)
+        per = _rows_of(PACK_BYTES, index)
         packs = query_packs(queries, index, threshold, per)
         named, bundles = _bundles(index, per)
         pairs = settle(pack_visits(packs, index, threshold).join(named, "block").select("pack", "bundle").distinct())
+        # What is dealt grows with the pairs, not with the input that shuffles go by.
         by = ["pack", "bundle"]
-        hits = packs.select("pack", "ids", "vectors").join(pairs, "pack").groupBy(*by).cogroup(
-            bundles.join(pairs, "bundle").groupBy(*by)).applyInPandas(_best_of_bundle(k, threshold), result)
+        tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count())
+        left = packs.select("pack", "ids", "vectors").join(pairs, "pack").repartition(tasks, *by)
+        right = bundles.join(pairs, "bundle").repartition(tasks, *by)
+        hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_of_bundle(k, threshold), result)
     best = top_k(hits, "query_id", [F.desc("score"), "row"], k, rank_col="rank")
     return best.select(
         "query_id", "row", F.bround(F.col("score") * 100, 2).alias("match_score"), "rank",

@@ -42,3 +42,46 @@ def test_skin_notices_are_not_dealt_by_owner(spark):
     assert "hashpartitioning(request_id" not in plan
     # Lists are written out once per notice, not per item.
     assert "array_join" not in plan.split("SortMergeJoin")[0]
+
+
+def test_packs_fill_up_whatever_a_worker_gets_at_once_and_travel_in_small_rows(spark, monkeypatch):
+    import numpy as np
+
+    from balsam.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    docs = np.round(rng.normal(size=(400, 16)), 1)
+    docs[200:300] = docs[:100]
+
+    def frame(m, key):
+        return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{key} long, vector array<double>")
+
+    monkeypatch.setattr(retrieval, "ROW_BYTES", 7 * 8 * 16, raising=False)
+    monkeypatch.setattr(retrieval, "PACK_BYTES", 60 * 8 * 16)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        index = retrieval.vector_index(frame(docs, "row"), 64)
+        packs = retrieval.query_packs(frame(docs[:120], "query_id"), index, 0.2, 60).collect()
+        got = retrieval.vector_retrieve(frame(docs[:120], "query_id"), frame(docs, "row"), 5, 0.2, 64).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(i for r in packs for i in r.ids) == list(range(120))
+    # Two ranges of about 60 queries, each of one pack or two; no row holds more than 7 vectors.
+    assert len({r.pack for r in packs}) <= 4 and max(len(r.vectors) for r in packs) <= 7 * 8 * 16
+    unit = docs / np.linalg.norm(docs, axis=1, keepdims=True)
+    scores = np.round(unit[:120] @ unit.T, 12)
+    want = {(q, n + 1): int(d) for q, row in enumerate(scores)
+            for n, d in enumerate([d for d in np.lexsort((np.arange(400), -row)) if row[d] >= 0.2][:5])}
+    assert {(r.query_id, r["rank"]): r.row for r in got} == want
+
+
+def test_bound_of_the_best_scores_is_reached_by_k_of_them():
+    import numpy as np
+
+    from balsam.operators import retrieval
+
+    scores = np.round(np.random.default_rng(4).normal(size=(50, 1000)), 1)
+    least = retrieval._at_least(scores, 8, -9.0)
+    assert (np.sum(scores >= least[:, None], axis=1) >= 8).all() and (np.sum(scores >= least[:, None], axis=1) < 200).all()
+    assert (retrieval._at_least(scores[:, :40], 8, 0.5) == 0.5).all()
