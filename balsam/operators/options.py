@@ -63,36 +63,37 @@ def select_safe_result(production: DataFrame, candidate: DataFrame, by: str = "p
     Rows: product_id, position, option_id, status, ingredients.  Gates in order: no candidate;
     repeated option ids; then per production option in its order the option lost, no longer ready,
     or with another ingredient list (order matters).  The first failing option gives the reason."""
-    def dup(df, name):
-        return df.groupBy(by, "option_id").agg(F.count("*").alias("n")).groupBy(by).agg(
-            (F.max("n") > 1).alias(f"{name}_repeats"))
-
-    def ready(df, name):
-        return df.groupBy(by).agg(F.count_if(F.col("status") == "ready").alias(f"{name}_ready"))
-
-    # A repeated id decides the product by itself, so pairing may use one row per id.
-    other = candidate.groupBy(by, "option_id").agg(
-        F.min_by(F.struct("status", "ingredients"), "position").alias("c"))
-    paired = production.join(other, [by, "option_id"], "left")
+    # A repeated id decides the product by itself, so pairing may use one row per id; a list is compared only if it is ready.
+    pair = F.struct("status", F.when(F.col("status") == "ready", F.col("ingredients")).alias("ingredients"))
+    ours, theirs, ready = F.col("ours"), ~F.col("ours"), F.col("pair.status") == "ready"
+    columns = [by, "option_id", "position", pair.alias("pair")]
+    # All rows are dealt by product once: options and products are grouped where they are.
+    rows = production.select(*columns, F.lit(True).alias("ours")).unionByName(
+        candidate.filter(F.col(by).isNotNull()).select(*columns, F.lit(False).alias("ours"))).repartition(by)
+    per_option = rows.groupBy(by, "option_id").agg(
+        *[F.count_if(side).alias(f"n_{name}") for name, side in (("p", ours), ("c", theirs))],
+        *[F.count_if(side & ready).alias(f"{name}_ready") for name, side in (("p", ours), ("c", theirs))],
+        F.first(F.when(ours, F.col("pair")), ignorenulls=True).alias("p"), F.min(F.when(ours, F.col("position"))).alias("at"),
+        F.min_by(F.when(theirs, F.col("pair")), F.when(theirs, F.col("position"))).alias("c"))
     problem = (
-        F.when(F.col("c").isNull(), "production_option_missing_in_candidate")
-        .when((F.col("status") == "ready") & (F.col("c.status") != "ready"),
+        F.when(F.col("p").isNull(), F.lit(None).cast("string"))
+        .when(F.col("option_id").isNull() | F.col("c").isNull(), "production_option_missing_in_candidate")
+        .when((F.col("p.status") == "ready") & (F.col("c.status") != "ready"),
               "production_ready_option_not_ready_in_candidate")
-        .when((F.col("status") == "ready") & ~F.col("ingredients").eqNullSafe(F.col("c.ingredients")),
+        .when((F.col("p.status") == "ready") & ~F.col("p.ingredients").eqNullSafe(F.col("c.ingredients")),
               "production_ready_option_ingredients_changed_in_candidate"))
-    first = paired.withColumn("problem", problem).filter("problem IS NOT NULL").groupBy(by).agg(
-        F.min_by("problem", "position").alias("problem"))
-    rows = production.select(by).distinct()
-    for df in (dup(production, "p"), dup(candidate, "c"), ready(production, "p"), ready(candidate, "c"), first):
-        rows = rows.join(df, by, "left")
-    repeats = F.coalesce("p_repeats", F.lit(False)) | F.coalesce("c_repeats", F.lit(False))
+    found = per_option.withColumn("problem", problem)
+    products = found.groupBy(by).agg(
+        *[F.sum(c).alias(c) for c in ("n_p", "n_c", "p_ready", "c_ready")],
+        (F.greatest(F.max("n_p"), F.max("n_c")) > 1).alias("repeats"),
+        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("at"))).alias("problem")).filter("n_p > 0")
     reason = (
-        F.when(F.col("c_ready").isNull(), "candidate_result_unavailable")
-        .when(repeats, "duplicate_option_id_detected")
+        F.when(F.col("n_c") == 0, "candidate_result_unavailable")
+        .when(F.col("repeats"), "duplicate_option_id_detected")
         .when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("c_ready") > F.col("p_ready"), "candidate_increases_ready_options_without_regression")
         .otherwise("no_safe_improvement_detected"))
-    return rows.withColumn("reason", reason).select(
+    return products.withColumn("reason", reason).select(
         by, F.when(F.col("reason").startswith("candidate_increases"), "candidate").otherwise("production")
         .alias("selected"), "reason")
 
@@ -104,17 +105,27 @@ def effective_options(
     """Canonical options with the selected parser's status, ingredients and provenance.
 
     Only ready options carry ingredients; options the result does not know are errors."""
-    tagged = production.withColumn("selected", F.lit("production")).unionByName(
-        candidate.withColumn("selected", F.lit("candidate")))
-    chosen = tagged.join(selection.select(by, "selected"), [by, "selected"], "left_semi").select(
-        by, F.col("option_id").alias("option_key"), "status", "ingredients", "selected")
-    out = canonical.join(chosen, [by, "option_key"], "left")
-    status = F.coalesce("status", F.lit("error"))
+    def result(df: DataFrame, name: str) -> DataFrame:
+        known = F.struct("status", F.when(F.col("status") == "ready", F.col("ingredients")).alias("ingredients"), F.lit(name).alias("selected"))
+        return df.select(by, F.col("option_id").alias("option_key"), known.alias("result"))
+
+    # Options, results and selections are dealt by product once and meet there.
+    rows = canonical.select(by, "option_key", F.struct("option_name").alias("option"))
+    for df in (result(production, "production"), result(candidate, "candidate"), selection.select(by, F.col("selected").alias("pick"))):
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    picked = rows.repartition(by).withColumn("picks", F.collect_set("pick").over(Window.partitionBy(by)))
+    met = picked.filter(F.col("option").isNotNull() | F.array_contains("picks", F.col("result.selected"))).groupBy(by, "option_key").agg(
+        F.collect_list("option").alias("option"), F.collect_list("result").alias("result"))
+    # A null key equals none.
+    keyed = F.when(F.col(by).isNotNull() & F.col("option_key").isNotNull(), F.col("result"))
+    out = met.select(by, "option_key", F.explode("option").alias("option"), keyed.alias("result")).select(
+        by, "option_key", "option.option_name", F.explode_outer("result").alias("result"))
+    status = F.coalesce("result.status", F.lit("error"))
     return out.select(
         by, "option_key", "option_name", status.alias("status"), (status == "ready").alias("analysis_available"),
-        F.when(status == "ready", F.col("ingredients")).otherwise(F.array().cast("array<string>"))
+        F.when(status == "ready", F.col("result.ingredients")).otherwise(F.array().cast("array<string>"))
         .alias("ingredients"),
-        F.col("selected").alias("provenance"))
+        F.col("result.selected").alias("provenance"))
 
 
 def first_analysable(options: DataFrame, by: str = "product_id", order: str = "position") -> DataFrame:

@@ -85,3 +85,44 @@ def test_bound_of_the_best_scores_is_reached_by_k_of_them():
     least = retrieval._at_least(scores, 8, -9.0)
     assert (np.sum(scores >= least[:, None], axis=1) >= 8).all() and (np.sum(scores >= least[:, None], axis=1) < 200).all()
     assert (retrieval._at_least(scores[:, :40], 8, 0.5) == 0.5).all()
+
+
+def _results(spark, rows):
+    return spark.createDataFrame(rows, "product_id long, position int, option_id string, status string, ingredients array<string>")
+
+
+def test_parser_choice_on_repeats_null_ids_and_missing_products(spark):
+    from balsam.operators import options
+
+    p = _results(spark, [(1, 0, "a", "ready", ["x"]), (1, 1, "b", "empty", []), (2, 0, "a", "ready", ["x"]), (2, 1, "a", "ready", ["x"]),
+                         (3, 0, None, "ready", ["x"]), (3, 1, "b", "ready", ["x", "y"]), (4, 0, "a", "ready", ["x"]), (None, 0, "a", "ready", ["x"]),
+                         (5, 1, "a", "ready", ["x"]), (5, 0, "b", "ready", ["x"]), (6, 0, "a", None, None), (7, 0, "a", "empty", ["x"])])
+    c = _results(spark, [(1, 0, "a", "ready", ["x"]), (1, 1, "b", "ready", ["z"]), (2, 0, "a", "ready", ["x"]), (3, 0, None, "ready", ["x"]),
+                         (3, 1, "b", "ready", ["y", "x"]), (None, 0, "a", "ready", ["x"]), (5, 0, "b", "empty", []), (6, 0, "a", "ready", ["x"]),
+                         (7, 0, "a", "empty", ["other"]), (9, 0, "a", "ready", ["x"])])
+    chosen = options.select_safe_result(p, c)
+    got = {r.product_id: (r.selected, r.reason) for r in chosen.collect()}
+    better = ("candidate", "candidate_increases_ready_options_without_regression")
+    assert got == {
+        1: better, 2: ("production", "duplicate_option_id_detected"), 3: ("production", "production_option_missing_in_candidate"),
+        4: ("production", "candidate_result_unavailable"), None: ("production", "candidate_result_unavailable"),
+        5: ("production", "production_ready_option_not_ready_in_candidate"), 6: better, 7: ("production", "no_safe_improvement_detected")}
+    canonical = spark.createDataFrame(
+        [(1, "b", "B"), (1, "z", "Z"), (2, "a", "A"), (3, None, "N"), (None, "a", "A"), (6, "a", "A"), (6, "a", "A2"), (8, "a", "A")],
+        "product_id long, option_key string, option_name string")
+    out = options.effective_options(canonical, p, c, chosen)
+    assert sorted(map(str, ((r.product_id, r.option_name, r.status, r.ingredients, r.provenance, r.analysis_available) for r in out.collect()))) == sorted(map(str, [
+        (1, "B", "ready", ["z"], "candidate", True), (1, "Z", "error", [], None, False), (2, "A", "ready", ["x"], "production", True),
+        (2, "A", "ready", ["x"], "production", True), (3, "N", "error", [], None, False), (None, "A", "error", [], None, False),
+        (6, "A", "ready", ["x"], "candidate", True), (6, "A2", "ready", ["x"], "candidate", True), (8, "A", "error", [], None, False)]))
+
+
+def test_parser_rows_are_dealt_by_product_once(spark):
+    from balsam.operators import options
+
+    p = _results(spark, [(1, 0, "a", "ready", ["x"])])
+    chosen = options.select_safe_result(p, p)
+    canonical = spark.createDataFrame([(1, "a", "A")], "product_id long, option_key string, option_name string")
+    picked = spark.createDataFrame([(1, "production")], "product_id long, selected string")
+    for df in (chosen, options.effective_options(canonical, p, p, picked)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
