@@ -126,3 +126,11 @@ def test_parser_rows_are_dealt_by_product_once(spark):
     picked = spark.createDataFrame([(1, "production")], "product_id long, selected string")
     for df in (chosen, options.effective_options(canonical, p, p, picked)):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_seeds_of_related_products_travel_once_and_without_their_positions(spark):
+    import re
+
+    df = contract.queries()["related_products"](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "names" in plan and not re.search(r"struct\(seed_pos, seed_pos#\d+L?\)", plan)
